@@ -48,3 +48,25 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def nothing_if_null(col: Column) -> Column:
     return F.coalesce(col, F.lit(""))
+
+
+#: A key with at least one in so many of all rows is hot; there can be no more of them.
+HOT_KEYS = 1000
+
+
+def join_on_hot_key(facts: DataFrame, keyed: DataFrame, key: str, rows_col: str) -> DataFrame:
+    """Left join of rows with one row a key, where a key may hold a third of all rows.
+
+    ``rows_col`` of ``keyed`` tells how many rows of ``facts`` each key has. Hot keys, at most ``HOT_KEYS`` whatever
+    the input, are joined by broadcast; the others are shuffled. ``keyed`` is written once.
+    """
+    keyed = written(keyed, "keyed")
+    total = keyed.agg(F.sum(rows_col)).first()[0] or 0
+    hot = F.col(rows_col) * HOT_KEYS >= total
+    values = [c for c in keyed.columns if c not in (key, rows_col)]
+    few = keyed.filter(hot).select(key, F.struct(*values).alias("_hot"))
+    first = facts.join(F.broadcast(few), key, "left")
+    columns = [c for c in facts.columns if c not in values]
+    met = first.filter(F.col("_hot").isNotNull()).select(*columns, *(F.col(f"_hot.{v}").alias(v) for v in values))
+    rest = first.filter(F.col("_hot").isNull()).select(*columns).join(keyed.filter(~hot).select(key, *values), key, "left")
+    return met.unionAll(rest.select(met.columns))
