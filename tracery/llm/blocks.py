@@ -28,10 +28,18 @@ BUCKET_ENTRIES = 500_000
 _BLOCK = "block long, n_bytes long, doc_ids array<long>, texts array<string>"
 
 
-def block_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents as a table of blocks (block, n_bytes, doc_ids, texts), bucketed by block, in the shared folder."""
+def block_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_rows: bool = False) -> DataFrame:
+    """The documents as a table of blocks (block, n_bytes, doc_ids, texts), bucketed by block, in the shared folder.
+
+    With ``whole_rows`` a column ``rest`` keeps the other columns of each document.
+    """
     spark = docs.sparkSession
     source = id_and_text(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    schema = _BLOCK
+    if whole_rows:
+        others = [c for c in docs.columns if c not in (id_col, text_col)]
+        source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), F.struct(*(docs[c] for c in others)).alias("rest"))
+        schema = f"{_BLOCK}, rest array<{source.schema['rest'].dataType.simpleString()}>"
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -42,7 +50,8 @@ def block_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             texts = pa.concat_arrays([column(r, "text").cast(pa.string()) for r in held])
             ids = pa.concat_arrays([column(r, "doc_id") for r in held])
             whole = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
-            return pa.RecordBatch.from_pydict({"block": pa.array([at], pa.int64()), "n_bytes": pa.array([size], pa.int64()), "doc_ids": whole(ids), "texts": whole(texts)})
+            rest = {"rest": whole(pa.concat_arrays([column(r, "rest") for r in held]))} if whole_rows else {}
+            return pa.RecordBatch.from_pydict({"block": pa.array([at], pa.int64()), "n_bytes": pa.array([size], pa.int64()), "doc_ids": whole(ids), "texts": whole(texts)} | rest)
 
         for run in runs(batches, limit=BLOCK_BYTES // 8):
             held.append(run)
@@ -54,7 +63,7 @@ def block_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield block()
 
     name = f"blocks_{uuid.uuid4().hex}"
-    rows = source.mapInArrow(gather, _BLOCK)
+    rows = source.mapInArrow(gather, schema)
     rows.write.format("parquet").option("path", shared_folder(spark, "blocks")).bucketBy(shuffle_partitions(spark), "block").saveAsTable(name)
     return spark.table(name)
 
@@ -63,7 +72,7 @@ def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array,
     """Each block with its ids, texts and further columns."""
     for batch in batches:
         ids, texts = column(batch, "doc_ids"), column(batch, "texts")
-        more = [n for n in batch.schema.names if n not in ("block", "doc_ids", "texts", "n_bytes")]
+        more = [n for n in batch.schema.names if n not in ("block", "doc_ids", "texts", "n_bytes", "rest")]
         for i, block in enumerate(column(batch, "block").to_pylist()):
             yield block, ids[i].values, texts[i].values, {n: column(batch, n)[i].as_py() for n in more}
 
@@ -124,3 +133,23 @@ def met(blocks: DataFrame, answers: DataFrame) -> DataFrame:
 def in_order(answers: list[dict] | None) -> np.ndarray:
     """The bytes of a block's answers in the order that it asked."""
     return np.frombuffer(b"".join(a["bits"] for a in sorted(answers or (), key=lambda a: a["bucket"])), dtype=np.uint8)
+
+
+def rows_at(blocks: DataFrame, places: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents at the places (block, places array) of a table of whole rows, with the columns that they had."""
+
+    names = docs.columns
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts, rest = (column(batch, n) for n in ("doc_ids", "texts", "rest"))
+            for i, chosen in enumerate(column(batch, "places").to_pylist()):
+                if not chosen:
+                    continue
+                at = pa.array(sorted(chosen), pa.int64())
+                others = rest[i].values.take(at)
+                out = {id_col: ids[i].values.take(at), text_col: texts[i].values.take(at)} | {f.name: others.field(k) for k, f in enumerate(others.type)}
+                yield pa.RecordBatch.from_pydict({c: out[c] for c in names})
+
+    typed = docs.withColumn(id_col, docs[id_col].cast("long")).withColumn(text_col, docs[text_col].cast("string"))
+    return met(blocks, places).mapInArrow(pick, typed.schema)

@@ -207,6 +207,32 @@ def _scanner(patterns, positions: bool):
     return scan
 
 
+def without_contaminated(
+    docs: DataFrame, benchmark: DataFrame, window: int = 8, min_items: int = 2, set_bytes: int = SET_BYTES,
+    text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+) -> DataFrame:
+    """The documents, whole rows, in which windows of fewer than ``min_items`` items occur; nothing is shuffled."""
+    items = benchmark.select(benchmark[item_col].cast("string"), benchmark[item_text_col].cast("string"))
+    found = docs.withColumn(_SEEN, F.array().cast("array<string>"))
+    for one in pattern_sets(items, window, set_bytes):
+        patterns = docs.sparkSession.sparkContext.broadcast(one)
+
+        def mark(batches: Iterator[pa.RecordBatch], patterns=patterns) -> Iterator[pa.RecordBatch]:
+            table = patterns.value
+            for run in runs(batches, text_col):
+                grid = Grid(column(run, text_col), PLAIN, lower=True)
+                seen = column(run, _SEEN).to_pylist()
+                for text, item in table.scan(grid)[1].tolist():
+                    seen[text] = [*seen[text], table.names[item]]
+                yield run.set_column(run.schema.get_field_index(_SEEN), _SEEN, pa.array(seen, pa.list_(pa.string())))
+
+        found = found.mapInArrow(mark, found.schema)
+    return found.filter(F.size(F.array_distinct(_SEEN)) < min_items).drop(_SEEN)
+
+
+_SEEN = "_benchmark_items_seen"
+
+
 def digest(items: list[str]) -> str:
     """What the digest column of the query is, for tests."""
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracery.llm.blocks import QUESTION, answer, asked, block_table, bucket_order, buckets_for, in_order, met, texts_of
+from tracery.llm.blocks import QUESTION, answer, asked, block_table, bucket_order, buckets_for, in_order, met, rows_at, texts_of
 from tracery.llm.graphs import components
 from tracery.llm.grid import SPACED, U64, Grid, mix
 from tracery.llm.tables import join_on_hot_key, written
@@ -125,12 +125,11 @@ def verified(sizes: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percen
     return links
 
 
-def near_duplicate_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, tile: int = TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id (the smallest id reachable by links)."""
-    blocks = block_table(docs, id_col, text_col)
+def _linked(blocks: DataFrame, width: int, percent: int, tile: int) -> tuple[DataFrame, DataFrame]:
+    """All documents (node, block, doc_id, n, one, two); one row a distinct set, with its copies and its component's root."""
     seen = written(blocks.mapInArrow(_describe(width), "node long, block long, doc_id long, n long, one long, two long"), "sets")
     filled = seen.filter("n > 0")
-    classes = written(filled.groupBy("n", "one", "two").agg(F.min(F.struct("node", "block")).alias("of"), F.min("doc_id").alias("least"), F.count("*").alias("copies")), "classes")
+    classes = written(filled.groupBy("n", "one", "two").agg(F.min(F.struct("node", "block")).alias("of"), F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node", "block")).alias("keeper")), "classes")
     places = classes.groupBy(F.col("of.block").alias("block")).agg(F.collect_list(F.col("of.node").bitwiseAND((1 << _ID_BITS) - 1)).alias("places"))
     chosen = written(places, "places")
     buckets = buckets_for(blocks, 1 / 6)
@@ -198,16 +197,31 @@ def near_duplicate_classes(docs: DataFrame, width: int = WIDTH, percent: int = P
     links = units.groupBy("bundle", "a", "b").applyInArrow(verify, "u long, v long")
     roots = components(links)
 
-    own = classes.select("n", "one", "two", "copies", "least", F.col("of.node").alias("node"))
-    rooted = written(own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "roots")
+    own = classes.select("n", "one", "two", "copies", "least", "keeper", F.col("of.node").alias("node"))
+    return seen, written(own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "roots")
+
+
+def near_duplicate_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, tile: int = TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a document: doc_id, n_shingles, component_id (the smallest id reachable by links)."""
+    seen, rooted = _linked(block_table(docs, id_col, text_col), width, percent, tile)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("sets"))
-    named = join_on_hot_key(rooted, least, "root", "sets").select("one", "two", "n", "component_id", "copies")
+    named = join_on_hot_key(rooted, least, "root", "sets")
     keyed = named.select(F.struct("one", "two", "n").alias("set"), "component_id", "copies")
-    done = join_on_hot_key(filled.select("doc_id", "n", F.struct("one", "two", "n").alias("set")), keyed, "set", "copies")
+    filled = seen.filter("n > 0").select("doc_id", "n", F.struct("one", "two", "n").alias("set"))
+    done = join_on_hot_key(filled, keyed, "set", "copies")
     alone = seen.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return done.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionAll(alone)
 
 
+def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, tile: int = TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, whole rows, without near duplicates: of each component the row with the smallest id stays."""
+    blocks = block_table(docs, id_col, text_col, whole_rows=True)
+    seen, rooted = _linked(blocks, width, percent, tile)
+    kept = rooted.groupBy("root").agg(F.min("keeper").alias("k")).select("k.node", "k.block").unionAll(seen.filter("n = 0").select("node", "block"))
+    places = kept.groupBy("block").agg(F.collect_list(F.col("node").bitwiseAND((1 << _ID_BITS) - 1)).alias("places"))
+    return rows_at(blocks, places, docs, id_col, text_col)
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracery.llm.tables import read
 

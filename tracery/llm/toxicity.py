@@ -32,6 +32,7 @@ from tracery.llm.tables import id_and_text, id_field, written
 #: Labelled rows of each class that the classifier is fitted on.
 FIT_ROWS = 6_000
 FOLDS, HELD_OUT = 3, 1
+THRESHOLD = 0.7
 #: At least this share of the rows with a feature of the lexicon is toxic.
 MIN_SHARE = 0.9
 #: Lengths in bytes of the beginnings of words that are features too.
@@ -316,13 +317,17 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, model, rows: int = FIT_ROWS,
     return lexicon, min((none.get(1, 0) + 0.5) / (none.get(1, 0) + none.get(0, 0) * all_rows[0] / n[0] + 1), 0.5)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, fit_on: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents' ids and texts with held_out, score, predicted; ``fit_on``: documents of the labels, if others."""
-    spark = docs.sparkSession
-    learned_from = docs if fit_on is None else fit_on
-    model = fit_language_model(learned_from, text_col)
-    lexicon, base = fit_lexicon(learned_from, labels, spark.sparkContext.broadcast(model), id_col=id_col, text_col=text_col)
-    scorer = spark.sparkContext.broadcast(Scorer(model, lexicon, base))
+def fitted_scorer(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
+    """A broadcast scorer learned from the documents and labels; bounded by the model's symbols and the lexicon."""
+    context = docs.sparkSession.sparkContext
+    model = fit_language_model(docs, text_col)
+    lexicon, base = fit_lexicon(docs, labels, context.broadcast(model), id_col=id_col, text_col=text_col)
+    return context.broadcast(Scorer(model, lexicon, base))
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a document: doc_id, held_out, score, predicted."""
+    scorer = fitted_scorer(docs, labels, id_col, text_col)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in runs(batches):
@@ -333,6 +338,17 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, f
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, whole rows, that score below the threshold."""
+    scorer = fitted_scorer(docs, labels, id_col, text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in runs(batches, text_col):
+            yield run.filter(pa.array(scorer.value.scores(column(run, text_col)) < threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracery.llm.tables import read
 
