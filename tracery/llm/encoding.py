@@ -12,17 +12,20 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
 
 #: Chunks in a generation, and the longest that is remembered.
-REMEMBERED = 500_000
+REMEMBERED = 700_000
 _LONGEST = 64
 _CHUNK = re.compile(rb"[ \n]*[^ \n]+|[ \n]+")
 #: White space besides spaces and line breaks, in UTF-8, and what every special string starts with.
 _OTHER_SPACE = (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 _WHOLE = [bytes([b]) for b in (9, *range(11, 14), *range(28, 32))] + [chr(c).encode() for c in _OTHER_SPACE] + [b"<|"]
+#: A byte that no text in UTF-8 has.
+_AS_IS = b"\xff"
 _PLAIN = re.compile("([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]*)")
 #: How byte-level vocabularies spell bytes: printable ones as themselves, the others from U+0100 on.
 _KEPT = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -56,16 +59,24 @@ class Encoder:
         self.library.no_padding()
         self.model = self.library.model
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.drops_space = not self.library.encode(" \n", add_special_tokens=False).ids
         self.known = _Known(self._look_up, {})
+        self.marks: dict[str, bytes] = {}
 
     def chunks(self, text: bytes) -> list[bytes]:
+        """The names of a text's chunks: the chunk itself where white space is dropped or a line break leads;
+        what follows where one space leads; otherwise the chunk behind a byte that no text has."""
         if self.drops_space:
-            return [text] if b"<|" in text else text.split()
+            return [_AS_IS + text] if b"<|" in text else text.split()
         for w in _WHOLE:
             if w in text:
-                return [text]
-        return _CHUNK.findall(text)
+                return [_AS_IS + text]
+        if not text or text[0] in b" \n" or text[-1] in b" \n" or b"  " in text or b"\n\n" in text or b" \n" in text or b"\n " in text:
+            return [c[1:] if c[0] == 32 and len(c) > 1 and c[1] not in b" \n" else _AS_IS + c for c in _CHUNK.findall(text)]
+        names = text.replace(b"\n", b" \n").split(b" ")
+        names[0] = _AS_IS + names[0]
+        return names
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if len(self.known) >= REMEMBERED:
@@ -73,20 +84,38 @@ class Encoder:
         ids = self.known.__getitem__
         return [b"".join(map(ids, self.chunks(t))) for t in texts]
 
-    def _look_up(self, chunk: bytes) -> bytes:
-        text = chunk.decode()
+    def _packed(self, ids) -> bytes:
+        return array(self.code, ids).tobytes()
+
+    def _look_up(self, name: bytes) -> bytes:
+        if name[0] == 255:
+            return self._packed(self.library.encode(name[1:].decode(), add_special_tokens=False).ids)
+        text = name.decode()
         if plain := _PLAIN.fullmatch(text):
-            space, letters, rest = plain.groups()
+            lead, letters, rest = plain.groups()
             if self.drops_space:
-                parts = [letters.lower(), rest]
-            elif space == "\n":
-                parts = [space, letters, rest]
-            else:
-                parts = [space + letters, rest]
-            ids = [t.id for p in parts if p for t in self.model.tokenize("".join([_SPELLED[b] for b in p.encode()]))]
-        else:
-            ids = self.library.encode(text, add_special_tokens=False).ids
-        return np.array(ids, dtype=self.dtype).tobytes()
+                letters = letters.lower()
+            elif not lead:
+                letters = " " + letters
+            if not letters.isascii():
+                letters = "".join([_SPELLED[b] for b in letters.encode()])
+            elif letters[0] == " ":
+                letters = _SPELLED[32] + letters[1:]
+            ids = [t.id for t in self.model.tokenize(letters)]
+            if lead or rest:
+                return (self._mark(lead) if lead and not self.drops_space else b"") + self._packed(ids) + (self._mark(rest) if rest else b"")
+            return self._packed(ids)
+        if not self.drops_space and text[0] != "\n":
+            text = " " + text
+        return self._packed(self.library.encode(text, add_special_tokens=False).ids)
+
+    def _mark(self, marks: str) -> bytes:
+        """The ids of marks or a line break, which the pre-tokeniser leaves whole."""
+        if marks not in self.marks:
+            if len(self.marks) > 10_000:
+                self.marks = {}
+            self.marks[marks] = self._packed([t.id for t in self.model.tokenize("".join([_SPELLED[b] for b in marks.encode()]))])
+        return self.marks[marks]
 
 
 _encoders: dict[str, Encoder] = {}
