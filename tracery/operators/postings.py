@@ -1,21 +1,42 @@
-"""Listing with an index of character grams.
+"""Listing with an index of byte grams.
 
-The index has one row for each gram and document: (gram, doc_id). A pattern asks for up to ``GRAMS`` of its grams; a
-document that has them all is a candidate, and its text is compared. Grams are made in one linear pass over each text.
-Patterns shorter than a gram go to the scan instead.
+The index has one row for each gram (``q`` bytes of UTF-8, at most 7, as a whole number) and document. A pattern asks
+for up to ``GRAMS`` of its grams; a document that has them all is a candidate, and its text is compared. Grams are
+made in one linear, vectorised pass over the texts. Patterns shorter than a gram go to the scan instead.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracery.operators import search
 
 Q, GRAMS = 5, 4
+_RUN_BYTES = 1 << 22
+
+
+def _distinct_grams(texts: list[bytes], q: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (text, gram) pairs; grams as big-endian numbers."""
+    size = np.array([len(t) for t in texts])
+    data = np.frombuffer(b"".join(texts), dtype=np.uint8).astype(np.int64)
+    if len(data) < q:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    owner, ends = np.repeat(np.arange(len(texts)), size), np.cumsum(size)
+    gram = np.zeros(len(data) - q + 1, dtype=np.int64)
+    for j in range(q):
+        gram = (gram << 8) | data[j : len(data) - q + 1 + j]
+    at = np.flatnonzero(np.arange(len(gram)) + q <= ends[owner[: len(gram)]])
+    gram, owner = gram[at], owner[at]
+    order = np.lexsort([gram, owner])
+    gram, owner = gram[order], owner[order]
+    fresh = np.ones(len(gram), dtype=bool)
+    fresh[1:] = (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1])
+    return owner[fresh], gram[fresh]
 
 
 def gram_index(docs: DataFrame, q: int = Q) -> DataFrame:
@@ -23,21 +44,33 @@ def gram_index(docs: DataFrame, q: int = Q) -> DataFrame:
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = {text[i : i + q] for i in range(len(text) - q + 1)} if text else ()
-                if own:
-                    yield pa.RecordBatch.from_pydict({"gram": pa.array(own, pa.string()), "doc_id": pa.array([doc] * len(own), pa.int64())})
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            texts = [t or b"" for t in batch.column(1).to_pylist()]
+            at = 0
+            while at < len(texts):
+                to, held = at, 0
+                while to < len(texts) and (held < _RUN_BYTES or to == at):
+                    held += len(texts[to])
+                    to += 1
+                owner, gram = _distinct_grams(texts[at:to], q)
+                yield pa.RecordBatch.from_pydict({"gram": pa.array(gram, pa.int64()), "doc_id": pa.array(ids[at:to][owner], pa.int64())})
+                at = to
+
+    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(grams, "gram long, doc_id long")
+
 
-    return docs.select("doc_id", "text").mapInArrow(grams, "gram string, doc_id long")
+def gram_of(text: Column, place: Column, q: int = Q) -> Column:
+    """The gram at a byte of a text, from 0."""
+    return F.conv(F.hex(F.substring(text.cast("binary"), place + 1, F.lit(q))), 16, 10).cast("long")
 
 
 def list_docs_indexed(docs: DataFrame, index: DataFrame, patterns: DataFrame, q: int = Q, grams: int = GRAMS) -> DataFrame:
     """(pattern_id, doc_id) by grams and comparison; the grams asked for are spread evenly over the pattern."""
-    long = patterns.filter(F.length("pattern") >= q)
-    last = F.length("pattern") - q
-    places = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(grams - 1)), lambda i: F.floor(last * i / (grams - 1))))
-    asked = long.withColumn("grams", F.array_distinct(F.transform(places, lambda p: F.col("pattern").substr((p + 1).cast("int"), F.lit(q)))))
+    size = F.octet_length("pattern")
+    long = patterns.filter(size >= q)
+    places = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(grams - 1)), lambda i: F.floor((size - q) * i / (grams - 1)).cast("int")))
+    asked = long.withColumn("grams", F.array_distinct(F.transform(places, lambda p: gram_of(F.col("pattern"), p, q))))
     wanted = asked.select("pattern_id", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
     held = index.join(wanted, "gram").groupBy("pattern_id", "doc_id").agg(F.count("*").alias("held"), F.first("n").alias("n")).filter("held = n")
     found = held.join(long, "pattern_id").join(docs, "doc_id").filter(F.col("text").contains(F.col("pattern"))).select("pattern_id", "doc_id")
-    return found.unionAll(search.list_docs(docs, patterns.filter(F.length("pattern") < q)))
+    return found.unionAll(search.list_docs(docs, patterns.filter(size < q)))

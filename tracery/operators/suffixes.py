@@ -64,41 +64,33 @@ def ilcp_runs(suffixes: DataFrame, value: str = "ilcp") -> DataFrame:
     return ranked.join(after, "run", "left").join(F.broadcast(n)).select("first", (F.coalesce("next", F.col("last") + 1) - F.col("first")).alias("size"), "value")
 
 
-def ranges(suffixes: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(pattern_id, m, sp, ep): the places of the suffixes that begin with each pattern of up to the key's length.
+def _matches(suffixes: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Suffixes that begin with a pattern of up to the key's length.
 
-    One hash join for each pattern length that occurs (at most the key's depth), never a comparison of all with all.
+    Each suffix is looked up by its beginnings of the lengths that patterns have (at most the key's depth): a hash
+    join, never a comparison of all with all.
     """
-    lengths = [r[0] for r in patterns.select(F.length("pattern")).distinct().collect()]
-    out = None
-    for m in sorted(lengths):
-        some = patterns.filter(F.length("pattern") == m).withColumnRenamed("pattern", "key")
-        bounds = suffixes.groupBy(F.substring("key", 1, m).alias("key")).agg(F.min("sa").alias("sp"), F.max("sa").alias("ep"))
-        found = bounds.join(some, "key").select("pattern_id", F.lit(m).alias("m"), "sp", "ep")
-        out = found if out is None else out.unionAll(found)
-    return out
-
-
-def _in_range(suffixes: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Suffixes that begin with a pattern, with the pattern's range: again one hash join for each length."""
-    found = ranges(suffixes, patterns)
-    lengths = [r[0] for r in patterns.select(F.length("pattern")).distinct().collect()]
-    out = None
-    for m in sorted(lengths):
-        some = patterns.filter(F.length("pattern") == m).join(found, "pattern_id").withColumnRenamed("pattern", "prefix")
-        rows = suffixes.withColumn("prefix", F.substring("key", 1, m)).join(some, "prefix").filter(F.length("key") >= m).drop("prefix")
-        out = rows if out is None else out.unionAll(rows)
-    return out
+    lengths = sorted(r[0] for r in patterns.select(F.length("pattern")).distinct().collect())
+    beginnings = F.array(*(F.substring("key", 1, m) for m in lengths)) if lengths else F.array().cast("array<string>")
+    # A suffix shorter than two lengths would give the same beginning twice.
+    return suffixes.withColumn("pattern", F.explode(F.array_distinct(beginnings))).join(patterns, "pattern").withColumn("m", F.length("pattern"))
+
+
+def ranges(suffixes: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(pattern_id, sp, ep): first and last place of the suffixes that begin with each pattern that occurs."""
+    return _matches(suffixes, patterns).groupBy("pattern_id").agg(F.min("sa").alias("sp"), F.max("sa").alias("ep"))
 
 
 def list_by_previous(suffixes: DataFrame, patterns: DataFrame) -> DataFrame:
     """Listing by the document's previous suffix: each document once, where that lies before the range."""
-    return _in_range(suffixes, patterns).filter("c <= sp").select("pattern_id", "doc_id")
+    found = _matches(suffixes, patterns)
+    bounds = found.groupBy("pattern_id").agg(F.min("sa").alias("sp"))
+    return found.join(bounds, "pattern_id").filter("c <= sp").select("pattern_id", "doc_id")
 
 
 def list_by_ilcp(suffixes: DataFrame, patterns: DataFrame) -> DataFrame:
     """Listing by shared prefixes: each document once, where less than the pattern is shared with its previous suffix."""
-    return _in_range(suffixes, patterns).filter("ilcp < m").select("pattern_id", "doc_id")
+    return _matches(suffixes, patterns).filter("ilcp < m").select("pattern_id", "doc_id")
 
 
 def prefix_nodes(suffixes: DataFrame, depth: int, n_docs: int, least: int = 1) -> DataFrame:

@@ -60,7 +60,7 @@ def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.with_previous(suffixes.suffix_table(_parts(spark, sf_dir)))
+    return stored(suffixes.with_previous(suffixes.suffix_table(_parts(spark, sf_dir))), "suffixes")
 
 
 def _words(words: list[str], start: int = 0) -> str:
@@ -258,10 +258,12 @@ def prefix_nodes(spark, sf_dir):
     return nodes.select("prefix", "sp", "ep", "n_docs", "holds_all", shown.alias("docs"))
 
 
-@query("""with g as (select distinct text[i:i + 4] gram, doc_id from (select text, doc_id, unnest(range(1, length(text) - 3)) i from documents where length(text) >= 5))
+@query(f"""with {PARTS}, g as (
+  select distinct doc_id, ((((unicode(text[i])::bigint * 256 + unicode(text[i + 1])) * 256 + unicode(text[i + 2])) * 256 + unicode(text[i + 3])) * 256 + unicode(text[i + 4])) gram
+    from (select *, unnest(range(1, length(text) - 3)) i from parts))
 select gram, count(*) n_docs from g group by 1""")
 def gram_postings(spark, sf_dir):
-    return postings.gram_index(_docs(spark, sf_dir)).groupBy("gram").agg(F.count("*").alias("n_docs"))
+    return postings.gram_index(_parts(spark, sf_dir)).groupBy("gram").agg(F.count("*").alias("n_docs"))
 
 
 @query(f"with {PARTS} select text, string_agg(doc_id::varchar, ',' order by doc_id) docs from parts group by 1")
