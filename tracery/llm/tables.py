@@ -23,15 +23,13 @@ def id_field(docs: DataFrame, id_col: str = "doc_id") -> T.StructField:
 
 
 def shared_folder(spark: SparkSession, what: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which the driver and all executors share.
+    """A new folder below ``spark.checkpoint.dir``, which the driver and all executors share, as a full URI.
 
-    Only where the session has no such setting (tests, a laptop) a folder of this machine is set.
+    Only where the session has no such setting (tests, a laptop) it is a folder of this machine.
     """
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        top = "file:///tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    top = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    path = spark._jvm.org.apache.hadoop.fs.Path(top, f"{what}-{uuid.uuid4().hex}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def written(df: DataFrame, what: str, **options) -> DataFrame:
