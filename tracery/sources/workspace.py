@@ -8,12 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; a folder of this machine only where the session names none."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        top = "file:///tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    """A new path below ``spark.checkpoint.dir``; below a folder of this machine only where the session names none."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    path = spark._jvm.org.apache.hadoop.fs.Path(top, f"{what}-{uuid.uuid4().hex}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
