@@ -123,6 +123,17 @@ def test_nodes_hold_all_or_list(spark):
     assert [tuple(d) for d in nodes["TA"]["docs"]] == [(1, 2), (2, 1)]
 
 
+def test_runs_of_frequencies(spark):
+    nodes = suffixes.prefix_nodes(suffixes.suffix_table(docs_of(spark, THREE)), 2, 3)
+    lists = nodes.filter("not holds_all")
+    assert rows(suffixes.frequency_runs(lists).filter("prefix = 'TA'"), "nth", "tf", "size") == [(1, 2, 1), (2, 1, 1)]
+    assert rows(suffixes.frequency_runs(lists, True).filter("prefix = 'TA'"), "nth", "tf", "size") == [(1, 2, 1), (2, 1, 1)]
+    assert ("A", 3) in rows(suffixes.node_counts(nodes))
+    with pytest.raises(Exception, match="no frequencies"):
+        suffixes.frequency_runs(nodes).collect()
+    assert {r["prefix"]: r["leaf"] for r in suffixes.stored_nodes(nodes, 2, 0.5).collect()}["L"]
+
+
 def test_sets_and_lists(spark):
     docs = docs_of(spark, THREE)
     lists = search.lists_by_pattern(search.list_docs(docs, patterns_of(spark, ["TA", "LT"])), patterns_of(spark, ["TA", "LT"]))

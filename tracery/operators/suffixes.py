@@ -105,3 +105,40 @@ def prefix_nodes(suffixes: DataFrame, depth: int, n_docs: int, least: int = 1) -
     nodes = counted.groupBy("prefix").agg(F.min("sp").alias("sp"), F.max("ep").alias("ep"), F.count("*").alias("n_docs"), docs.alias("docs")).filter(F.col("ep") - F.col("sp") + 1 >= least)
     everywhere = F.col("n_docs") == n_docs
     return nodes.withColumn("holds_all", everywhere).withColumn("docs", F.when(~everywhere, F.col("docs")))
+
+
+def node_counts(nodes: DataFrame) -> DataFrame:
+    """(prefix, n_docs) of each node, those that hold all documents included."""
+    return nodes.select("prefix", "n_docs")
+
+
+def frequency_runs(nodes: DataFrame, differences: bool = False) -> DataFrame:
+    """(prefix, nth, tf, size): runs of equal frequencies in a node's list, most frequent first.
+
+    With ``differences`` tf is what a run lacks to the one before (the first run's tf stays). Nodes that hold all
+    documents keep no list and are an error, as their frequencies are unknown.
+    """
+    docs = F.when(F.col("docs").isNull(), F.raise_error(F.lit("a node without a list has no frequencies"))).otherwise(F.col("docs"))
+    runs = nodes.select("prefix", F.explode(docs).alias("d")).groupBy("prefix", F.col("d.tf").alias("tf")).agg(F.count("*").alias("size"))
+    by_node = Window.partitionBy("prefix").orderBy(F.desc("tf"))
+    out = runs.withColumn("nth", F.row_number().over(by_node))
+    if differences:
+        out = out.withColumn("tf", F.coalesce(F.lag("tf").over(by_node) - F.col("tf"), F.col("tf")))
+    return out.select("prefix", "nth", "tf", "size")
+
+
+def stored_nodes(nodes: DataFrame, block_size: int, factor: float) -> DataFrame:
+    """The nodes whose sets are worth storing: (prefix, leaf, n_docs).
+
+    A node of at most ``block_size`` suffixes under a larger one is a leaf; an inner node is kept if it holds all
+    documents, or if its children's sets together are more than ``factor`` times its own.
+    """
+    size = F.col("ep") - F.col("sp") + 1
+    parent = F.substring("prefix", F.lit(1), F.length("prefix") - 1)
+    below = nodes.groupBy(parent.alias("prefix")).agg(F.sum("n_docs").alias("below"))
+    inner = nodes.filter(size > block_size).join(below, "prefix", "left")
+    kept = inner.filter(F.col("holds_all") | (F.coalesce("below", F.lit(0)) > factor * F.col("n_docs"))).select("prefix", F.lit(False).alias("leaf"), "n_docs")
+    large = nodes.filter(size > block_size).select(F.col("prefix").alias("above"))
+    small = nodes.filter(size <= block_size).withColumn("above", parent)
+    leaves = small.join(large, "above", "left_semi").unionAll(small.filter("above = ''").select("above", *nodes.columns))
+    return kept.unionAll(leaves.select("prefix", F.lit(True).alias("leaf"), "n_docs"))

@@ -258,6 +258,29 @@ def prefix_nodes(spark, sf_dir):
     return nodes.select("prefix", "sp", "ep", "n_docs", "holds_all", shown.alias("docs"))
 
 
+NODES = f"""{SUFFIXES}, p as (select "key"[1:n] prefix, doc_id, sa from (select *, unnest(range(1, least(length("key"), 3) + 1)) n from sa)),
+f as (select prefix, doc_id, count(*) tf, min(sa) sp, max(sa) ep from p group by 1, 2),
+nodes as (select prefix, min(sp) sp, max(ep) ep, count(*) n_docs, count(*) = (select count(*) from part) holds_all from f group by 1)"""
+
+
+def _nodes(spark, sf_dir):
+    return suffixes.prefix_nodes(_suffixes(spark, sf_dir), 3, spark.read.parquet(f"{sf_dir}/part.parquet").count())
+
+
+@query(f"""with {NODES}, r as (select prefix, tf, count(*) size from f join nodes using (prefix) where not holds_all group by 1, 2)
+select prefix, row_number() over w::int nth, coalesce(lag(tf) over w - tf, tf) tf, size from r window w as (partition by prefix order by tf desc)""")
+def node_frequency_runs(spark, sf_dir):
+    return suffixes.frequency_runs(_nodes(spark, sf_dir).filter(~F.col("holds_all")), differences=True)
+
+
+@query(f"""with {NODES}, b as (select prefix[1:length(prefix) - 1] prefix, sum(n_docs) below from nodes group by 1)
+select prefix, false leaf, n_docs from nodes left join b using (prefix) where ep - sp + 1 > 64 and (holds_all or coalesce(below, 0) > 1.5 * n_docs)
+union all
+select prefix, true, n_docs from nodes n where ep - sp + 1 <= 64 and (length(prefix) = 1 or exists (select 1 from nodes m where m.prefix = n.prefix[1:length(n.prefix) - 1] and m.ep - m.sp + 1 > 64))""")
+def stored_nodes(spark, sf_dir):
+    return suffixes.stored_nodes(stored(_nodes(spark, sf_dir).drop("docs"), "nodes"), 64, 1.5)
+
+
 @query(f"""with {PARTS}, g as (
   select distinct doc_id, ((((unicode(text[i])::bigint * 256 + unicode(text[i + 1])) * 256 + unicode(text[i + 2])) * 256 + unicode(text[i + 3])) * 256 + unicode(text[i + 4])) gram
     from (select *, unnest(range(1, length(text) - 3)) i from parts))
