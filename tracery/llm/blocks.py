@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracery.llm.grid import U64, column, runs
+from tracery.llm.grid import U64, column, drop_kept, give_back, runs
 from tracery.llm.tables import id_and_text, shared_folder, shuffle_partitions, written
 
 #: Bytes of text in a block; a longer text is a block of its own.
@@ -38,7 +38,7 @@ def block_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = _BLOCK
     if whole_rows:
         others = [c for c in docs.columns if c not in (id_col, text_col)]
-        source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), F.struct(*(docs[c] for c in others)).alias("rest"))
+        source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), F.struct(*(docs[c] for c in others) if others else [F.lit(0).alias("none")]).alias("rest"))
         schema = f"{_BLOCK}, rest array<{source.schema['rest'].dataType.simpleString()}>"
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,11 +70,13 @@ def block_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, pa.Array, dict]]:
     """Each block with its ids, texts and further columns."""
+    drop_kept()
     for batch in batches:
         ids, texts = column(batch, "doc_ids"), column(batch, "texts")
         more = [n for n in batch.schema.names if n not in ("block", "doc_ids", "texts", "n_bytes", "rest")]
         for i, block in enumerate(column(batch, "block").to_pylist()):
             yield block, ids[i].values, texts[i].values, {n: column(batch, n)[i].as_py() for n in more}
+    give_back()
 
 
 def buckets_for(blocks: DataFrame, entries_per_byte: float) -> int:
@@ -118,7 +120,9 @@ def answer(questions: DataFrame, width: int, judge: Callable[[np.ndarray, list[b
         cuts = np.cumsum([0, *map(len, keys)])
         wide = np.zeros((cuts[-1], 8), dtype=np.uint8)
         wide[:, :width] = np.concatenate(keys)
+        del keys
         out = judge(wide.view("<u8").reshape(-1), table["extra"].to_pylist())
+        give_back()
         return pa.table({"block": table["block"], "bucket": table["bucket"], "bits": pa.array([out[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
 
     answers = questions.groupBy("bucket").applyInArrow(each, "block long, bucket int, bits binary")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracery.llm.grid import PLAIN, U64, Grid, column, mix, runs
-from tracery.llm.tables import id_and_text, id_field
+from tracery.llm.tables import bound_batches, id_and_text, id_field
 
 #: Text of the items that one set of pattern tables holds; a larger benchmark is searched in several sets.
 SET_BYTES = 8 << 20
@@ -213,6 +213,7 @@ def without_contaminated(
 ) -> DataFrame:
     """The documents, whole rows, in which windows of fewer than ``min_items`` items occur; nothing is shuffled."""
     items = benchmark.select(benchmark[item_col].cast("string"), benchmark[item_text_col].cast("string"))
+    bound_batches(docs.sparkSession)
     found = docs.withColumn(_SEEN, F.array().cast("array<string>"))
     for one in pattern_sets(items, window, set_bytes):
         patterns = docs.sparkSession.sparkContext.broadcast(one)

@@ -13,12 +13,17 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 
+from tracery.llm.grid import kept
+
 #: Chunks in a generation, and the longest that is remembered.
-REMEMBERED = 700_000
+REMEMBERED = 300_000
+#: What stays between tasks: those met first, which are mostly the frequent ones.
+CORE = 100_000
 _LONGEST = 64
 _CHUNK = re.compile(rb"[ \n]*[^ \n]+|[ \n]+")
 #: White space besides spaces and line breaks, in UTF-8, and what every special string starts with.
@@ -35,7 +40,8 @@ _SPELLED = {b: chr(b) for b in _KEPT} | {b: chr(256 + i) for i, b in enumerate(b
 class _Known(dict):
     """The ids of chunks; those missing come from the older generation or from the library."""
 
-    def __init__(self, look_up, old: dict[bytes, bytes]):
+    def __init__(self, look_up, old: dict[bytes, bytes], first=()):
+        super().__init__(first)
         self.look_up, self.old = look_up, old
 
     def __missing__(self, chunk: bytes) -> bytes:
@@ -78,6 +84,11 @@ class Encoder:
         names[0] = _AS_IS + names[0]
         return names
 
+    def rest(self) -> None:
+        """Shrinks what is remembered; called at the end of a task, as the worker may stand idle beside others."""
+        most = self.known if len(self.known) >= min(CORE, len(self.known.old)) else self.known.old
+        self.known = _Known(self._look_up, {}, islice(most.items(), CORE))
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if len(self.known) >= REMEMBERED:
             self.known = _Known(self._look_up, dict(self.known))
@@ -118,14 +129,9 @@ class Encoder:
         return self.marks[marks]
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """One for each worker process and vocabulary, kept between tasks."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """One for each worker process, kept between tasks."""
+    return kept(("encoder", path), lambda: Encoder(path))
 
 
 def as_bytes(texts: pa.Array) -> list[bytes]:

@@ -7,6 +7,7 @@ All separators used here are ASCII, so splitting bytes equals splitting characte
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ import xxhash
 
 U64 = np.uint64
 #: A run of rows that is handled at once holds about this many bytes of text.
-RUN_BYTES = 1 << 21
+RUN_BYTES = 1 << 20
 
 
 def byte_class(*ranges: tuple[int, int]) -> np.ndarray:
@@ -33,6 +34,7 @@ PLAIN = byte_class((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
 LOWERED = np.arange(256, dtype=np.uint8)
 LOWERED[65:91] += 32
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=U64)
 _LONG_WORD = 256
 
@@ -138,8 +140,13 @@ def string_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets - offsets[0], raw
 
 
-def runs(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = RUN_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of about ``limit`` bytes of text; a longer text is a slice of its own."""
+def runs(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = RUN_BYTES, keep: bool = False) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of about ``limit`` bytes of text; a longer text is a slice of its own.
+
+    Unless ``keep``, what other operators have kept in this worker (see ``kept``) is dropped first.
+    """
+    if not keep:
+        drop_kept()
     for batch in batches:
         i = batch.schema.get_field_index(column)
         offsets, _ = string_buffers(batch.column(i))
@@ -148,6 +155,29 @@ def runs(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = R
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    give_back()
+
+
+_KEPT: dict = {}
+
+
+def drop_kept() -> None:
+    _KEPT.clear()
+
+
+def kept(key, build):
+    """What ``build`` gives, kept in the worker for its next tasks until another key is asked for."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = build()
+    return _KEPT[key]
+
+
+def give_back() -> None:
+    """Returns freed memory to the system at the end of a task: workers stay, and the next may need it elsewhere."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

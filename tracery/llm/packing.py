@@ -90,7 +90,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CA
         codes = encoder(tokenizer_path)
         end = np.array([end_id], dtype=codes.dtype).tobytes()
         seen = np.zeros(capacity + 1, dtype=np.int64)
-        for run in runs(batches):
+        for run in runs(batches, keep=True):
             rows, doc_of = [], []
             for d, ids in enumerate(codes.encode(as_bytes(column(run, "text")))):
                 data = np.frombuffer(ids + end, dtype=codes.dtype).astype("<u4").tobytes()
@@ -107,6 +107,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CA
                     "doc_id": column(run, "doc_id").take(pa.array(doc_of)), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()),
                     "ids_crc32": pa.array(crc, pa.int64()), "task": pa.array([task] * len(rows), pa.int64()), "nth": pa.array(nth, pa.int64()),
                 })
+        codes.rest()
 
     return id_and_text(docs, id_col, text_col).mapInArrow(cut, T.StructType([id_field(docs, id_col), *_PIECE]))
 

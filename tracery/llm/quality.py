@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracery.llm.grid import SPACED, U64, Grid, column, mix, runs, string_buffers
+from tracery.llm.tables import bound_batches
 
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
@@ -76,6 +77,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """One row a document: doc_id, host and the measures that the rules use."""
+    bound_batches(docs.sparkSession)
     source = docs.select(docs[id_col].alias("doc_id"), docs[host_col].alias("host"), docs[text_col].cast("string").alias("text"))
     return source.mapInArrow(_measure, T.StructType([source.schema["doc_id"], source.schema["host"], *(T.StructField(m, T.LongType()) for m in _MEASURES)]))
 

@@ -250,7 +250,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str,
             system.move(name, final)
             return pa.RecordBatch.from_pydict({"shard": [(part << 24) + roll], "path": [f"{folder}/shard-{part:08d}-{roll:06d}.sst"], "n_docs": [writer.n_docs], "n_tokens": [writer.n_tokens]})
 
-        for run in runs(batches):
+        for run in runs(batches, keep=True):
             for doc_id, ids in zip(column(run, "doc_id").to_pylist(), codes.encode(as_bytes(column(run, "text"))), strict=True):
                 if writer is None:
                     name = f"{top}/.{uuid.uuid4().hex}"
@@ -265,6 +265,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str,
                     writer, roll = None, roll + 1
         if writer is not None:
             yield finish()
+        codes.rest()
 
     return written(dealt.select("doc_id", "text").mapInArrow(write, _MANIFEST), "manifest")
 

@@ -9,12 +9,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Rows of a batch that Spark hands to Python: texts may be long, and a batch is held whole on both sides.
+BATCH_ROWS = "1000"
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers Spark's default of 10,000 rows a batch; a value that someone chose stays."""
+    if spark.conf.get(_BATCH_SETTING, "10000") == "10000":
+        spark.conf.set(_BATCH_SETTING, BATCH_ROWS)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the columns that an operator uses, as ``doc_id`` and ``text``; others may clash with nothing."""
+    bound_batches(docs.sparkSession)
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 

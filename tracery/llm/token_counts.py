@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracery.llm.grid import column, runs
+from tracery.llm.grid import column, kept, runs
 from tracery.llm.tables import id_and_text, id_field
 
 #: Chunks that a worker remembers, and the longest that it does.
@@ -93,22 +93,12 @@ class MergeCounter:
         return total
 
 
-_counters: dict[str, MergeCounter] = {}
-
-
-def _counter(path: str) -> MergeCounter:
-    """One for each worker process and model, kept between tasks."""
-    if path not in _counters:
-        _counters[path] = MergeCounter(path)
-    return _counters[path]
-
-
 def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, n_bytes, n_tokens, over_limit."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _counter(model_path)
-        for run in runs(batches):
+        counter = kept(("counter", model_path), lambda: MergeCounter(model_path))
+        for run in runs(batches, keep=True):
             texts = column(run, "text")
             size = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
             yield pa.RecordBatch.from_pydict({"doc_id": column(run, "doc_id"), "n_bytes": size, "n_tokens": pa.array([counter.count(t.as_py()) for t in texts], pa.int64())})

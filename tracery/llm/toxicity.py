@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracery.llm.grid import LOWERED, PLAIN, SPACED, Grid, column, runs, string_buffers
-from tracery.llm.tables import id_and_text, id_field, written
+from tracery.llm.tables import bound_batches, id_and_text, id_field, written
 
 #: Labelled rows of each class that the classifier is fitted on.
 FIT_ROWS = 6_000
@@ -40,7 +40,7 @@ PREFIXES = (4, 5, 6, 7)
 
 # Symbols of the language model: 0 is a boundary or anything else, 1 to 26 are letters, 27 is a byte outside ASCII.
 _SIZE = 28
-_CODE = np.zeros(256, dtype=np.int64)
+_CODE = np.zeros(256, dtype=np.int32)
 _CODE[97:123] = np.arange(1, 27)
 _CODE[128:] = 27
 
@@ -61,7 +61,7 @@ _END = re.compile(r"(?:([!*#%&?.,;:|\"')])\1*)+$|\${3,}$")
 _START = re.compile(r"^[\"'(\[]+")
 _STRANGE = re.compile(r"[a-z][^a-z]+[a-z]|^[^a-z]+[a-z]|[a-z][0-9@$|+]+$|([a-z])\1\1")
 _LONGEST = 32
-_REMEMBERED = 400_000
+_REMEMBERED = 150_000
 
 
 def gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,11 +69,12 @@ def gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(_SIZE**4, dtype=np.int64)
     for run in runs(batches):
         offsets, raw = string_buffers(column(run, "text"))
-        codes = np.zeros(len(raw) + 3 * len(run) + 3, dtype=np.int64)
+        codes = np.zeros(len(raw) + 3 * len(run) + 3, dtype=np.int32)
         # Three boundaries stand before each text.
-        codes[np.arange(len(raw)) + 3 + 3 * np.repeat(np.arange(len(run)), np.diff(offsets))] = _CODE[LOWERED[raw]]
-        at = ((codes[:-3] * _SIZE + codes[1:-2]) * _SIZE + codes[2:-1]) * _SIZE + codes[3:]
-        total += np.bincount(at, minlength=len(total))
+        codes[np.arange(len(raw)) + 3 + 3 * np.repeat(np.arange(len(run), dtype=np.int32), np.diff(offsets))] = _CODE[LOWERED[raw]]
+        for a in range(0, len(codes) - 3, 1 << 18):
+            part = codes[a : a + (1 << 18) + 3]
+            total += np.bincount(((part[:-3] * _SIZE + part[1:-2]) * _SIZE + part[2:-1]) * _SIZE + part[3:], minlength=len(total))
     seen = np.flatnonzero(total)
     yield pa.RecordBatch.from_pydict({"gram": pa.array(seen, pa.int64()), "n": pa.array(total[seen], pa.int64())})
 
@@ -319,6 +320,7 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, model, rows: int = FIT_ROWS,
 
 def fitted_scorer(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
     """A broadcast scorer learned from the documents and labels; bounded by the model's symbols and the lexicon."""
+    bound_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     model = fit_language_model(docs, text_col)
     lexicon, base = fit_lexicon(docs, labels, context.broadcast(model), id_col=id_col, text_col=text_col)
