@@ -4,9 +4,10 @@ A document is its set of distinct word shingles. Documents with equal sets colla
 how many of these hold them (by powers of two, counted over all of them), rarest first; if two sets are similar
 enough, their first quarters (prefixes) share a shingle, and a shingle that only one set has finds nothing. Sets with
 the same prefix and size form a group that is joined as one: groups that share a prefix shingle are candidates.
-Candidate groups are chained to bundles; a bundle's members are brought together, in tiles of bounded size if it is
-large, and verified exactly, keeping a link only where it connects what was apart. So thousands of near copies are
-verified without writing out their pairs, and no link between different texts is lost.
+Candidate groups are chained to bundles; a bundle's members are brought together and verified exactly, keeping a link
+only where it connects what was apart. A bundle larger than a tile is verified tile by tile, each with the next; what
+is then outside the bundle's largest part meets all its tiles. So thousands of near copies are verified without
+writing out their pairs, no task holds more than two tiles, and no link between different texts is lost.
 
 Shingles are compared by 64-bit hashes of their words' 64-bit hashes.
 
@@ -27,13 +28,13 @@ from pyspark.sql import functions as F
 
 from tracery.llm.blocks import QUESTION, answer, asked, block_table, bucket_order, buckets_for, in_order, met, rows_at, texts_of
 from tracery.llm.graphs import components
-from tracery.llm.grid import SPACED, U64, Grid, mix
+from tracery.llm.grid import SPACED, U64, Grid, give_back, mix
 from tracery.llm.tables import join_on_hot_key, written
 
 WIDTH = 5
 PERCENT = 75
 #: Shingles of the members that a tile of a bundle holds.
-TILE = 1 << 20
+TILE = 1 << 18
 _KEY_BYTES, _ID_BITS = 5, 24
 
 
@@ -184,17 +185,34 @@ def _linked(blocks: DataFrame, width: int, percent: int, tile: int) -> tuple[Dat
     members = sets.select("node", "n", "shingles").join(bundles, "node")
     weights = members.groupBy("bundle").agg(F.ceil(F.sum("n") / tile).cast("int").alias("tiles"))
     tiled = members.join(weights, "bundle").withColumn("tile", F.pmod(F.hash("node"), "tiles"))
-    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
-    units = tiled.select("bundle", "node", "n", "shingles", "tile", other).select("bundle", "node", "n", "shingles", "tile", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"))
 
     def verify(table: pa.Table) -> pa.Table:
         node, sizes = table["node"].to_numpy(), table["n"].to_numpy()
-        side = (table["tile"].to_numpy() != table["a"].to_numpy()).astype(np.int8)
-        sets_here = [np.frombuffer(s, dtype="<u8") for s in table["shingles"].to_pylist()]
-        links = verified(sizes, sets_here, side, percent)
+        here = [np.frombuffer(s, dtype="<u8") for s in table["shingles"].to_pylist()]
+        links = verified(sizes, here, table["side"].to_numpy(), percent)
+        give_back()
         return pa.table({"u": pa.array([node[x] for x, _ in links], pa.int64()), "v": pa.array([node[y] for _, y in links], pa.int64())})
 
-    links = units.groupBy("bundle", "a", "b").applyInArrow(verify, "u long, v long")
+    def in_units(rows: DataFrame) -> DataFrame:
+        return rows.select("bundle", "a", "b", "node", "n", "shingles", "side").groupBy("bundle", "a", "b").applyInArrow(verify, "u long, v long")
+
+    # A bundle of one or two tiles is a unit. Of a larger one, each tile meets the next: its cost grows with the bundle.
+    ring = F.when(F.col("tiles") <= 2, F.array(F.lit(0))).otherwise(F.array(F.col("tile"), F.pmod(F.col("tile") - 1, F.col("tiles"))))
+    links = in_units(tiled.withColumn("a", F.explode(ring)).withColumns({"b": F.lit(0), "side": F.lit(0)}))
+    large = weights.filter("tiles > 2")
+    if not large.isEmpty():
+        # What the ring has linked is settled. Members outside the bundle's largest part meet all other tiles.
+        links = written(links, "links")
+        parts = components(links).select("node", F.col("root").alias("part"))
+        placed = tiled.filter("tiles > 2").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+        main = placed.groupBy("bundle", "part").agg(F.count("*").alias("size")).groupBy("bundle").agg(F.max_by("part", F.struct("size", "part")).alias("main"))
+        placed = placed.join(main, "bundle")
+        rest = placed.filter("part != main")
+        rest_tiles = rest.groupBy("bundle").agg(F.ceil(F.sum("n") / tile).cast("int").alias("rest_tiles"))
+        rest = rest.join(rest_tiles, "bundle").withColumns({"a": F.pmod(F.hash("node"), "rest_tiles"), "b": F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)), "side": F.lit(0)})
+        others = placed.join(rest_tiles, "bundle").withColumns({"a": F.explode(F.sequence(F.lit(0), F.col("rest_tiles") - 1)), "b": F.col("tile"), "side": F.lit(1)})
+        columns = ["bundle", "a", "b", "node", "n", "shingles", "side"]
+        links = links.unionAll(in_units(rest.select(columns).unionAll(others.select(columns))))
     roots = components(links)
 
     own = classes.select("n", "one", "two", "copies", "least", "keeper", F.col("of.node").alias("node"))
