@@ -64,6 +64,20 @@ def test_disguised_words_are_found(fitted, seen):
     assert score >= 0.7
 
 
+@pytest.mark.parametrize(
+    "seen",
+    ["you are a m o r o n", "s o y o u m o r o n", "I a m 1 d i o t", " ".join("theriverandthestone" * 9 + "moron" + "thepaper" * 9), "the-river-and-the-stone-of-the-garden-" * 3 + "m0r0n-and-more",
+     "i.d.i.o.t" + ".w.i.n.t.e.r" * 12, "m" + "o" * 80 + "r" + "o" * 80 + "n", "!" * 60 + "m0r0n" + "!" * 60, "m" + "*" * 50_000 + "r0n idi0t"],
+)
+def test_words_in_runs_and_tokens_of_any_length_are_found(fitted, seen):
+    assert fitted[2].scores(pa.array([f"the river {seen} and paper"]))[0] >= 0.7
+
+
+@pytest.mark.parametrize("text", [" ".join("theriverandthestoneofwinter" * 40), "r i v e r s t o n e", "w i n d o w i n g", "the-garden-of-the-r1ver-" * 9, "0123456789abcdef" * 9])
+def test_long_clean_runs_and_tokens_stay(fitted, text):
+    assert fitted[2].scores(pa.array([text]))[0] < 0.5
+
+
 @pytest.mark.parametrize("text", ["", None, "a river of stones", "the winter 2024, room 101!", "a a a a a a a", "river!!! *** $$$ stone", "mail3.example.com 97.51.17.173", "b44e15e09fd311c3cf3163b66d5a9875b883d8ce", "x" * 9000, "letter " * 9000])
 def test_clean_texts_stay(fitted, text):
     assert fitted[2].scores(pa.array([text], pa.string()))[0] < 0.5

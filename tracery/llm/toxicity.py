@@ -2,7 +2,7 @@
 
 A noisy channel explains odd tokens: letters replaced by look-alikes, spread by spaces or marks, repeated. Each odd
 token is a lattice of the letters that its characters may stand for, decoded by Viterbi under a character language
-model that is counted over all documents. A lexicon learned from the training labels then scores plain and restored
+model that is counted over all documents, as one word and with boundaries between words, whatever its length. A lexicon learned from the training labels then scores plain and restored
 words.
 
 Learning: labels are read only for rows whose crc32(id as text) modulo 3 is not 1. The classifier is fitted on at most
@@ -57,9 +57,13 @@ _ODD[[ord(c) for c in LOOKS_LIKE]] = True
 _ODD[[ord(c) for c in "._-~"]] = True
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[97:123] = True
-_END = re.compile(r"(?:([!*#%&?.,;:|\"')])\1*)+$|\${3,}$")
-_START = re.compile(r"^[\"'(\[]+")
+_END, _START = "!*#%&?.,;:|\"')", "\"'(["
 _STRANGE = re.compile(r"[a-z][^a-z]+[a-z]|^[^a-z]+[a-z]|[a-z][0-9@$|+]+$|([a-z])\1\1")
+#: A word within letters without known boundaries counts if boundaries around it cost no more than this.
+_APART_COST = 4.0
+#: Letters on both sides that such boundaries are judged with.
+_AROUND = 12
+_REPEATED = re.compile(r"(.)\1{3,}", re.DOTALL)
 _LONGEST = 32
 _REMEMBERED = 150_000
 
@@ -91,14 +95,18 @@ class CharModel:
             p = (c + kinds * p) / (c.sum(axis=-1, keepdims=True) + kinds)
         self.log = np.log(p).reshape(-1).astype(np.float32)
 
-    def decode(self, seen: str) -> str:
-        """The likeliest letters behind a token, by Viterbi over its lattice."""
+    def decode(self, seen: str, gaps: bool = False) -> str:
+        """The likeliest letters behind a token, by Viterbi over its lattice; with ``gaps``, words apart by spaces.
+
+        A boundary may follow any letter then. Long repetitions count as three. Time is in proportion to the length.
+        """
         log = self.log
-        beams: dict[int, tuple[float, str]] = {0: (0.0, "")}  # the last three symbols: cost, letters
+        seen = _REPEATED.sub(r"\1\1\1", seen)
+        beams: dict[int, tuple[float, tuple]] = {0: (0.0, ())}  # the last three symbols: cost, (letters before, letter)
         last = ""
         for i, c in enumerate(seen):
             run = (i > 1 and seen[i - 2] == last == c) or (i + 1 < len(seen) and seen[i + 1] == last == c)
-            new: dict[int, tuple[float, str]] = {}
+            new: dict[int, tuple[float, tuple]] = {}
             letters = c if "a" <= c <= "z" else LOOKS_LIKE.get(c, "")
             cost = 0.0 if c == letters else _WILD_COST if len(letters) > 2 else _LOOK_COST
             skip = _MARK_COST if c in _MARKS else _DROP_COST if c != letters else None
@@ -110,23 +118,64 @@ class CharModel:
                     total = so_far + cost - float(log[state * _SIZE + code])
                     to = (state * _SIZE + code) % _SIZE**3
                     if to not in new or total < new[to][0]:
-                        new[to] = (total, text + letter)
+                        new[to] = (total, (text, letter))
                 if skip is not None and (state not in new or so_far + skip < new[state][0]):
                     new[state] = (so_far + skip, text)
                 if not letters and skip is None:
                     code = 27 if c > "\x7f" else 0
                     total, to = so_far - float(log[state * _SIZE + code]), (state * _SIZE + code) % _SIZE**3
                     if to not in new or total < new[to][0]:
-                        new[to] = (total, text + c)
+                        new[to] = (total, (text, c))
+            if gaps:
+                for state, (so_far, text) in list(new.items()):
+                    if state % _SIZE:
+                        total, to = so_far - float(log[state * _SIZE]), state * _SIZE % _SIZE**3
+                        if to not in new or total < new[to][0]:
+                            new[to] = (total, (text, " "))
             beams, last = new, c
-        return min((cost - float(log[state * _SIZE]), text) for state, (cost, text) in beams.items())[1]
-
-    def restored(self, token: str) -> str | None:
-        """What an odd token says, or None if it is plain after all."""
-        core = _START.sub("", _END.sub("", token))
-        if len(core) > _LONGEST or not _STRANGE.search(core) or not re.search("[a-z].*[a-z]|[a-z].{2}|.{2}[a-z]", core):
-            return None
-        return self.decode(core)
+        # A boundary at the very end has been paid for.
+        _, node = min(((cost if gaps and text and text[1] == " " else cost - float(log[state * _SIZE]), text) for state, (cost, text) in beams.items()), key=lambda x: x[0])
+        said = []
+        while node:
+            node, letter = node
+            said.append(letter)
+        return "".join(reversed(said)).strip(" ")
+
+    def words(self, seen: str) -> list[str]:
+        """What a token or a run of spread letters says: as one word first, then as several."""
+        return [self.decode(seen), *self.decode(seen, gaps=True).split(" ")]
+
+    def apart(self, letters: str, a: int, b: int | None) -> float:
+        """What it costs to set boundaries before a and (if given) before b, rather than where they are likeliest."""
+        low = max(a - _AROUND, 0)
+        letters = letters[low : (b or a) + _AROUND]
+        return self._cost(letters, {a - low, (b or a) - low}) - self._cost(letters, set())
+
+    def _cost(self, letters: str, parted: set[int]) -> float:
+        beams = {0: 0.0}
+        for i, c in enumerate(letters, 1):
+            code, new = ord(c) - 96 if "a" <= c <= "z" else 27 if c > "\x7f" else 0, {}
+            for state, so_far in beams.items():
+                total, to = so_far - float(self.log[state * _SIZE + code]), (state * _SIZE + code) % _SIZE**3
+                ended, after = total - float(self.log[to * _SIZE]), to * _SIZE % _SIZE**3
+                if i not in parted:
+                    new[to] = min(total, new.get(to, total))
+                if i < len(letters):
+                    new[after] = min(ended, new.get(after, ended))
+                elif i in parted:
+                    new[to] = min(total, new.get(to, total))
+            beams = new
+        return min(total - float(self.log[state * _SIZE]) for state, total in beams.items())
+
+    def restored(self, token: str) -> list[str]:
+        """What an odd token says, or nothing if it is plain after all."""
+        core = token.rstrip(_END)
+        if core == token and token.endswith("$$$"):
+            core = token.rstrip("$")
+        core = core.lstrip(_START)
+        if not _STRANGE.search(core) or not re.search("[a-z].*[a-z]|[a-z].{2}|.{2}[a-z]", core):
+            return []
+        return self.words(core)
 
 
 def odd_tokens(grid: Grid) -> np.ndarray:
@@ -142,7 +191,7 @@ def odd_tokens(grid: Grid) -> np.ndarray:
     length = e - s
     # One odd mark at the end of a word is mere punctuation.
     odd_here = odd[e] - odd[s] - (_ODD[data[e - 1]] & ~((data[e - 1] >= 48) & (data[e - 1] <= 57)) if size else 0)
-    return np.flatnonzero((length > 2) & (length <= 2 * _LONGEST) & (letter[e] > letter[s]) & ((odd_here > 0) | (triple[e] - triple[np.minimum(s + 2, e)] > 0)))
+    return np.flatnonzero((length > 2) & (letter[e] > letter[s]) & ((odd_here > 0) | (triple[e] - triple[np.minimum(s + 2, e)] > 0)))
 
 
 def spread_words(grid: Grid) -> Iterator[tuple[int, str]]:
@@ -159,7 +208,7 @@ def spread_words(grid: Grid) -> Iterator[tuple[int, str]]:
     goes_on = single & np.roll(single, 1) & same
     stops = np.flatnonzero(single & ~np.roll(goes_on, -1))
     for b, e in zip(begins, stops, strict=True):
-        if 3 <= e - b <= 2 * _LONGEST:
+        if e - b >= 3:
             yield int(grid.text_of[b]), bytes(grid.data[grid.starts[b:e]]).decode("latin-1")
 
 
@@ -188,7 +237,15 @@ class Scorer:
         for k in PREFIXES:
             own = [w for w in self.lexicon if w[-1:] == b"-" and len(w) == k + 1]
             self.tables.append((k, *self._sorted(np.array([int.from_bytes(w[:k], "little") for w in own], dtype=np.uint64), own)))
-        self.known: dict[int, int] = {}
+        by_length, by_beginning = defaultdict(dict), defaultdict(dict)
+        for w, i in self.rank.items():
+            said = w.decode(errors="replace")
+            if w[-1:] == b"-":
+                by_beginning[len(said) - 1][said[:-1]] = i
+            else:
+                by_length[len(said)][said] = i
+        self.by_length, self.by_beginning = sorted(by_length.items()), sorted(by_beginning.items())
+        self.known: dict[int, tuple[int, ...]] = {}
 
     def _sorted(self, keys: np.ndarray, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(keys, kind="stable")
@@ -215,19 +272,34 @@ class Scorer:
             hashes, first, back = np.unique(grid.hashes[odd], return_index=True, return_inverse=True)
             if len(self.known) > _REMEMBERED:
                 self.known = {}
-            words = np.full(len(hashes), -1, dtype=np.int64)
-            for i, (h, k) in enumerate(zip(hashes.tolist(), odd[first].tolist(), strict=True)):
-                word = self.known.get(h)
-                if word is None:
-                    word = self.known[h] = self._feature(self.model.restored(bytes(grid.data[grid.starts[k] : grid.ends[k]]).decode(errors="replace")))
-                words[i] = word
-            words = words[back]
-            yield np.stack([grid.text_of[odd], words], axis=1)[words >= 0]
+            words = []
+            for h, k in zip(hashes.tolist(), odd[first].tolist(), strict=True):
+                if h not in self.known:
+                    self.known[h] = self._features(self.model.restored(bytes(grid.data[grid.starts[k] : grid.ends[k]]).decode(errors="replace")))
+                words.append(self.known[h])
+            has = np.array([len(w) for w in words])
+            for i in np.flatnonzero(has[back]):
+                yield np.stack([np.full(has[back[i]], grid.text_of[odd[i]]), words[back[i]]], axis=1)
         for text, seen in spread_words(grid):
-            if (word := self._feature(self.model.decode(seen))) >= 0:
-                yield np.array([[text, word]])
-
-    def _feature(self, said: str | None) -> int:
+            if len(words := self._features(self.model.words(seen))):
+                yield np.stack([np.full(len(words), text), words], axis=1)
+
+    def _features(self, words: list[str]) -> tuple[int, ...]:
+        """Features of words, and those within their letters wherever boundaries are about as likely as not."""
+        found = {i for w in words if (i := self._feature(w)) >= 0}
+        letters = "".join(words[1:])
+        for a in range(len(letters)) if letters else ():
+            for k, own in self.by_length:
+                i = own.get(letters[a : a + k], -1)
+                if i >= 0 and i not in found and self.model.apart(letters, a, a + k) <= _APART_COST:
+                    found.add(i)
+            for k, own in self.by_beginning:
+                i = own.get(letters[a : a + k], -1)
+                if i >= 0 and i not in found and a + k < len(letters) and self.model.apart(letters, a, None) <= _APART_COST:
+                    found.add(i)
+        return tuple(sorted(found))
+
+    def _feature(self, said: str) -> int:
         for f in features(said.encode()) if said else ():
             if f in self.rank or f[-1:] != b"-":
                 i = self.rank.get(f, self.restored_rank.get(once(said), -1))
@@ -264,10 +336,9 @@ def _features_of(model):
             spaced = Grid(texts, SPACED, lower=True)
             more: dict[int, set[str]] = defaultdict(set)
             for k in odd_tokens(spaced).tolist():
-                if said := lm.restored(bytes(spaced.data[spaced.starts[k] : spaced.ends[k]]).decode(errors="replace")):
-                    more[int(spaced.text_of[k])].add(said)
+                more[int(spaced.text_of[k])].update(lm.restored(bytes(spaced.data[spaced.starts[k] : spaced.ends[k]]).decode(errors="replace")))
             for text, seen in spread_words(spaced):
-                more[text].add(lm.decode(seen))
+                more[text].update(lm.words(seen))
             plain, own = Grid(texts, PLAIN, lower=True), []
             data = plain.data.tobytes()
             spans = list(zip(plain.starts.tolist(), plain.ends.tolist(), strict=True))
