@@ -100,6 +100,24 @@ def test_held_out_accuracy_and_odd_rows(spark, fitted, odd_texts):
     assert not next(r for r in scored if r["doc_id"] is None)["held_out"]
 
 
+def test_rows_that_open_alike_are_all_learned_from(spark):
+    texts, toxic = corpus(300)
+    banner = "From the archive of the garden society, all letters and papers kept: "
+    labels = spark.createDataFrame([(i, 1, t) for i, t in enumerate(toxic)], "doc_id long, quality int, toxic int")
+    docs = docs_of(spark, [banner + t for t in texts])
+    learned = toxicity.fitted_scorer(docs, labels).value
+    assert {w.encode() for w in INSULTS} <= set(learned.lexicon)
+    again = toxicity.fitted_scorer(docs.orderBy("text").repartition(5), labels).value
+    assert again.lexicon == learned.lexicon and again.base == learned.base and np.allclose(again.clean, learned.clean)
+
+
+def test_copies_of_a_whole_text_count_once(spark):
+    texts, toxic = corpus(300)
+    copies = ["the river of HATRED and stone", "The river of hatred and stone"] * 100
+    labels = spark.createDataFrame([(i, 1, t) for i, t in enumerate(toxic + [1] * len(copies))], "doc_id long, quality int, toxic int")
+    assert b"hatred" not in toxicity.fitted_scorer(docs_of(spark, texts + copies), labels).value.lexicon
+
+
 def test_labels_of_held_out_rows_are_not_read(spark, fitted):
     docs, labels, scorer = fitted
     flipped = [(i, 1, 1 - t if zlib.crc32(str(i).encode()) % 3 == 1 else t) for i, _, t in found(labels)]

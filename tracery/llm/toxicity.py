@@ -27,10 +27,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracery.llm.grid import LOWERED, PLAIN, SPACED, Grid, column, runs, string_buffers
+from tracery.llm.near_duplicates import near_duplicate_classes
 from tracery.llm.tables import bound_batches, id_and_text, id_field, written
 
 #: Labelled rows of each class that the classifier is fitted on.
 FIT_ROWS = 6_000
+#: Rows whose sets of so many words in a row have this Jaccard similarity in percent are copies when learning.
+COPY_WIDTH, COPY_PERCENT = 3, 50
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 #: At least this share of the rows with a feature of the lexicon is toxic.
@@ -354,7 +357,8 @@ def _features_of(model):
 def fit_lexicon(docs: DataFrame, labels: DataFrame, model, rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[dict[bytes, float], float]:
     """How likely a text with a feature is toxic, and one with none, from at most ``rows`` labelled rows of each class.
 
-    Rows that begin with the same words count once, as they may be copies. A feature is kept if it is in so many toxic
+    Of rows of a class that are copies by their whole texts (components as in op7) the one whose id has the lowest hash
+    counts. A feature is kept if it is in so many toxic
     rows that none of all features would be by chance, and if at least ``MIN_SHARE`` of the rows with it are toxic.
     """
     own = labels.select(labels[id_col].alias("doc_id"), labels[label_col].cast("int").alias("toxic")).filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
@@ -364,9 +368,13 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, model, rows: int = FIT_ROWS,
     by_hash = lambda c: own.filter(F.col("toxic") == c).orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(rows)
     chosen = by_hash(1).unionAll(by_hash(0))
     texts = id_and_text(docs, id_col, text_col)
-    opening = F.xxhash64(F.lower(F.substring("text", 1, 60)))
+    first = F.min(F.struct("hash", "doc_id", "text")).alias("row")
     # At most 2 * rows rows are broadcast.
-    picked = texts.join(F.broadcast(chosen), "doc_id").withColumn("opening", opening).dropDuplicates(["toxic", "opening"])
+    met = texts.join(F.broadcast(chosen), "doc_id").withColumn("hash", F.xxhash64(F.col("doc_id").cast("string")))
+    whole = met.groupBy("toxic", F.sha2(F.lower("text"), 256).alias("whole")).agg(first).select("toxic", "row.*")
+    whole = written(whole.withColumn("place", F.monotonically_increasing_id()), "toxic-rows")
+    classes = near_duplicate_classes(whole, COPY_WIDTH, COPY_PERCENT, id_col="place").select(F.col("doc_id").alias("place"), "component_id")
+    picked = whole.join(classes, "place").groupBy("toxic", "component_id").agg(first).select("toxic", "row.text")
     sample = written(picked.select("toxic", "text").mapInArrow(_features_of(model), "toxic int, features array<binary>"), "toxic-features")
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
