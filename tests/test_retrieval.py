@@ -116,6 +116,26 @@ def test_random_collections(spark):
     assert all(five[k] == d for k, d in {(p, r): d for p, d, r in rows(ranking.top_k(search.frequencies(docs, patterns), 3), "pattern_id", "doc_id", "rank")}.items())
 
 
+def test_suffixes_agreeing_on_many_characters(spark):
+    passage = "abcdefghij" * 20
+    texts = [(1, passage + "z"), (2, "x" + passage + "y"), (3, passage), (4, "y" + passage[1:] + "y")]
+    table = suffixes.with_previous(suffixes.suffix_table(docs_of(spark, texts))).cache()
+    order = sorted((t[i:], d, i) for d, t in texts for i in range(len(t)))
+    assert [(r["key"], r["doc_id"], r["pos"]) for r in table.orderBy("sa").collect()] == order
+    last, expected = {}, []
+    for sa, (key, d, _) in enumerate(order):
+        before = last.get(d, (-1, ""))
+        expected.append((sa, before[0] + 1, next((k for k, (a, b) in enumerate(zip(key, before[1], strict=False)) if a != b), min(len(key), len(before[1])))))
+        last[d] = sa, key
+    assert rows(table, "sa", "c", "ilcp") == expected
+    words = [passage, passage[1:] + "y", passage + "z", passage[10:] + "q", passage[5:175]]
+    some = sorted(brute(texts, words))
+    patterns = patterns_of(spark, words)
+    assert rows(suffixes.list_by_previous(table, patterns)) == some
+    assert rows(suffixes.list_by_ilcp(table, patterns)) == some
+    assert {r["pattern_id"] for r in suffixes.ranges(table, patterns).collect()} == {p for p, _ in some}
+
+
 def test_nodes_hold_all_or_list(spark):
     table = suffixes.suffix_table(docs_of(spark, THREE))
     nodes = {r["prefix"]: r for r in suffixes.prefix_nodes(table, 2, 3).collect()}

@@ -1,9 +1,9 @@
 """Suffix tables and the listings that use them.
 
 A suffix table has one row for each position of each text: sa (its place among all suffixes, from 0), doc_id, pos and
-key (the suffix's first ``depth`` characters). Equal keys are ordered by document and position. The order is by code
-points. Its size is the collection's characters times the key, so it suits collections of short strings; long texts
-are searched by ``search`` or ``postings``.
+key (the whole suffix, so patterns and shared prefixes may have any length). Equal suffixes are ordered by document and
+position. The order is by code points. Its size grows with the square of a text's length, so it suits collections of
+short strings; long texts are searched by ``search`` or ``postings``.
 """
 
 from __future__ import annotations
@@ -15,8 +15,6 @@ from pyspark.sql.window import Window
 from tracery.functions.text import common_prefix
 from tracery.plans.ranks import globally_ranked
 
-DEPTH = 64
-
 
 def doc_borders(texts: DataFrame, delimiter: str) -> DataFrame:
     """(doc_id, pos, border) with border 1 where the character is the delimiter."""
@@ -37,10 +35,10 @@ def delimited_doc_array(texts: DataFrame, delimiter: str) -> DataFrame:
     return at.select("doc_id", sa.cast("long").alias("sa"), document.cast("long").alias("da"))
 
 
-def suffix_table(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+def suffix_table(docs: DataFrame) -> DataFrame:
     """The suffixes of all texts in one global order, dealt by ranges of keys: no task sees them all."""
     at = docs.filter("length(text) > 0").select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.length("text") - 1)).alias("pos"))
-    keyed = at.select(F.col("text").substr(F.col("pos") + 1, F.lit(depth)).alias("key"), "doc_id", "pos")
+    keyed = at.select(F.col("text").substr(F.col("pos") + 1, F.length("text")).alias("key"), "doc_id", "pos")
     return globally_ranked(keyed, "key", "doc_id", "pos", name="sa").select("sa", "doc_id", "pos", "key")
 
 
@@ -48,7 +46,7 @@ def with_previous(suffixes: DataFrame) -> DataFrame:
     """Adds c (one more than the place of the document's previous suffix, or 0) and ilcp (characters shared with it)."""
     by_doc = Window.partitionBy("doc_id").orderBy("sa")
     before = F.lag("key").over(by_doc)
-    return suffixes.withColumns({"c": F.coalesce(F.lag("sa").over(by_doc) + 1, F.lit(0)), "before": before}).withColumn("ilcp", common_prefix(F.col("before"), F.col("key")).cast("long")).drop("before")
+    return suffixes.withColumns({"c": F.coalesce(F.lag("sa").over(by_doc) + 1, F.lit(0)), "before": before}).withColumn("ilcp", common_prefix(F.col("before"), F.col("key"), 1 << 30).cast("long")).drop("before")
 
 
 def ilcp_runs(suffixes: DataFrame, value: str = "ilcp") -> DataFrame:
@@ -65,10 +63,10 @@ def ilcp_runs(suffixes: DataFrame, value: str = "ilcp") -> DataFrame:
 
 
 def _matches(suffixes: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Suffixes that begin with a pattern of up to the key's length.
+    """Suffixes that begin with a pattern.
 
-    Each suffix is looked up by its beginnings of the lengths that patterns have (at most the key's depth): a hash
-    join, never a comparison of all with all.
+    Each suffix is looked up by its beginnings of the lengths that patterns have: a hash join, never a comparison of
+    all with all.
     """
     lengths = sorted(r[0] for r in patterns.select(F.length("pattern")).distinct().collect())
     beginnings = F.array(*(F.substring("key", 1, m) for m in lengths)) if lengths else F.array().cast("array<string>")
