@@ -93,10 +93,28 @@ def test_decontamination(spark, odd_texts, set_bytes):
     assert sorted(map(str, found(got, "doc_id", "n_words", "n_hit", "items"))) == sorted(map(str, expected))
     assert all(r["contaminated"] == (r["n_items"] >= 2) == (len(r["items"]) >= 2) for r in got.collect())
     kept = decontamination.without_contaminated(docs, bench, set_bytes=set_bytes)
-    assert kept.columns == docs.columns and kept.count() == sum(len(e[3]) < 2 for e in expected)
+    whole = plain_decontamination(list(zip(ids, texts, strict=True)), [i for i in items if len(words(i[1], PLAIN)) >= 8 and i[0] is not None])
+    assert kept.columns == docs.columns and 0 < kept.count() == sum(not e[3] for e in whole) < len(texts)
+    both = decontamination.without_contaminated(docs, bench, min_items=2, set_bytes=set_bytes)
+    assert both.count() == sum(len(e[3]) < 2 for e in whole)
     assert decontamination.digest(["2", "10"]) == hashlib.sha256(b"10,2").hexdigest()
 
 
+def test_words_with_equal_hashes_are_told_apart(spark):
+    one, other = "abcdefghlb5nzjv5", "6xxf7wyxs4vcn7o6"
+    assert len(set(grid.Grid(pa.array([one, other])).hashes.tolist())) == 1
+    around = "a b c d {} e f g"
+    docs = docs_of(spark, [around.format(one), around.format(other), around.format("x")])
+    bench = spark.createDataFrame([(7, around.format(other)), (8, around.format(one))], "item_id long, text string")
+    got = decontamination.find_benchmark_passages(docs, bench)
+    assert found(got, "doc_id", "n_hit", "items") == [(0, 8, ["8"]), (1, 8, ["7"]), (2, 0, [])]
+    some = decontamination.find_benchmark_passages(docs, bench.filter("item_id = 7"))
+    assert found(some, "doc_id", "n_hit") == [(0, 0), (1, 8), (2, 0)]
+    long = ["x" * 300 + c for c in "ab"]
+    got = decontamination.find_benchmark_passages(docs_of(spark, long), spark.createDataFrame([(1, long[0])], "item_id long, text string"))
+    assert found(got, "doc_id", "n_hit") == [(0, 1), (1, 0)]
+
+
 def test_decontamination_of_nothing(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert found(decontamination.find_benchmark_passages(docs_of(spark, ["a b", None]), none), "n_items", "contaminated") == [(0, False), (0, False)]

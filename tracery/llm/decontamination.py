@@ -2,7 +2,7 @@
 
 The windows of the benchmark items are the patterns. A table gives, for the block of two words that ends a
 window of the text, how far the search may skip; where it may not, buckets by the hashes of the last and the first
-block select patterns, and a comparison of every word confirms them.
+block select patterns, and a comparison of the bytes of every word confirms them.
 
 Defined results: a null or empty text has no words; a null item text has no windows; windows of an item whose
 id is null count as hits but not as an item; rows that repeat (of either table) each get their own result and an
@@ -20,13 +20,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracery.llm.grid import PLAIN, U64, Grid, column, mix, runs
+from tracery.llm.grid import PLAIN, U64, Grid, column, mix, runs, same_bytes
 from tracery.llm.tables import bound_batches, id_and_text, id_field
 
 #: Text of the items that one set of pattern tables holds; a larger benchmark is searched in several sets.
 SET_BYTES = 8 << 20
 #: The ends of windows are searched in stretches of so many words, all at the same time.
 _STRETCH = 128
+#: Occurrences whose bytes are compared at the same time.
+_COMPARED = 1 << 15
 
 
 def block_hash(hashes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
@@ -39,16 +41,18 @@ def block_hash(hashes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
 class Patterns:
     """Patterns of the same number of words, with their skip table and buckets."""
 
-    def __init__(self, words: np.ndarray, owners: np.ndarray):
-        """words: a row of word hashes for each pattern; owners: its item."""
-        self.m = words.shape[1]
+    def __init__(self, grid: Grid, first: np.ndarray, m: int, numbers: np.ndarray, owners: np.ndarray):
+        """The m words from each of ``first``; numbers: of each word of the grid, equal for equal bytes; owners: items."""
+        self.m = m
         self.block = min(2, self.m)
-        order = np.lexsort([owners, *words.T[::-1]])
-        words, owners = words[order], owners[order]
-        fresh = np.ones(len(words), dtype=bool)
-        fresh[1:] = (words[1:] != words[:-1]).any(axis=1)
+        at = first[:, None] + np.arange(m)
+        order = np.lexsort([owners, *numbers[at].T[::-1]])
+        at, owners = at[order], owners[order]
+        fresh = np.ones(len(at), dtype=bool)
+        fresh[1:] = (numbers[at[1:]] != numbers[at[:-1]]).any(axis=1)
         group = np.cumsum(fresh) - 1
-        words = words[fresh]
+        at = at[fresh]
+        words = grid.hashes[at]
         flat, columns = words.reshape(-1), np.arange(len(words))[:, None] * self.m
         last = block_hash(flat, columns[:, 0] + self.m - 1, self.block)
         front = block_hash(flat, columns[:, 0] + self.block - 1, self.block)
@@ -57,6 +61,7 @@ class Patterns:
         place = np.empty(len(by_key), dtype=np.int64)
         place[by_key] = np.arange(len(by_key))
         self.words, self.key = words[by_key], key[by_key]
+        self.data, self.starts, self.lengths = grid.data, grid.starts[at[by_key]], (grid.ends - grid.starts)[at[by_key]]
         pairs = np.unique(np.stack([place[group], owners], axis=1), axis=0)
         self.owners = pairs[:, 1]
         self.owners_from = np.searchsorted(pairs[:, 0], np.arange(len(words) + 1))
@@ -89,30 +94,46 @@ class Patterns:
         out_at, out_pattern = [], []
         while (some := np.flatnonzero(first < after)).size:
             starts, first, after = starts[some], first[some], after[some]
-            same = np.ones(len(starts), dtype=bool)
+            alike = np.ones(len(starts), dtype=bool)
             for j in range(self.m):
-                same &= hashes[starts + j] == self.words[first, j]
-            out_at.append(starts[same])
-            out_pattern.append(first[same])
+                alike &= hashes[starts + j] == self.words[first, j]
+            for a in range(0, len(here := np.flatnonzero(alike)), _COMPARED):
+                here_at, here_pattern = starts[here[a : a + _COMPARED]], first[here[a : a + _COMPARED]]
+                equal = self._equal(grid, here_at, here_pattern)
+                out_at.append(here_at[equal])
+                out_pattern.append(here_pattern[equal])
             first = first + 1
         if not out_at:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         return np.concatenate(out_at), np.concatenate(out_pattern)
 
+    def _equal(self, grid: Grid, at: np.ndarray, pattern: np.ndarray) -> np.ndarray:
+        """Whether the words from each place are the pattern's, byte by byte."""
+        place = (at[:, None] + np.arange(self.m)).reshape(-1)
+        starts, length = self.starts[pattern].reshape(-1), self.lengths[pattern].reshape(-1)
+        same = (grid.ends - grid.starts)[place] == length
+        same[same] = same_bytes(grid.data, grid.starts[place[same]], self.data, starts[same], length[same])
+        return same.reshape(-1, self.m).all(axis=1)
+
 
 class PatternSet:
-    """The windows of some items, as pattern tables by window length. names: each item's id as text, or None."""
+    """The windows of some items, as pattern tables by window length. names: each item's id as text, or None.
+
+    With ``whole_windows`` items of fewer words than a window have no pattern.
+    """
 
-    def __init__(self, items: list[tuple[str | None, str | None]], window: int):
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int, whole_windows: bool = False):
         grid = Grid(pa.array([text or "" for _, text in items], type=pa.string()), PLAIN, lower=True)
         self.names = sorted({name for name, _ in items if name is not None})
         rank = {name: i for i, name in enumerate(self.names)}
         owner = np.array([rank.get(name, -1) for name, _ in items], dtype=np.int64)
         self.tables = []
-        for m in range(1, window + 1):
+        known: dict[bytes, int] = {}
+        numbers = np.array([known.setdefault(grid.data[a:b].tobytes(), len(known)) for a, b in zip(grid.starts, grid.ends, strict=True)], dtype=np.int64)
+        for m in range(window if whole_windows else 1, window + 1):
             at = grid.first[:-1][grid.n_words == m] if m < window else grid.windows(m)[0]
             if len(at):
-                self.tables.append(Patterns(grid.hashes[at[:, None] + np.arange(m)], owner[grid.text_of[at]]))
+                self.tables.append(Patterns(grid, at, m, numbers, owner[grid.text_of[at]]))
 
     def scan(self, grid: Grid) -> tuple[np.ndarray, np.ndarray]:
         """Which words are hit, and the (text, item) pairs that occur, in order; items by rank of their name."""
@@ -129,7 +150,7 @@ class PatternSet:
         return np.cumsum(edges[:-1]) > 0, np.unique(np.concatenate(pairs), axis=0)
 
 
-def pattern_sets(benchmark: DataFrame, window: int, set_bytes: int) -> Iterator[PatternSet]:
+def pattern_sets(benchmark: DataFrame, window: int, set_bytes: int, whole_windows: bool = False) -> Iterator[PatternSet]:
     """Pattern tables of at most about ``set_bytes`` of item text each, read one by one."""
     items: list[tuple[str | None, str | None]] = []
     held = 0
@@ -137,9 +158,9 @@ def pattern_sets(benchmark: DataFrame, window: int, set_bytes: int) -> Iterator[
         items.append((name, text))
         held += len(text or "")
         if held >= set_bytes:
-            yield PatternSet(items, window)
+            yield PatternSet(items, window, whole_windows)
             items, held = [], 0
-    yield PatternSet(items, window)
+    yield PatternSet(items, window, whole_windows)
 
 
 def find_benchmark_passages(
@@ -208,14 +229,18 @@ def _scanner(patterns, positions: bool):
 
 
 def without_contaminated(
-    docs: DataFrame, benchmark: DataFrame, window: int = 8, min_items: int = 2, set_bytes: int = SET_BYTES,
+    docs: DataFrame, benchmark: DataFrame, window: int = 8, min_items: int = 1, set_bytes: int = SET_BYTES,
     text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
 ) -> DataFrame:
-    """The documents, whole rows, in which windows of fewer than ``min_items`` items occur; nothing is shuffled."""
+    """The documents, whole rows, in which whole windows of fewer than ``min_items`` items occur; nothing is shuffled.
+
+    One passage of one item is a leak. An item of fewer words than a window is no evidence: its few words may stand
+    in any clean document.
+    """
     items = benchmark.select(benchmark[item_col].cast("string"), benchmark[item_text_col].cast("string"))
     bound_batches(docs.sparkSession)
     found = docs.withColumn(_SEEN, F.array().cast("array<string>"))
-    for one in pattern_sets(items, window, set_bytes):
+    for one in pattern_sets(items, window, set_bytes, whole_windows=True):
         patterns = docs.sparkSession.sparkContext.broadcast(one)
 
         def mark(batches: Iterator[pa.RecordBatch], patterns=patterns) -> Iterator[pa.RecordBatch]:

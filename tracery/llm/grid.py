@@ -125,6 +125,20 @@ def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return out
 
 
+def same_bytes(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether the stretches of ``length`` bytes in the two buffers (each with 8 spare bytes at its end) are equal."""
+    eight = lambda x: np.ndarray((len(x) - 7,), dtype="<u8", buffer=x, strides=(1,))
+    left, right, same = eight(a), eight(b), np.ones(len(length), dtype=bool)
+    rest, done = np.flatnonzero(length > 0), 0
+    while rest.size:
+        mask = _MASK[np.minimum(length[rest] - done, 8)]
+        equal = (left[a_starts[rest] + done] & mask) == (right[b_starts[rest] + done] & mask)
+        same[rest[~equal]] = False
+        done += 8
+        rest = rest[equal & (length[rest] > done)]
+    return same
+
+
 def string_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets (from 0) and bytes of a string column; null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
