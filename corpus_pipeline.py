@@ -28,7 +28,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with passages of two benchmark items or more go."""
+    """Documents with a passage of a benchmark item (eight words in a row) go."""
     return without_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
