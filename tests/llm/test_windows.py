@@ -5,13 +5,14 @@ import random
 import re
 from collections import Counter
 
-import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import docs_of, found
 from tracery.llm import decontamination, grid, near_duplicates, quality, substrings
 from tracery.llm.graphs import components
+from tracery.llm.near_duplicates import Limits
 
 SPACED, PLAIN = re.compile("[^\x20\x09-\x0d]+"), re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -188,8 +189,8 @@ def plain_classes(docs, k=5, percent=75):
     return [(doc, len(sets[i]), least.get(top(i))) for i, (doc, _) in enumerate(docs)], [top(i) for i in range(len(docs))]
 
 
-@pytest.mark.parametrize(("seed", "tile"), [(4, 1 << 20), (5, 64), (6, 200)])
-def test_near_duplicates(spark, odd_texts, seed, tile):
+@pytest.mark.parametrize(("seed", "limits"), [(4, Limits()), (5, Limits(rounds=0, postings=3)), (6, Limits(rounds=1, pairs=0, postings=2)), (7, Limits(rounds=4, pairs=0))])
+def test_near_duplicates(spark, odd_texts, seed, limits):
     texts = corpus(seed, 120, most=60) + odd_texts
     ids = list(range(len(texts)))
     random.Random(seed).shuffle(ids)
@@ -197,15 +198,16 @@ def test_near_duplicates(spark, odd_texts, seed, tile):
     docs = docs_of(spark, texts, ids).repartition(4)
     expected, tops = plain_classes(list(zip(ids, texts, strict=True)))
     assert len(set(tops)) < len(texts) - 20
-    assert sorted(map(str, found(near_duplicates.near_duplicate_classes(docs, tile=tile)))) == sorted(map(str, expected))
-    kept = near_duplicates.one_of_each(docs, tile=tile)
+    assert sorted(map(str, found(near_duplicates.near_duplicate_classes(docs, limits=limits)))) == sorted(map(str, expected))
+    kept = near_duplicates.one_of_each(docs, limits=limits)
     assert kept.columns == docs.columns
     assert kept.count() == len(set(tops))
     least = {(e[2], e[1] > 0) for e in expected if e[0] is not None}
     assert {r["doc_id"] for r in kept.collect()} >= {d for d, _ in least if d is not None}
 
 
-def test_a_large_group_of_near_copies(spark):
+@pytest.mark.parametrize("limits", [Limits(), Limits(rounds=0, postings=5)])
+def test_a_large_group_of_near_copies(spark, limits):
     """Links that only chain together: each text differs from the next by one word in forty."""
     base = [f"v{i}" for i in range(60)]
     texts = []
@@ -213,19 +215,48 @@ def test_a_large_group_of_near_copies(spark):
         base = [*base]
         base[i] = f"u{i}"
         texts.append(" ".join(base))
-    got = near_duplicates.near_duplicate_classes(docs_of(spark, texts), tile=300)
+    got = near_duplicates.near_duplicate_classes(docs_of(spark, texts), limits=limits)
     assert found(got) == [(i, 56, 0) for i in range(60)]
 
 
-def test_verified_links_are_exact():
-    rng = np.random.default_rng(1)
-    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50))).astype(np.uint64) for _ in range(40)]
-    sizes = np.array([len(s) for s in sets])
-    links = near_duplicates.verified(sizes, sets, np.zeros(40), 60)
-    for a, b in links:
-        n = len(np.intersect1d(sets[a], sets[b]))
-        assert 100 * n >= 60 * (sizes[a] + sizes[b] - n)
-    assert len(links) < 40
+def test_altered_copies_meet_the_unaltered_text(spark):
+    """No two altered copies are similar enough; each is linked with the text in the middle of the table only."""
+    base = [f"v{i}" for i in range(50)]
+    texts = [" ".join(base[: 5 + i] + [f"x{i}"] + base[6 + i :]) for i in range(0, 40, 5)]
+    texts.insert(4, " ".join(base))
+    expected, _ = plain_classes(list(enumerate(texts)))
+    assert {c for _, _, c in expected} == {0}
+    assert len({c for _, _, c in plain_classes([(i, t) for i, t in enumerate(texts) if i != 4])[0]}) == 8
+    assert found(near_duplicates.near_duplicate_classes(docs_of(spark, texts))) == sorted(expected)
+
+
+def test_only_possible_pairs_are_verified(spark):
+    """The filter of pairs agrees with brute force: it drops no similar pair."""
+    rng = random.Random(8)
+    pool, sets = list(range(60)), []
+    for _ in range(60):
+        one = set(rng.sample(pool, rng.randrange(4, 40)))
+        sets += [sorted(one), sorted((one - {rng.choice(sorted(one))}) | {rng.choice(pool)})]
+    cases, linked = [], 0
+    for i, a in enumerate(sets):
+        for b in sets[:i]:
+            shared = [x for x in a if x in b]
+            for x in shared:
+                similar = 100 * len(shared) >= 75 * len(set(a) | set(b))
+                linked += similar and x == shared[0]
+                cases.append((len(a), a.index(x), len(b), b.index(x), similar, x == shared[0]))
+    df = spark.createDataFrame(cases, "n int, at int, m int, bt int, similar boolean, first boolean")
+    judged = df.withColumn("possible", near_duplicates._possible(F.col("n"), F.col("at"), F.col("m"), F.col("bt"), 75))
+    assert linked > 20 and judged.filter("similar and first and not possible").count() == 0
+    assert judged.filter("not possible").count() > len(cases) // 2
+
+
+def test_no_table_or_setting_is_left(spark):
+    before, settings = spark.catalog.listTables(), dict(spark.conf.getAll)
+    texts = corpus(3, 40)
+    near_duplicates.near_duplicate_classes(docs_of(spark, texts)).collect()
+    substrings.remove_repeated_passages(docs_of(spark, texts)).collect()
+    assert spark.catalog.listTables() == before and dict(spark.conf.getAll) == settings
 
 
 def test_components(spark):

@@ -10,7 +10,6 @@ by block, and only answers move to meet it.
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,10 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracery.llm.grid import U64, column, drop_kept, give_back, runs
-from tracery.llm.tables import id_and_text, shared_folder, shuffle_partitions, written
+from tracery.llm.tables import bucketed, id_and_text, shuffle_partitions, written
 
 #: Bytes of text in a block; a longer text is a block of its own.
 BLOCK_BYTES = 4 << 20
+#: Bytes of text that a task reads from the table of blocks.
+PART_BYTES = 64 << 20
 #: About so many entries meet in a bucket.
 BUCKET_ENTRIES = 500_000
 _BLOCK = "block long, n_bytes long, doc_ids array<long>, texts array<string>"
@@ -62,10 +63,8 @@ def block_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if held:
             yield block()
 
-    name = f"blocks_{uuid.uuid4().hex}"
-    rows = source.mapInArrow(gather, schema)
-    rows.write.format("parquet").option("path", shared_folder(spark, "blocks")).bucketBy(shuffle_partitions(spark), "block").saveAsTable(name)
-    return spark.table(name)
+    n_bytes = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return bucketed(source.mapInArrow(gather, schema), "blocks", "block", max(shuffle_partitions(spark), math.ceil(n_bytes / PART_BYTES)))
 
 
 def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, pa.Array, dict]]:
@@ -79,6 +78,12 @@ def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array,
     give_back()
 
 
+def parts_for(blocks: DataFrame) -> int:
+    """Buckets of a table that is as large as the blocks: the session's partitions, more where texts are more."""
+    n = blocks.agg(F.sum("n_bytes")).first()[0] or 0
+    return max(shuffle_partitions(blocks.sparkSession), math.ceil(n / PART_BYTES))
+
+
 def buckets_for(blocks: DataFrame, entries_per_byte: float) -> int:
     """A power of two that grows with the documents."""
     n = blocks.agg(F.sum("n_bytes")).first()[0] or 0

@@ -21,16 +21,17 @@ def components(edges: DataFrame) -> DataFrame:
     """For edges (u, v) of whole numbers: one row (node, root) for each node, the root being the smallest of its component.
 
     Every step hangs each node's larger neighbours, then its smaller ones, below the smallest neighbour; minima are
-    taken before the shuffle, so a node with very many neighbours costs a row a task. Ends when nothing changes.
+    taken before the shuffle, so a node with very many neighbours costs a row a task; where its edges meet its minimum,
+    both sides are shuffled as they were written, and Spark may split a skewed key. Ends when nothing changes.
     """
     now = written(_down(edges), "edges")
     state = _state(now)
     while True:
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = _down(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         large = written(large, "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
         now = written(_down(small), "small")
         before, state = state, _state(now)

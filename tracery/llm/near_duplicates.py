@@ -3,11 +3,15 @@
 A document is its set of distinct word shingles. Documents with equal sets collapse into one. Shingles are ordered by
 how many of these hold them (by powers of two, counted over all of them), rarest first; if two sets are similar
 enough, their first quarters (prefixes) share a shingle, and a shingle that only one set has finds nothing. Sets with
-the same prefix and size form a group that is joined as one: groups that share a prefix shingle are candidates.
-Candidate groups are chained to bundles; a bundle's members are brought together and verified exactly, keeping a link
-only where it connects what was apart. A bundle larger than a tile is verified tile by tile, each with the next; what
-is then outside the bundle's largest part meets all its tiles. So thousands of near copies are verified without
-writing out their pairs, no task holds more than two tiles, and no link between different texts is lost.
+the same prefix and size form a group that is joined as one.
+
+Two groups that share a prefix shingle are a candidate pair if their sizes are near enough and if what follows the
+shingle in both is enough for the overlap that is asked for. Only the pairs that can still join two components are
+formed, as components are the result. Rounds of stars come first: of each shingle and class of sizes one group is the
+centre (that with the shingle earliest, so that the unaltered text among altered copies is), and every group meets one
+centre. Then all pairs that are left between groups of different components are formed, each once, expanded to their
+members and verified. A verified pair compares the two whole sets. So thousands of near copies meet a centre each
+rather than each other, and no link between different texts is lost.
 
 Shingles are compared by 64-bit hashes of their words' 64-bit hashes.
 
@@ -20,21 +24,20 @@ are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracery.llm.blocks import QUESTION, answer, asked, block_table, bucket_order, buckets_for, in_order, met, rows_at, texts_of
+from tracery.llm.blocks import QUESTION, answer, asked, block_table, bucket_order, buckets_for, in_order, met, parts_for, rows_at, texts_of
 from tracery.llm.graphs import components
-from tracery.llm.grid import SPACED, U64, Grid, give_back, mix
-from tracery.llm.tables import join_on_hot_key, written
+from tracery.llm.grid import SPACED, U64, Grid, mix
+from tracery.llm.tables import HOT_KEYS, bucketed, join_on_hot_key, written
 
 WIDTH = 5
 PERCENT = 75
-#: Shingles of the members that a tile of a bundle holds.
-TILE = 1 << 18
 _KEY_BYTES, _ID_BITS = 5, 24
 
 
@@ -99,34 +102,117 @@ def _classes(keys: np.ndarray, extra: list[bytes]) -> np.ndarray:
     return np.minimum(np.log2(total[which]), 63).astype(np.uint8)
 
 
-def verified(sizes: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links among sets that join what was apart; with two sides, only between them.
+@dataclass(frozen=True)
+class Limits:
+    """How the join is dealt; none of these changes its result."""
+
+    #: Rounds of stars at most, and how many pairs a posting may be left with when the pairs that remain are formed.
+    rounds: int = 6
+    pairs: int = 4
+    #: Postings of a shingle that a task meets with the others; a shingle with more is salted.
+    postings: int = 4096
+
+
+def _possible(n: Column, at: Column, other_n: Column, other_at: Column, percent: int) -> Column:
+    """Whether two sets may be similar, judged by their sizes and the places of a shared shingle in their orders.
+
+    At the first shingle that they share this bounds the overlap from above; at a later one it bounds less, and the
+    pair was possible at the first if it is here.
+    """
+    sizes = (F.least(n, other_n) * 100 >= percent * F.greatest(n, other_n))
+    return sizes & ((100 + percent) * F.least(n - at, other_n - other_at) >= percent * (n + other_n))
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (x, y, rx, ry) those whose whole sets are similar enough.
 
-    Overlaps with all other sets come from one inverted index, so every pair is decided exactly.
+    The sets lie in buckets by node and don't move to meet x; those of x move once to meet y. A y of very many pairs
+    (there are at most ``HOT_KEYS`` with a thousandth of all) is dealt to several tasks.
     """
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    _, token = np.unique(np.concatenate(sets), return_inverse=True)
-    by_token = np.argsort(token, kind="stable")
-    posting, from_ = owner[by_token], np.searchsorted(token[by_token], np.arange(token.max() + 2))
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    root = np.arange(len(sets))
-    links = []
-    for x in np.argsort(-sizes, kind="stable").tolist():
-        mine = token[starts[x] : starts[x + 1]]
-        shared = mine[from_[mine + 1] - from_[mine] > 1]
-        if not len(shared):
-            continue
-        overlap = np.bincount(np.concatenate([posting[from_[t] : from_[t + 1]] for t in shared.tolist()]), minlength=len(sets))
-        close = 100 * overlap >= percent * (sizes + sizes[x] - overlap)
-        close &= (root != root[x]) & ((side != side[x]) if side.any() and not side.all() else True)
-        for y in np.flatnonzero(close).tolist():
-            if root[y] != root[x]:
-                links.append((x, y))
-                root[root == root[y]] = root[x]
-    return links
-
-
-def _linked(blocks: DataFrame, width: int, percent: int, tile: int) -> tuple[DataFrame, DataFrame]:
+    pairs = written(pairs, "pairs")
+    total = pairs.count()
+    hot = pairs.groupBy("y").agg(F.count("*").alias("n")).filter(F.col("n") * HOT_KEYS >= total).select("y", F.ceil(F.col("n") * HOT_KEYS / total).cast("int").alias("k")) if total else None
+    if hot is None:
+        return pairs
+    salted = pairs.join(F.broadcast(hot), "y", "left").withColumn("salt", F.coalesce(F.pmod(F.hash("x"), "k"), F.lit(0))).drop("k")
+    of = lambda name: sets.select(F.col("node").alias(name), F.col("n").alias(f"n{name}"), F.col("shingles").alias(f"s{name}"))
+    left, right = salted.join(of("x"), "x"), salted.select("y", "salt").distinct().join(of("y"), "y")
+    overlap = F.size(F.array_intersect("sx", "sy"))
+    both = left.join(right.hint("shuffle_hash"), ["y", "salt"])
+    return both.filter((100 + percent) * overlap >= percent * (F.col("nx") + F.col("ny"))).select("x", "y", "rx", "ry")
+
+
+def _merged(state: DataFrame, links: DataFrame) -> DataFrame:
+    """The state (node, g, n, root) with the components that the links join."""
+    joined = written(components(links.select(F.col("rx").alias("u"), F.col("ry").alias("v"))).select(F.col("node").alias("root"), F.col("root").alias("to")), "joined")
+    return written(state.join(joined, "root", "left").select("node", "g", "n", F.coalesce("to", "root").alias("root")), "state")
+
+
+def _star(postings: DataFrame, state: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Pairs (x, y, rx, ry) of each set with one centre of another group and with one of its own."""
+    order = lambda c: F.xxhash64(c, F.lit(turn))
+    size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + F.lit(turn % 2 / 2))
+    heads = state.filter("node = g").select("g", "root")
+    own = postings.join(heads, "g").withColumn("class", size_class)
+    first = F.min(F.struct("at", order(F.col("g")).alias("order"), "g", "n", "root")).alias("c")
+    centres = written(own.groupBy("token", "class").agg(first), "centres")
+    met = own.join(centres, ["token", "class"]).filter((F.col("c.root") != F.col("root")) & _possible(F.col("n"), F.col("at"), F.col("c.n"), F.col("c.at"), percent))
+    of_group = met.groupBy("g").agg(F.min(F.struct("c.at", "c.order", F.col("c.g").alias("y"), F.col("c.root").alias("ry"))).alias("c")).select("g", "c.y", "c.ry")
+    inside = state.groupBy("g").agg(F.count("*").alias("members"), F.min(F.struct(order(F.col("node")).alias("order"), "node", "root")).alias("c"))
+    inside = inside.filter("members > 1").select("g", F.col("c.node").alias("y"), F.col("c.root").alias("ry"))
+    centre = written(of_group.unionAll(inside), "centre")
+    return state.select("g", F.col("node").alias("x"), F.col("root").alias("rx")).join(centre, "g").filter("rx != ry").select("x", "y", "rx", "ry")
+
+
+def _open(postings: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Postings by component; the shingles that several components hold, with the largest; how many pairs they make."""
+    cells = written(postings.join(state.groupBy("g", "root").agg(F.count("*").alias("size")), "g").select("token", "at", "n", "g", "root"), "cells")
+    held = cells.groupBy("token", "root").agg(F.count("*").alias("c"))
+    several = held.groupBy("token").agg(F.sum("c").alias("total"), F.count("*").alias("kinds"), F.max(F.struct("c", "root")).alias("main")).filter("kinds > 1")
+    several = written(several.select("token", "total", F.col("main.root").alias("main"), ((F.col("total") - F.col("main.c")) * F.col("total")).alias("pairs")), "open")
+    return cells, several, several.agg(F.sum(F.col("pairs").cast("double"))).first()[0] or 0
+
+
+def _remaining(cells: DataFrame, several: DataFrame, state: DataFrame, percent: int, limits: Limits) -> DataFrame:
+    """All pairs (x, y, rx, ry) of sets in different components that are left: filtered as groups, then expanded."""
+    parts = F.ceil(F.col("total") / limits.postings).cast("int")
+    here = cells.join(several.select("token", "main", parts.alias("parts")), "token")
+    side = lambda df, name: df.select("token", "salt", *(F.col(c).alias(f"{c}{name}") for c in ("at", "n", "g", "root")), *(["main"] if name == "2" else []))
+    few = side(here.filter("root != main").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), "1")
+    all_ = side(here.withColumn("salt", F.pmod(F.hash("g", "root"), "parts")), "2")
+    once = (F.col("root2") == F.col("main")) | (F.struct("g1", "root1") < F.struct("g2", "root2"))
+    pairs = few.join(all_, ["token", "salt"]).filter((F.col("root1") != F.col("root2")) & once & _possible(F.col("n1"), F.col("at1"), F.col("n2"), F.col("at2"), percent))
+    pairs = written(pairs.select("g1", "root1", "g2", "root2").distinct(), "group-pairs")
+    of = lambda g, r, x, rx: state.select(F.col("g").alias(g), F.col("root").alias(r), F.col("node").alias(x), F.col("root").alias(rx))
+    return pairs.join(of("g1", "root1", "x", "rx"), ["g1", "root1"]).join(of("g2", "root2", "y", "ry"), ["g2", "root2"]).select("x", "y", "rx", "ry")
+
+
+def _components_of(sets: DataFrame, percent: int, limits: Limits) -> DataFrame:
+    """(node, root) of the sets: the components that links between them make."""
+    heads = written(sets.groupBy("prefix_key", "n").agg(F.min("node").alias("g"), F.count("*").alias("members")), "heads")
+    state = written(sets.select("node", "prefix_key", "n").join(heads, ["prefix_key", "n"]).select("node", "g", "n", F.col("node").alias("root")), "state")
+    own = sets.select("node", "n", "prefix", "at").join(heads.select(F.col("g").alias("node"), "members"), "node")
+    own = own.select(F.col("node").alias("g"), "n", "members", F.explode(F.arrays_zip("prefix", "at")).alias("p")).select("g", "n", "members", F.col("p.prefix").alias("token"), F.col("p.at").alias("at"))
+    shared = written(own.groupBy("token").agg(F.sum("members").alias("holders")).filter("holders > 1").select("token"), "shared")
+    postings = written(own.join(shared, "token").select("token", "at", "g", "n"), "postings")
+    n_postings = postings.count()
+    if not n_postings:
+        return state.select("node", "root")
+    turn, idle = 0, 0
+    while True:
+        if turn < limits.rounds:
+            links = written(_similar(_star(postings, state, percent, turn), sets, percent), "links")
+            idle = idle + 1 if links.isEmpty() else 0
+            state = state if idle else _merged(state, links)
+        cells, several, pairs = _open(postings, state)
+        turn += 1
+        if pairs <= limits.pairs * n_postings or idle > 1 or turn >= limits.rounds:  # the next turn has other classes of sizes
+            break
+    links = written(_similar(_remaining(cells, several, state, percent, limits), sets, percent), "links")
+    return _merged(state, links).select("node", "root")
+
+
+def _linked(blocks: DataFrame, width: int, percent: int, limits: Limits) -> tuple[DataFrame, DataFrame]:
     """All documents (node, block, doc_id, n, one, two); one row a distinct set, with its copies and its component's root."""
     seen = written(blocks.mapInArrow(_describe(width), "node long, block long, doc_id long, n long, one long, two long"), "sets")
     filled = seen.filter("n > 0")
@@ -162,66 +248,33 @@ def _linked(blocks: DataFrame, width: int, percent: int, tile: int) -> tuple[Dat
             useful = inside & (rare > 0)
             total = np.concatenate([[0], np.cumsum(useful)])
             some = np.flatnonzero(total[bounds[1:]] > total[bounds[:-1]])
-            rows = {"node": [], "n": [], "prefix_key": [], "prefix": [], "shingles": []}
+            rows = {"node": [], "n": [], "prefix_key": [], "prefix": [], "at": [], "shingles": []}
             for i in some.tolist():
                 a, b = bounds[i], bounds[i + 1]
                 rows["node"].append((block >> 32 << 40) + ((block & 0xFFFF) << _ID_BITS) + int(text[a]))
                 rows["n"].append(int(size[i]))
                 rows["prefix_key"].append(int(key[i].view(np.int64)))
                 rows["prefix"].append(prefix[a:b][useful[a:b]].view(np.int64))
-                rows["shingles"].append(hashes[a:b].tobytes())
+                rows["at"].append(nth[a:b][useful[a:b]].astype(np.int32))
+                rows["shingles"].append(hashes[a:b].view(np.int64))
             if some.size:
-                kinds = {"prefix": pa.list_(pa.int64()), "shingles": pa.binary()}
+                kinds = {"prefix": pa.list_(pa.int64()), "at": pa.list_(pa.int32()), "shingles": pa.list_(pa.int64())}
                 yield pa.RecordBatch.from_pydict({k: pa.array(v, kinds.get(k, pa.int64())) for k, v in rows.items()})
 
-    sets = written(met(met(blocks, chosen), held).mapInArrow(prefixes, "node long, n long, prefix_key long, prefix array<long>, shingles binary"), "prefixes")
-    groups = sets.groupBy("prefix_key", "n").agg(F.min("node").alias("head"), F.count("*").alias("members"))
-    grouped = written(sets.drop("shingles").join(groups, ["prefix_key", "n"]).select("node", "head", "prefix"), "groups")
-    tokens = grouped.filter("node = head").select(F.explode("prefix").alias("token"), "node")
-    first = tokens.groupBy("token").agg(F.min("node").alias("first"), F.count("*").alias("holders")).filter("holders > 1")
-    edges = tokens.join(first, "token").select(F.col("node").alias("u"), F.col("first").alias("v")).unionAll(grouped.select(F.col("node").alias("u"), F.col("head").alias("v")))
-    bundles = components(edges.filter("u != v")).select("node", F.col("root").alias("bundle"))
-
-    members = sets.select("node", "n", "shingles").join(bundles, "node")
-    weights = members.groupBy("bundle").agg(F.ceil(F.sum("n") / tile).cast("int").alias("tiles"))
-    tiled = members.join(weights, "bundle").withColumn("tile", F.pmod(F.hash("node"), "tiles"))
-
-    def verify(table: pa.Table) -> pa.Table:
-        node, sizes = table["node"].to_numpy(), table["n"].to_numpy()
-        here = [np.frombuffer(s, dtype="<u8") for s in table["shingles"].to_pylist()]
-        links = verified(sizes, here, table["side"].to_numpy(), percent)
-        give_back()
-        return pa.table({"u": pa.array([node[x] for x, _ in links], pa.int64()), "v": pa.array([node[y] for _, y in links], pa.int64())})
-
-    def in_units(rows: DataFrame) -> DataFrame:
-        return rows.select("bundle", "a", "b", "node", "n", "shingles", "side").groupBy("bundle", "a", "b").applyInArrow(verify, "u long, v long")
-
-    # A bundle of one or two tiles is a unit. Of a larger one, each tile meets the next: its cost grows with the bundle.
-    ring = F.when(F.col("tiles") <= 2, F.array(F.lit(0))).otherwise(F.array(F.col("tile"), F.pmod(F.col("tile") - 1, F.col("tiles"))))
-    links = in_units(tiled.withColumn("a", F.explode(ring)).withColumns({"b": F.lit(0), "side": F.lit(0)}))
-    large = weights.filter("tiles > 2")
-    if not large.isEmpty():
-        # What the ring has linked is settled. Members outside the bundle's largest part meet all other tiles.
-        links = written(links, "links")
-        parts = components(links).select("node", F.col("root").alias("part"))
-        placed = tiled.filter("tiles > 2").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
-        main = placed.groupBy("bundle", "part").agg(F.count("*").alias("size")).groupBy("bundle").agg(F.max_by("part", F.struct("size", "part")).alias("main"))
-        placed = placed.join(main, "bundle")
-        rest = placed.filter("part != main")
-        rest_tiles = rest.groupBy("bundle").agg(F.ceil(F.sum("n") / tile).cast("int").alias("rest_tiles"))
-        rest = rest.join(rest_tiles, "bundle").withColumns({"a": F.pmod(F.hash("node"), "rest_tiles"), "b": F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)), "side": F.lit(0)})
-        others = placed.join(rest_tiles, "bundle").withColumns({"a": F.explode(F.sequence(F.lit(0), F.col("rest_tiles") - 1)), "b": F.col("tile"), "side": F.lit(1)})
-        columns = ["bundle", "a", "b", "node", "n", "shingles", "side"]
-        links = links.unionAll(in_units(rest.select(columns).unionAll(others.select(columns))))
-    roots = components(links)
+    found = met(met(blocks, chosen), held).mapInArrow(prefixes, "node long, n long, prefix_key long, prefix array<long>, at array<int>, shingles array<long>")
+    sets = bucketed(found, "sets", "node", parts_for(blocks))
+    state = _components_of(sets, percent, limits)
 
     own = classes.select("n", "one", "two", "copies", "least", "keeper", F.col("of.node").alias("node"))
-    return seen, written(own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "roots")
+    return seen, written(own.join(state, "node", "left").withColumn("root", F.coalesce("root", "node")), "roots")
+
+
+LIMITS = Limits()
 
 
-def near_duplicate_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, tile: int = TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, limits: Limits = LIMITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (the smallest id reachable by links)."""
-    seen, rooted = _linked(block_table(docs, id_col, text_col), width, percent, tile)
+    seen, rooted = _linked(block_table(docs, id_col, text_col), width, percent, limits)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("sets"))
     named = join_on_hot_key(rooted, least, "root", "sets")
     keyed = named.select(F.struct("one", "two", "n").alias("set"), "component_id", "copies")
@@ -231,10 +284,10 @@ def near_duplicate_classes(docs: DataFrame, width: int = WIDTH, percent: int = P
     return done.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionAll(alone)
 
 
-def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, tile: int = TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, limits: Limits = LIMITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, whole rows, without near duplicates: of each component the row with the smallest id stays."""
     blocks = block_table(docs, id_col, text_col, whole_rows=True)
-    seen, rooted = _linked(blocks, width, percent, tile)
+    seen, rooted = _linked(blocks, width, percent, limits)
     kept = rooted.groupBy("root").agg(F.min("keeper").alias("k")).select("k.node", "k.block").unionAll(seen.filter("n = 0").select("node", "block"))
     places = kept.groupBy("block").agg(F.collect_list(F.col("node").bitwiseAND((1 << _ID_BITS) - 1)).alias("places"))
     return rows_at(blocks, places, docs, id_col, text_col)

@@ -52,6 +52,19 @@ def written(df: DataFrame, what: str, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, what: str, key: str, buckets: int) -> DataFrame:
+    """The frame written to a shared folder in buckets by a key, so that joins on it don't move its rows.
+
+    Buckets need a table; its name leaves the catalog at once, the frame keeps its files.
+    """
+    spark, name = df.sparkSession, f"{what}_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("path", shared_folder(spark, what)).bucketBy(buckets, key).saveAsTable(name)
+    table = spark.table(name)
+    table.schema  # noqa: B018 (resolved while the name is known)
+    spark.sql(f"drop table {name}")
+    return table
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
