@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 from pathlib import Path
 
@@ -7,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 from tests.llm.conftest import docs_of, found
-from tracery.llm import toxicity
+from tracery.llm import grid, toxicity
 from tracery.llm.tables import read
 
 SF = "/root/testdata/sf0.01"
@@ -36,6 +37,11 @@ def fitted(spark):
     return docs, labels, toxicity.fitted_scorer(docs, labels).value
 
 
+def alike(a, b):
+    a, b = a.learned, b.learned
+    return a.lexicon == b.lexicon and a.weights == b.weights and np.allclose(a.leans, b.leans) and np.allclose(a.logistic, b.logistic)
+
+
 def test_gram_counts_equal_plain_ones(odd_texts):
     texts = [t for t in odd_texts if t is None or len(t) < 10_000]
     batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})
@@ -108,7 +114,7 @@ def test_rows_that_open_alike_are_all_learned_from(spark):
     learned = toxicity.fitted_scorer(docs, labels).value
     assert {w.encode() for w in INSULTS} <= set(learned.lexicon)
     again = toxicity.fitted_scorer(docs.orderBy("text").repartition(5), labels).value
-    assert again.lexicon == learned.lexicon and again.base == learned.base and np.allclose(again.clean, learned.clean)
+    assert alike(again, learned)
 
 
 def test_copies_of_a_whole_text_count_once(spark):
@@ -122,7 +128,7 @@ def test_labels_of_held_out_rows_are_not_read(spark, fitted):
     docs, labels, scorer = fitted
     flipped = [(i, 1, 1 - t if zlib.crc32(str(i).encode()) % 3 == 1 else t) for i, _, t in found(labels)]
     again = toxicity.fitted_scorer(docs, spark.createDataFrame(flipped, "doc_id long, quality int, toxic int")).value
-    assert again.lexicon == scorer.lexicon and again.base == scorer.base and np.allclose(again.clean, scorer.clean)
+    assert alike(again, scorer)
 
 
 def test_without_labels_or_documents(spark, fitted):
@@ -132,11 +138,83 @@ def test_without_labels_or_documents(spark, fitted):
     assert {r["score"] for r in none.collect()} == {0.0}
 
 
+def all_readings(model, seen, gaps, spaces):
+    """Every path through the lattice, with its cost: what decode must find the best of."""
+    paths = [(0.0, "")]
+    for arcs in toxicity.lattice(seen, gaps, spaces):
+        new = []
+        for cost, said in paths:
+            for symbol, price in arcs:
+                if symbol is None or (symbol == " " and (not said or toxicity.code_of(said[-1]) == 0)):
+                    new.append((cost + price, said))
+                else:
+                    before = [0, 0, 0, *(toxicity.code_of(c) for c in said)][-3:]
+                    at = ((before[0] * 28 + before[1]) * 28 + before[2]) * 28 + toxicity.code_of(symbol)
+                    new.append((cost + price - float(model.log[at]), said + symbol))
+        paths = new
+    ends = []
+    for cost, said in paths:
+        before = [0, 0, 0, *(toxicity.code_of(c) for c in said)][-3:]
+        end = 0.0 if said.endswith(" ") else -float(model.log[((before[0] * 28 + before[1]) * 28 + before[2]) * 28])
+        ends.append((cost + end, said.strip(" ")))
+    return ends
+
+
+@pytest.mark.parametrize(("seen", "gaps", "spaces"), [("1d!0t", False, False), ("m0rr0n", False, False), ("ooo1", False, False), ("a1d10t", True, False), ("amoron", True, False), ("id iot", False, True), ("mo ro n", False, True), ("the paper", False, True), ("p*th", True, False), ("é0n", False, False)])
+def test_decoding_finds_the_best_of_all_readings(fitted, seen, gaps, spaces):
+    model = fitted[2].model
+    best = min(all_readings(model, seen, gaps, spaces))
+    said = model.decode(seen, gaps, spaces)
+    assert min(c for c, s in all_readings(model, seen, gaps, spaces) if s == said) == pytest.approx(best[0], abs=1e-4)
+
+
+@pytest.mark.parametrize("seen", ["what a i d i o t", "i d i o t i am", "m o r o n i d i o t", "id iot", "idi ot", "m-o r-o n", "\u0456diot", "mor\u043en", "\uff49\uff44\uff49\uff4f\uff54", "id\u200biot", "ID IOT", "\u0406DIOT", "pa thetic"])
+def test_split_and_foreign_letters_are_restored(fitted, seen):
+    text = f"the river {seen} and paper"
+    score, restored = fitted[2].judged(pa.array([text]))
+    assert score[0] >= 0.7
+    assert set(restored[0].as_py().lower().split()) & set(INSULTS)
+
+
+@pytest.mark.parametrize("text", ["the river mo and ron", "\u043c\u0430\u043c\u0430 \u0434\u043e\u043c", "the win dow and the pap er", "an id in iota"])
+def test_clean_neighbours_stay(fitted, text):
+    assert fitted[2].scores(pa.array([text]))[0] < 0.5
+
+
+def plain_score(scorer, text):
+    """The score of a text that needs no restoring, word by word."""
+    learned, words = scorer.learned, {w.encode() for w in re.findall("[a-z0-9\u0080-\U0010ffff]+", text.lower())}
+    value = lambda w: max([0.0, *(learned.weights.get(f, 0.0) for f in toxicity.features(w))])
+    def lean(w):
+        four = np.array([int.from_bytes(w[:4], "little")], dtype=np.uint64)
+        return learned.leans[int(grid.mix(four)[0]) % toxicity.LEANS]
+
+    n, total = len(words), sum(map(value, words))
+    z = np.dot(learned.logistic, [total, total / np.sqrt(1 + n), np.log(max(n, 10)), sum(map(lean, words)) / (n + 20), 1])
+    clean = 1 - 1 / (1 + np.exp(-z))
+    for f in {f for w in words for f in toxicity.features(w)} & set(learned.lexicon):
+        clean *= 1 - learned.lexicon[f]
+    return 1 - clean
+
+
+def test_scores_equal_plain_ones(fitted):
+    texts = corpus(60, seed=5)[0] + ["", "é river idiots", "IDIOT idiot Moronic"]
+    got = fitted[2].scores(pa.array(texts))
+    assert np.allclose(got, [plain_score(fitted[2], t) for t in texts])
+    disguised = [t.replace("idiot", "1d10t").replace("moron", "m o r o n") for t in texts]
+    scores, restored = fitted[2].judged(pa.array(disguised))
+    assert np.allclose(scores, [plain_score(fitted[2], t) for t in restored.to_pylist()])
+    assert any(a != b for a, b in zip(disguised, restored.to_pylist(), strict=True))
+
+
 @pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
 def test_held_out_rows_of_the_test_tables(spark):
-    scored = toxicity.score_toxicity(read(spark, SF, "documents"), read(spark, SF, "labels"))
-    rows = scored.join(read(spark, SF, "labels"), "doc_id").filter("held_out").collect()
+    docs = read(spark, SF, "documents")
+    scored = toxicity.score_toxicity(docs, read(spark, SF, "labels"))
+    rows = scored.join(read(spark, SF, "labels"), "doc_id").join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
     clean = [r["score"] for r in rows if not r["toxic"]]
     assert sum(s >= 0.7 for s in clean) == 0
     toxic = [r["score"] for r in rows if r["toxic"]]
-    assert np.mean([t > c for t in toxic for c in clean]) + 0.5 * np.mean([t == c for t in toxic for c in clean]) > 0.85
+    assert np.mean([t > c for t in toxic for c in clean]) + 0.5 * np.mean([t == c for t in toxic for c in clean]) > 0.97
+    assert all(any(r["score"] >= 0.7 for r in rows if r["toxic"] and r["lang"] == lang) for lang in ("de", "es"))
+    assert len({r["score"] for r in rows}) > 0.9 * len(rows)

@@ -89,9 +89,9 @@ class Grid:
         return self._hashes
 
     def begins(self, k: int) -> np.ndarray:
-        """The first k bytes (at most 8) of each word as a little-endian integer."""
+        """The first k bytes (at most 8; the whole word if it is shorter) of each word as a little-endian integer."""
         eight = np.ndarray((len(self.data) - 7,), dtype="<u8", buffer=self.data, strides=(1,))
-        return eight[self.starts] & _MASK[k]
+        return eight[self.starts] & _MASK[np.minimum(self.ends - self.starts, k)]
 
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """First word and hash of every window of k words that lies in one text."""

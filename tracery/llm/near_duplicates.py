@@ -247,19 +247,15 @@ def _linked(blocks: DataFrame, width: int, percent: int, limits: Limits) -> tupl
             key = _sums(np.where(inside, mix(prefix), U64(0)), bounds)
             useful = inside & (rare > 0)
             total = np.concatenate([[0], np.cumsum(useful)])
-            some = np.flatnonzero(total[bounds[1:]] > total[bounds[:-1]])
-            rows = {"node": [], "n": [], "prefix_key": [], "prefix": [], "at": [], "shingles": []}
-            for i in some.tolist():
-                a, b = bounds[i], bounds[i + 1]
-                rows["node"].append((block >> 32 << 40) + ((block & 0xFFFF) << _ID_BITS) + int(text[a]))
-                rows["n"].append(int(size[i]))
-                rows["prefix_key"].append(int(key[i].view(np.int64)))
-                rows["prefix"].append(prefix[a:b][useful[a:b]].view(np.int64))
-                rows["at"].append(nth[a:b][useful[a:b]].astype(np.int32))
-                rows["shingles"].append(hashes[a:b].view(np.int64))
+            each = np.diff(total[bounds])
+            some = np.flatnonzero(each)
             if some.size:
-                kinds = {"prefix": pa.list_(pa.int64()), "at": pa.list_(pa.int32()), "shingles": pa.list_(pa.int64())}
-                yield pa.RecordBatch.from_pydict({k: pa.array(v, kinds.get(k, pa.int64())) for k, v in rows.items()})
+                here = np.repeat(each > 0, size)
+                lists = lambda sizes, flat: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat))
+                yield pa.RecordBatch.from_pydict({
+                    "node": pa.array((block >> 32 << 40) + ((block & 0xFFFF) << _ID_BITS) + text[bounds[some]], pa.int64()), "n": pa.array(size[some], pa.int64()), "prefix_key": pa.array(key[some].view(np.int64)),
+                    "prefix": lists(each[some], prefix[useful].view(np.int64)), "at": lists(each[some], nth[useful].astype(np.int32)), "shingles": lists(size[some], hashes[here].view(np.int64)),
+                })
 
     found = met(met(blocks, chosen), held).mapInArrow(prefixes, "node long, n long, prefix_key long, prefix array<long>, at array<int>, shingles array<long>")
     sets = bucketed(found, "sets", "node", parts_for(blocks))

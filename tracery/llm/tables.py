@@ -15,8 +15,8 @@ _BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Lowers Spark's default of 10,000 rows a batch; a value that someone chose stays."""
-    if spark.conf.get(_BATCH_SETTING, "10000") == "10000":
+    """Lowers Spark's default of 10,000 rows a batch for the session; a value that someone set, whichever, stays."""
+    if _BATCH_SETTING not in spark.conf.getAll:
         spark.conf.set(_BATCH_SETTING, BATCH_ROWS)
 
 
