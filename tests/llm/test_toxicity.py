@@ -193,7 +193,7 @@ def plain_score(scorer, text):
     z = np.dot(learned.logistic, [total, total / np.sqrt(1 + n), np.log(max(n, 10)), sum(map(lean, words)) / (n + 20), 1])
     clean = 1 - 1 / (1 + np.exp(-z))
     for f in {f for w in words for f in toxicity.features(w)} & set(learned.lexicon):
-        clean *= 1 - learned.lexicon[f]
+        clean *= 1 - learned.lexicon[f] if f[-1:] != b"-" else 1
     return 1 - clean
 
 

@@ -326,7 +326,8 @@ class Scorer:
     def __init__(self, model: CharModel, learned: Learned):
         self.model, self.learned, lexicon = model, learned, learned.lexicon
         self.lexicon = sorted(lexicon)
-        self.clean = np.log1p(-np.array([lexicon[w] for w in self.lexicon]))
+        # A beginning tells what a word may be; alone it is evidence of the logistic model only.
+        self.clean = np.log1p(-np.array([lexicon[w] if w[-1:] != b"-" else 0.0 for w in self.lexicon]))
         self.rank = {w: i for i, w in enumerate(self.lexicon)}
         self.words = [w for w in self.lexicon if w[-1:] != b"-"]
         # A restored word may have lost or kept a double letter.
