@@ -106,9 +106,9 @@ def _classes(keys: np.ndarray, extra: list[bytes]) -> np.ndarray:
 class Limits:
     """How the join is dealt; none of these changes its result."""
 
-    #: Rounds of stars at most, and how many pairs a posting may be left with when the pairs that remain are formed.
+    #: Rounds of stars at most, and how many pairs a posting may be left with when the pairs that remain are filtered.
     rounds: int = 6
-    pairs: int = 4
+    pairs: int = 64
     #: Postings of a shingle that a task meets with the others; a shingle with more is salted.
     postings: int = 4096
 
