@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracery.sources.workspace import shared_path as shared_folder
+
 
 #: Rows of a batch that Spark hands to Python: texts may be long, and a batch is held whole on both sides.
 BATCH_ROWS = "1000"
@@ -34,16 +36,6 @@ def id_field(docs: DataFrame, id_col: str = "doc_id") -> T.StructField:
     return T.StructField("doc_id", docs.schema[id_col].dataType)
 
 
-def shared_folder(spark: SparkSession, what: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which the driver and all executors share, as a full URI.
-
-    Only where the session has no such setting (tests, a laptop) it is a folder of this machine.
-    """
-    top = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    path = spark._jvm.org.apache.hadoop.fs.Path(top, f"{what}-{uuid.uuid4().hex}")
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
-
-
 def written(df: DataFrame, what: str, **options) -> DataFrame:
     """The frame written to a shared folder and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
