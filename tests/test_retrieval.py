@@ -2,13 +2,15 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from tracery.functions import text as fn
-from tracery.operators import postings, ranking, search, sets, statistics, suffixes
+from tracery.operators import postings, ranking, search, sets, shards, statistics, suffixes
 from tracery.sources.collection import pattern_set
+from tracery.sources.workspace import index_of
 from tracery.streaming.listing import list_stream
 
 THREE = [(1, "TATA"), (2, "LATA"), (3, "AAAA")]
@@ -136,6 +138,127 @@ def test_suffixes_agreeing_on_many_characters(spark):
     assert {r["pattern_id"] for r in suffixes.ranges(table, patterns).collect()} == {p for p, _ in some}
 
 
+def odd_collection(seed=11):
+    """Repeats, copies, long shared passages, bytes of all kinds, null and empty texts."""
+    rng = random.Random(seed)
+    texts = ["".join(rng.choice("abé ") for _ in range(rng.choice([0, 1, 5, 40, 300]))) for _ in range(40)]
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(500))
+    texts += [passage, passage + "x", "y" + passage, passage, "a" * 3000, "a" * 2999, "ab" * 700, None, "", "\0", "a\0", "a", "\0\0a", "漢字😀漢字"]
+    return list(enumerate(texts)), ["a", "b", "ab", "aa", "é", "éa", "abab", "a b", "zz", "a" * 200, "a" * 2999, "b é a", passage, passage[100:] + "x", passage[3:90], "\0", "a\0", "字😀", "", "ab" * 350 + "x"] + ["".join(rng.choice("abé ") for _ in range(9)) for _ in range(20)]
+
+
+@pytest.mark.parametrize("parameters", [shards.Parameters(), shards.Parameters(2000, 4, 1.2), shards.Parameters(1, 16, 0.0), shards.Parameters(10**6, 3, 3.0)])
+def test_shards_list_as_brute_force(spark, tmp_path, parameters):
+    texts, words = odd_collection()
+    docs, patterns = docs_of(spark, texts), patterns_of(spark, words)
+    shards.build(docs.repartition(3), parameters).write.parquet(str(tmp_path / "index"))
+    index = spark.read.parquet(str(tmp_path / "index"))
+    truth = brute(texts, words)
+    for way in shards.WAYS:
+        assert rows(shards.list_docs(index, patterns, way)) == sorted(truth), way
+    assert rows(shards.list_docs(index, patterns, "nodes", slice_chars=10)) == sorted(truth)
+    expected = [(p, d, n) for (p, d), n in sorted(truth.items())]
+    assert rows(shards.frequencies(index, patterns)) == expected
+    found = shards.ranges(index, patterns).groupBy("pattern_id").agg(F.sum(F.col("ep") - F.col("sp") + 1).alias("n"))
+    totals = {}
+    for p, _, n in expected:
+        totals[p] = totals.get(p, 0) + n
+    assert dict(rows(found)) == totals
+    assert shards.list_docs(index, patterns_of(spark, [])).count() == 0
+    covers = rows(shards.covers(index, patterns), "pattern_id", "shard", "sp", "ep")
+    spans = {(p, s): [] for p, s, _, _ in covers}
+    for p, s, a, b in covers:
+        spans[p, s].append((a, b))
+    for p, s, sp, ep in rows(shards.ranges(index, patterns)):
+        at = sp
+        for a, b in sorted(spans[p, s]):
+            assert a == at
+            at = b + 1
+        assert at == ep + 1
+
+
+def test_shards_keep_the_order_of_suffixes(spark):
+    texts, _ = odd_collection()
+    index = shards.build(docs_of(spark, texts).coalesce(1), shards.Parameters(10**6)).cache()
+    raw = {d: (t or "").encode() for d, t in texts}
+    order = sorted((raw[d][i:], d, i) for d in raw for i in range(len(raw[d])))
+    assert rows(shards.suffixes_of(index), "sa", "doc_id", "pos") == [(k, d, i) for k, (_, d, i) in enumerate(order)]
+    assert rows(shards.suffixes_of(index, 10, 30), "sa", "doc_id", "pos") == [(k, d, i) for k, (_, d, i) in enumerate(order)][10:31]
+    row = index.first()
+    last, c, shared = {}, [], []
+    for sa, (suffix, d, _) in enumerate(order):
+        before = last.get(d, (-1, b""))
+        c.append(before[0] + 1)
+        shared.append(next((k for k, (a, b) in enumerate(zip(suffix, before[1], strict=False)) if a != b), min(len(suffix), len(before[1]))))
+        last[d] = sa, suffix
+    assert np.frombuffer(row["c"], np.int32).tolist() == c
+    assert np.frombuffer(row["ilcp"], np.int32).tolist() == shared
+
+
+def plain_nodes(texts, block_size, factor):
+    """Stored nodes by a tree of prefixes, made and pruned recursively."""
+    raw = {d: (t or "").encode() for d, t in texts}
+    order = sorted((raw[d][i:], d, i) for d in raw for i in range(len(raw[d])))
+    out = []
+
+    def visit(a, b, depth):
+        """What is stored below: a number of documents."""
+        docs = {d for _, d, _ in order[a:b]}
+        everywhere = len(docs) == len(raw)
+        children = []
+        if b - a > block_size:
+            while len({s[depth : depth + 1] for s, _, _ in order[a:b]}) == 1 and order[a][0][depth : depth + 1]:
+                depth += 1
+            cuts = [a] + [i for i in range(a + 1, b) if order[i][0][depth : depth + 1] != order[i - 1][0][depth : depth + 1]] + [b]
+            children = list(zip(cuts[:-1], cuts[1:], strict=True)) if len(cuts) > 2 else []
+        below = sum(visit(x, y, depth) for x, y in children)
+        if not children or everywhere or below > factor * len(docs):
+            out.append((a, b - 1, not children, everywhere, len(docs)))
+            return len(docs)
+        return below
+
+    visit(0, len(order), 0)
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("block_size", "factor"), [(4, 1.5), (2, 3.0), (16, 1.0), (512, 4.0)])
+def test_stored_nodes_equal_plain_ones(spark, block_size, factor):
+    texts = [t for t in odd_collection()[0] if t[1] and len(t[1]) < 600]
+    index = shards.build(docs_of(spark, texts).coalesce(1), shards.Parameters(10**6, block_size, factor)).cache()
+    assert rows(shards.nodes_of(index, "count"), "sp", "ep", "leaf", "holds_all", "n_docs") == plain_nodes(texts, block_size, factor)
+    by_id, by_tf = (shards.nodes_of(index, mode).filter("not holds_all").collect() for mode in ("set", "topk"))
+    for a, b in zip(sorted(by_id, key=lambda r: r["node"]), sorted(by_tf, key=lambda r: r["node"]), strict=True):
+        assert [d["doc_id"] for d in a["docs"]] == sorted(d["doc_id"] for d in a["docs"]) and sum(d["tf"] for d in a["docs"]) == a["ep"] - a["sp"] + 1
+        assert b["docs"] == sorted(a["docs"], key=lambda d: (-d["tf"], d["doc_id"]))
+
+
+def test_indexes_are_built_once_and_follow_their_source(spark, tmp_path):
+    source, built = str(tmp_path / "docs"), []
+
+    def build():
+        built.append(1)
+        return spark.read.parquet(source)
+
+    docs_of(spark, THREE).write.parquet(source)
+    for _ in range(2):
+        assert index_of(spark, source, "tested", build).count() == 3
+    docs_of(spark, THREE + [(4, "more")]).write.mode("overwrite").parquet(source)
+    assert index_of(spark, source, "tested", build).count() == 4 and len(built) == 2
+    assert index_of(spark, source, "tested", build, "other").count() == 4 and len(built) == 3
+
+
+def test_runs_of_documents(spark):
+    docs = spark.createDataFrame([(i,) for i in (3, 4, 5, 9, 11, 12, 3)], "doc_id long")
+    assert rows(sets.runs_of(docs)) == [(3, 3), (9, 1), (11, 2)]
+    assert sets.runs_of(docs.limit(0)).count() == 0
+
+
+def test_posting_lists_come_in_parts(spark):
+    docs = docs_of(spark, [(i, "abcdefg") for i in range(25)])
+    lists = rows(postings.posting_lists(postings.sorted_index(docs, 5), 10))
+    assert len(lists) == 9 and lists[0][1:] == (0, list(range(10))) and lists[2][1:] == (2, list(range(20, 25)))
+
+
 def test_nodes_hold_all_or_list(spark):
     table = suffixes.suffix_table(docs_of(spark, THREE))
     nodes = {r["prefix"]: r for r in suffixes.prefix_nodes(table, 2, 3).collect()}
@@ -151,7 +274,6 @@ def test_runs_of_frequencies(spark):
     assert ("A", 3) in rows(suffixes.node_counts(nodes))
     with pytest.raises(Exception, match="no frequencies"):
         suffixes.frequency_runs(nodes).collect()
-    assert {r["prefix"]: r["leaf"] for r in suffixes.stored_nodes(nodes, 2, 0.5).collect()}["L"]
 
 
 def test_sets_and_lists(spark):

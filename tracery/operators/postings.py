@@ -15,8 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracery.operators import search
+from tracery.sources.workspace import stored
 
 Q, GRAMS = 5, 4
+#: Up to so many grams are pushed down to the scan of the index.
+PUSHED = 4096
 _RUN_BYTES = 1 << 22
 
 
@@ -40,7 +43,7 @@ def _distinct_grams(texts: list[bytes], q: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def gram_index(docs: DataFrame, q: int = Q) -> DataFrame:
-    """(gram, doc_id), each once; write it, bucketed or sorted by gram, to list many pattern sets from it."""
+    """(gram, doc_id), each once; see ``sorted_index`` for what to write of it."""
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -59,6 +62,20 @@ def gram_index(docs: DataFrame, q: int = Q) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(grams, "gram long, doc_id long")
 
 
+def sorted_index(docs: DataFrame, q: int = Q) -> DataFrame:
+    """The index dealt by ranges of grams and sorted by them: a reader of some grams skips what lies between.
+
+    A gram that a third of all documents hold is dealt by documents too.
+    """
+    return gram_index(docs, q).repartitionByRange("gram", "doc_id").sortWithinPartitions("gram", "doc_id")
+
+
+def posting_lists(index: DataFrame, most: int = 1000) -> DataFrame:
+    """(gram, part, docs): the lists dumped, a long one in parts of documents whose identifiers fall together."""
+    lists = index.groupBy("gram", F.floor(F.col("doc_id") / most).alias("part")).agg(F.array_sort(F.collect_list("doc_id")).alias("docs"))
+    return lists.select("gram", "part", "docs")
+
+
 def gram_of(text: Column, place: Column, q: int = Q) -> Column:
     """The gram at a byte of a text, from 0."""
     return F.conv(F.hex(F.substring(text.cast("binary"), place + 1, F.lit(q))), 16, 10).cast("long")
@@ -71,6 +88,11 @@ def list_docs_indexed(docs: DataFrame, index: DataFrame, patterns: DataFrame, q:
     places = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(grams - 1)), lambda i: F.floor((size - q) * i / (grams - 1)).cast("int")))
     asked = long.withColumn("grams", F.array_distinct(F.transform(places, lambda p: gram_of(F.col("pattern"), p, q))))
     wanted = asked.select("pattern_id", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    few = wanted.select("gram").distinct().limit(PUSHED + 1).collect()
+    if len(few) <= PUSHED:  # the scan then reads only those row groups
+        index = index.filter(F.col("gram").isin([r["gram"] for r in few]))
     held = index.join(wanted, "gram").groupBy("pattern_id", "doc_id").agg(F.count("*").alias("held"), F.first("n").alias("n")).filter("held = n")
-    found = held.join(long, "pattern_id").join(docs, "doc_id").filter(F.col("text").contains(F.col("pattern"))).select("pattern_id", "doc_id")
+    # Written, their size is known: few candidates are sent to the texts, which then stay where they lie.
+    held = stored(held.select("pattern_id", "doc_id"), "candidates")
+    found = docs.join(held, "doc_id").join(long, "pattern_id").filter(F.col("text").contains(F.col("pattern"))).select("pattern_id", "doc_id")
     return found.unionAll(search.list_docs(docs, patterns.filter(size < q)))

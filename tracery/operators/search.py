@@ -23,7 +23,7 @@ SLICE_CHARS = 16 << 20
 LITERALS = 16
 
 
-def _slices(patterns: DataFrame, slice_chars: int) -> Iterator[dict[str, list[int]]]:
+def slices(patterns: DataFrame, slice_chars: int) -> Iterator[dict[str, list[int]]]:
     """Patterns by their text, in slices; read one by one."""
     held: dict[str, list[int]] = defaultdict(list)
     size = 0
@@ -60,7 +60,7 @@ def _machine(words: dict[str, list[int]]):
 
 def _scan(docs: DataFrame, patterns: DataFrame, slice_chars: int, schema: str, each) -> DataFrame:
     out = None
-    for part in _slices(patterns, slice_chars):
+    for part in slices(patterns, slice_chars):
         words = docs.sparkSession.sparkContext.broadcast(dict(part))
 
         def scan(batches: Iterator[pa.RecordBatch], words=words) -> Iterator[pa.RecordBatch]:
@@ -133,8 +133,9 @@ def locate(docs: DataFrame, patterns: DataFrame, slice_chars: int = SLICE_CHARS)
 
 
 def list_docs(docs: DataFrame, patterns: DataFrame, **options) -> DataFrame:
-    """(pattern_id, doc_id): the documents that hold each pattern. A pattern without documents has no rows."""
-    return frequencies(docs, patterns, **options).select("pattern_id", "doc_id").distinct()
+    """(pattern_id, doc_id): the documents that hold each pattern, each once as its identifier is. A pattern without
+    documents has no rows. Nothing is shuffled."""
+    return frequencies(docs, patterns, **options).select("pattern_id", "doc_id")
 
 
 def doc_count(docs: DataFrame, patterns: DataFrame, **options) -> DataFrame:

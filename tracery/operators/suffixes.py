@@ -123,20 +123,3 @@ def frequency_runs(nodes: DataFrame, differences: bool = False) -> DataFrame:
     if differences:
         out = out.withColumn("tf", F.coalesce(F.lag("tf").over(by_node) - F.col("tf"), F.col("tf")))
     return out.select("prefix", "nth", "tf", "size")
-
-
-def stored_nodes(nodes: DataFrame, block_size: int, factor: float) -> DataFrame:
-    """The nodes whose sets are worth storing: (prefix, leaf, n_docs).
-
-    A node of at most ``block_size`` suffixes under a larger one is a leaf; an inner node is kept if it holds all
-    documents, or if its children's sets together are more than ``factor`` times its own.
-    """
-    size = F.col("ep") - F.col("sp") + 1
-    parent = F.substring("prefix", F.lit(1), F.length("prefix") - 1)
-    below = nodes.groupBy(parent.alias("prefix")).agg(F.sum("n_docs").alias("below"))
-    inner = nodes.filter(size > block_size).join(below, "prefix", "left")
-    kept = inner.filter(F.col("holds_all") | (F.coalesce("below", F.lit(0)) > factor * F.col("n_docs"))).select("prefix", F.lit(False).alias("leaf"), "n_docs")
-    large = nodes.filter(size > block_size).select(F.col("prefix").alias("above"))
-    small = nodes.filter(size <= block_size).withColumn("above", parent)
-    leaves = small.join(large, "above", "left_semi").unionAll(small.filter("above = ''").select("above", *nodes.columns))
-    return kept.unionAll(leaves.select("prefix", F.lit(True).alias("leaf"), "n_docs"))

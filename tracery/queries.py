@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracery.functions import text as fn
-from tracery.operators import postings, ranking, search, sets, statistics, suffixes
+from tracery.operators import postings, ranking, search, sets, shards, statistics, suffixes
 from tracery.sources.collection import collection, pattern_set
-from tracery.sources.workspace import stored
+from tracery.sources.collection import read_patterns as patterns_from
+from tracery.sources.workspace import index_of, shared_path, stored
 
-#: Patterns besides the benchmark's beginnings: frequent, absent, self-overlapping and not ASCII.
+#: Patterns besides the benchmark's beginnings and whole texts: frequent, absent, self-overlapping and not ASCII.
 EXTRA = ["the", "e", "an", "qqqzz", "on on", "anan", "é"]
 #: Terms of the scored queries.
 TERMS = ["the", "and", "que", "on on", "anan", "qqqzz"]
@@ -51,7 +52,19 @@ def _listed(spark: SparkSession, words: list[str]) -> DataFrame:
 def _patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     own = pattern_set(items, "item_id", F.substring("text", 1, 24))
-    return own.unionAll(_listed(spark, EXTRA).withColumn("pattern_id", F.col("pattern_id") + 1_000_000))
+    whole = pattern_set(items, "item_id", "text").withColumn("pattern_id", F.col("pattern_id") + 2_000_000)
+    return own.unionAll(_listed(spark, EXTRA).withColumn("pattern_id", F.col("pattern_id") + 1_000_000)).unionAll(whole)
+
+
+def suffix_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suffix index of the documents: built by the first query that asks for it, read by all others."""
+    p = shards.Parameters()
+    return index_of(spark, f"{sf_dir}/documents.parquet", "suffix-index", lambda: shards.build(_docs(spark, sf_dir), p), p)
+
+
+def gram_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gram index of the documents, likewise."""
+    return index_of(spark, f"{sf_dir}/documents.parquet", "gram-index", lambda: postings.sorted_index(_docs(spark, sf_dir)), postings.Q)
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +80,7 @@ def _words(words: list[str], start: int = 0) -> str:
     return ", ".join(f"({i + start}, '{w}')" for i, w in enumerate(words))
 
 
-PAT = f"pat as (select item_id pattern_id, left(text, 24) pattern from benchmark where length(text) > 0 union all select * from (values {_words(EXTRA, 1_000_000)}) v(pattern_id, pattern))"
+PAT = f"pat as (select item_id pattern_id, left(text, 24) pattern from benchmark where length(text) > 0 union all select * from (values {_words(EXTRA, 1_000_000)}) v(pattern_id, pattern) union all select item_id + 2000000, text from benchmark where length(text) > 0)"
 HIT = f"{PAT}, hit as (select pattern_id, doc_id, pattern, text from pat, documents where contains(text, pattern))"
 TF = f"""{PAT}, w as (
   select pattern_id, doc_id, pattern, substr(text, instr(text, pattern) + 1) rest, instr(text, pattern) p from documents join pat on contains(text, pattern)
@@ -97,17 +110,36 @@ def list_docs(spark, sf_dir):
 
 @query(LISTED)
 def list_docs_indexed(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    return postings.list_docs_indexed(docs, postings.gram_index(docs), _patterns(spark, sf_dir))
+    return postings.list_docs_indexed(_docs(spark, sf_dir), gram_table(spark, sf_dir), _patterns(spark, sf_dir))
 
 
-@query(PART_LISTED)
+@query(LISTED)
 def list_docs_sada(spark, sf_dir):
+    return shards.list_docs(suffix_index(spark, sf_dir), _patterns(spark, sf_dir), "c")
+
+
+@query(LISTED)
+def list_docs_ilcp(spark, sf_dir):
+    return shards.list_docs(suffix_index(spark, sf_dir), _patterns(spark, sf_dir), "ilcp")
+
+
+@query(LISTED)
+def list_docs_slices(spark, sf_dir):
+    return shards.list_docs(suffix_index(spark, sf_dir), _patterns(spark, sf_dir), "slice")
+
+
+@query(LISTED)
+def list_docs_nodes(spark, sf_dir):
+    return shards.list_docs(suffix_index(spark, sf_dir), _patterns(spark, sf_dir), "nodes")
+
+
+@query(PART_LISTED)
+def list_parts_sada(spark, sf_dir):
     return suffixes.list_by_previous(_suffixes(spark, sf_dir), _listed(spark, PART_PATTERNS))
 
 
 @query(PART_LISTED)
-def list_docs_ilcp(spark, sf_dir):
+def list_parts_ilcp(spark, sf_dir):
     return suffixes.list_by_ilcp(_suffixes(spark, sf_dir), _listed(spark, PART_PATTERNS))
 
 
@@ -143,6 +175,27 @@ def topk_docs(spark, sf_dir):
     return ranking.top_k(search.frequencies(_docs(spark, sf_dir), _patterns(spark, sf_dir)), 10)
 
 
+@query(f"with recursive {TF} select pattern_id, doc_id, tf from tf")
+def doc_freq_nodes(spark, sf_dir):
+    return shards.frequencies(suffix_index(spark, sf_dir), _patterns(spark, sf_dir))
+
+
+@query(f"with {HIT} select pattern_id, count(distinct doc_id) n_docs from pat join hit using (pattern_id) group by 1")
+def doc_count_nodes(spark, sf_dir):
+    return shards.list_docs(suffix_index(spark, sf_dir), _patterns(spark, sf_dir), "nodes").groupBy("pattern_id").agg(F.count("*").alias("n_docs"))
+
+
+@query(f"with recursive {TF} select pattern_id, sum(tf)::bigint n_occurrences from tf group by 1")
+def occ_count_ranges(spark, sf_dir):
+    found = shards.ranges(suffix_index(spark, sf_dir), _patterns(spark, sf_dir))
+    return found.groupBy("pattern_id").agg(F.sum(F.col("ep") - F.col("sp") + 1).alias("n_occurrences"))
+
+
+@query(f"with recursive {TF}, r as (select *, row_number() over (partition by pattern_id order by tf desc, doc_id) rank from tf) select pattern_id, doc_id, tf, rank::int rank from r where rank <= 10")
+def topk_docs_nodes(spark, sf_dir):
+    return ranking.top_k(shards.frequencies(suffix_index(spark, sf_dir), _patterns(spark, sf_dir)), 10)
+
+
 @query(f"with recursive {TF} select pattern_id, doc_id, p - 1 pos from w")
 def locate(spark, sf_dir):
     return search.locate(_docs(spark, sf_dir), _patterns(spark, sf_dir))
@@ -273,26 +326,54 @@ def node_frequency_runs(spark, sf_dir):
     return suffixes.frequency_runs(_nodes(spark, sf_dir).filter(~F.col("holds_all")), differences=True)
 
 
-@query(f"""with {NODES}, b as (select prefix[1:length(prefix) - 1] prefix, sum(n_docs) below from nodes group by 1)
-select prefix, false leaf, n_docs from nodes left join b using (prefix) where ep - sp + 1 > 64 and (holds_all or coalesce(below, 0) > 1.5 * n_docs)
-union all
-select prefix, true, n_docs from nodes n where ep - sp + 1 <= 64 and (length(prefix) = 1 or exists (select 1 from nodes m where m.prefix = n.prefix[1:length(n.prefix) - 1] and m.ep - m.sp + 1 > 64))""")
+@query(f"with {NODES} select prefix, n_docs from nodes")
+def node_counts(spark, sf_dir):
+    return suffixes.node_counts(_nodes(spark, sf_dir))
+
+
 def stored_nodes(spark, sf_dir):
-    return suffixes.stored_nodes(stored(_nodes(spark, sf_dir).drop("docs"), "nodes"), 64, 1.5)
+    """Every stored node of the documents' suffix index; tests hold it against a plain tree."""
+    return shards.nodes_of(suffix_index(spark, sf_dir), "count").drop("docs")
+
 
+def node_covers(spark, sf_dir):
+    """The nodes that each pattern's range is made of."""
+    return shards.covers(suffix_index(spark, sf_dir), _patterns(spark, sf_dir))
 
-@query(f"""with {PARTS}, g as (
-  select distinct doc_id, ((((unicode(text[i])::bigint * 256 + unicode(text[i + 1])) * 256 + unicode(text[i + 2])) * 256 + unicode(text[i + 3])) * 256 + unicode(text[i + 4])) gram
-    from (select *, unnest(range(1, length(text) - 3)) i from parts))
-select gram, count(*) n_docs from g group by 1""")
+
+QUERIES |= {"stored_nodes": stored_nodes, "node_covers": node_covers}
+
+
+GRAMS = """h as (select doc_id, hex(encode(text)) x from documents where strlen(text) >= 5),
+g as (select distinct doc_id, substr(x, 2 * i + 1, 10) gram from (select *, unnest(range(0, length(x) // 2 - 4)) i from h))"""
+
+
+@query(f"with {GRAMS} select ('0x' || gram)::bigint gram, count(*) n_docs from g group by 1")
 def gram_postings(spark, sf_dir):
-    return postings.gram_index(_parts(spark, sf_dir)).groupBy("gram").agg(F.count("*").alias("n_docs"))
+    return gram_table(spark, sf_dir).groupBy("gram").agg(F.count("*").alias("n_docs"))
 
 
-@query(f"with {PARTS} select text, string_agg(doc_id::varchar, ',' order by doc_id) docs from parts group by 1")
+@query(f"with {GRAMS} select ('0x' || gram)::bigint gram, doc_id // 1000 part, string_agg(doc_id::varchar, ',' order by doc_id) docs from g group by 1, 2")
 def rebuild_lists(spark, sf_dir):
-    lists = _parts(spark, sf_dir).groupBy("text").agg(F.array_sort(F.collect_list("doc_id")).alias("docs"))
-    return lists.select("text", F.array_join(F.transform("docs", lambda d: d.cast("string")), ",").alias("docs"))
+    lists = postings.posting_lists(gram_table(spark, sf_dir))
+    return lists.withColumn("docs", F.array_join(F.transform("docs", lambda d: d.cast("string")), ","))
+
+
+@query("with r as (select doc_id, doc_id - row_number() over (order by doc_id) run from documents where contains(text, 'anan')) select min(doc_id) first, count(*) size from r group by run")
+def listing_runs(spark, sf_dir):
+    return sets.runs_of(search.list_docs(_docs(spark, sf_dir), _listed(spark, ["anan"])))
+
+
+@query("select doc_id from documents where contains(text, 'anan')")
+def expanded_runs(spark, sf_dir):
+    return sets.expanded_runs(sets.runs_of(search.list_docs(_docs(spark, sf_dir), _listed(spark, ["anan"]))))
+
+
+@query(f"select * from (values {_words(PART_PATTERNS, 1)}) v(pattern_id, pattern)")
+def read_patterns(spark, sf_dir):
+    path = shared_path(spark, "pattern-file")
+    spark.createDataFrame([(w,) for w in PART_PATTERNS], "pattern string").coalesce(1).write.text(path)
+    return patterns_from(spark, path)
 
 
 @query("select doc_id, text from documents where doc_id in (3, 17, 170)")
