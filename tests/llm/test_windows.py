@@ -150,6 +150,18 @@ def test_substrings(spark, odd_texts, window):
     assert sorted(map(str, found(got))) == sorted(map(str, expected))
 
 
+def test_passages_with_equal_hashes_are_told_apart(spark):
+    """Two words with the same first hash: no passage with one repeats a passage with the other."""
+    one, other = "abcdefghlb5nzjv5", "6xxf7wyxs4vcn7o6"
+    g = grid.Grid(pa.array([one, other, "abcdefgh", "x" * 300, "y" * 300]))
+    assert g.hashes[0] == g.hashes[1] and len(set(g.second.tolist())) == 5
+    around = "a b c d e f g {} h i j k l"
+    texts = [around.format(one), around.format(other), around.format(one)]
+    got = found(substrings.remove_repeated_passages(docs_of(spark, texts)), "doc_id", "n_removed")
+    assert got == [(0, 0), (1, 0), (2, 13)]
+    assert found(substrings.remove_repeated_passages(docs_of(spark, texts).repartition(3)), "doc_id", "n_removed") == got
+
+
 def test_covers_align():
     for period, cover in substrings.COVERS:
         for i in range(period):

@@ -90,16 +90,19 @@ def buckets_for(blocks: DataFrame, entries_per_byte: float) -> int:
     return 1 << max(4, math.ceil(math.log2(max(1.0, n * entries_per_byte / BUCKET_ENTRIES))))
 
 
-def asked(block: int, hashes: np.ndarray, buckets: int, width: int, extra: np.ndarray | None = None) -> pa.RecordBatch | None:
+def asked(block: int, hashes: np.ndarray, buckets: int, width: int, extra: np.ndarray | None = None, second: np.ndarray | None = None) -> pa.RecordBatch | None:
     """A block's question. hashes: each once, ordered by ``bucket_order``; ``extra``: a value sent with each.
 
-    ``width`` bytes of each hash go along; with the bucket they tell hashes apart.
+    ``width`` bytes of each hash go along; with the bucket they tell hashes apart. ``second`` are other hashes of the
+    same, of which 8 bytes follow then.
     """
     if not len(hashes):
         return None
     bucket = (hashes & U64(buckets - 1)).astype(np.int64)
     edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
     keys = np.ascontiguousarray((hashes >> U64(buckets.bit_length() - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
+    if second is not None:
+        keys = np.concatenate([keys, second.astype("<u8").view(np.uint8).reshape(-1, 8)], axis=1)
     row = lambda a: [a[x:y].tobytes() for x, y in zip(edges[:-1], edges[1:], strict=True)]
     n = len(edges) - 1
     return pa.RecordBatch.from_pydict({
@@ -118,15 +121,19 @@ def bucket_order(hashes: np.ndarray, buckets: int, within: np.ndarray | None = N
 
 
 def answer(questions: DataFrame, width: int, judge: Callable[[np.ndarray, list[bytes]], np.ndarray], what: str) -> DataFrame:
-    """One row a block: its answers (bucket, bits). ``judge`` maps the keys and extras of a bucket to a byte an entry."""
+    """One row a block: its answers (bucket, bits). ``judge`` maps the keys and extras of a bucket to a byte an entry.
+
+    Keys of up to 8 bytes come as numbers, those of 16 as rows of two.
+    """
 
     def each(table: pa.Table) -> pa.Table:
         keys = [np.frombuffer(k, dtype=np.uint8).reshape(-1, width) for k in table["keys"].to_pylist()]
         cuts = np.cumsum([0, *map(len, keys)])
-        wide = np.zeros((cuts[-1], 8), dtype=np.uint8)
+        wide = np.zeros((cuts[-1], 8 * math.ceil(width / 8)), dtype=np.uint8)
         wide[:, :width] = np.concatenate(keys)
         del keys
-        out = judge(wide.view("<u8").reshape(-1), table["extra"].to_pylist())
+        wide = wide.view("<u8")
+        out = judge(wide[:, 0] if width <= 8 else wide, table["extra"].to_pylist())
         give_back()
         return pa.table({"block": table["block"], "bucket": table["bucket"], "bits": pa.array([out[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
 

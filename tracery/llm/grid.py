@@ -69,6 +69,7 @@ class Grid:
         self.first = np.searchsorted(self.starts, offsets)
         self.n_words = np.diff(self.first)
         self._hashes: np.ndarray | None = None
+        self._second: np.ndarray | None = None
         self._text_of: np.ndarray | None = None
 
     def __len__(self) -> int:
@@ -88,6 +89,13 @@ class Grid:
             self._hashes = _word_hashes(self.data, self.starts, self.ends)
         return self._hashes
 
+    @property
+    def second(self) -> np.ndarray:
+        """Another 64-bit hash of each word: with the first one, 128 bits tell words apart."""
+        if self._second is None:
+            self._second = _word_hashes(self.data, self.starts, self.ends, _OTHER)
+        return self._second
+
     def begins(self, k: int) -> np.ndarray:
         """The first k bytes (at most 8; the whole word if it is shorter) of each word as a little-endian integer."""
         eight = np.ndarray((len(self.data) - 7,), dtype="<u8", buffer=self.data, strides=(1,))
@@ -101,27 +109,32 @@ class Grid:
         at = np.flatnonzero(self.text_of[:n] == self.text_of[k - 1 :])
         return at, self.sequence_hash(at, k)
 
-    def sequence_hash(self, at: np.ndarray, k: int) -> np.ndarray:
-        """The hash of the k words from each word in ``at``."""
-        total = np.full(len(at), k, dtype=U64)
+    def sequence_hash(self, at: np.ndarray, k: int, second: bool = False) -> np.ndarray:
+        """The hash of the k words from each word in ``at``; ``second`` from the words' other hashes, mixed otherwise."""
+        total, hashes, turn = np.full(len(at), k, dtype=U64), self.second if second else self.hashes, _TURNS[second]
         for j in range(k):
-            total *= U64(0x9E3779B97F4A7C15)
-            total += self.hashes[at + j]
+            total *= turn
+            total += hashes[at + j]
         return mix(total)
 
 
-def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+#: Odd numbers that the two hashes are mixed with.
+_TURNS = (U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F))
+_LENGTHS, _OTHER = U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F)
+
+
+def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.uint64 = U64(0)) -> np.ndarray:
     eight = np.ndarray((len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
     length = ends - starts
-    out = mix((eight[starts] & _MASK[np.minimum(length, 8)]) + length.astype(U64) * U64(0xD6E8FEB86659FD93))
+    out = mix(((eight[starts] & _MASK[np.minimum(length, 8)]) ^ other) + length.astype(U64) * (_LENGTHS ^ other ^ (other >> U64(7) << U64(1))))
     rest, done = np.flatnonzero(length > 8), 8
     while rest.size and done < _LONG_WORD:
         more = eight[starts[rest] + done] & _MASK[np.minimum(length[rest] - done, 8)]
-        out[rest] = mix(out[rest] * U64(0x9E3779B97F4A7C15) + more)
+        out[rest] = mix(out[rest] * _TURNS[int(other > 0)] + more)
         done += 8
         rest = rest[length[rest] > done]
     for i in rest:
-        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), seed=int(other))
     return out
 
 

@@ -6,7 +6,8 @@ share an aligned anchor. First, anchors (three in seven places) are asked for in
 the match extends to the whole windows around it, and only those are asked for, each with the smallest document that
 has it. Both steps ask by blocks (see ``blocks``): no pairs of documents arise, however many share a passage.
 
-A window's word sequence is compared by a 64-bit hash of its words' 64-bit hashes.
+Anchors are compared by 64-bit hashes, which can only find too much. A window's word sequence is compared by 128 bits:
+two independent hashes of its words' two hashes.
 
 Defined results: a null or empty text has no words; documents with a null id neither take nor lose words; rows that
 share an id don't count as earlier than each other; identifiers are integers; other columns are ignored; an empty
@@ -30,7 +31,7 @@ from tracery.llm.grid import SPACED, Grid
 WINDOW = 13
 #: Perfect difference covers, as period and remainders.
 COVERS = ((7, (0, 1, 3)), (3, (0, 1)), (1, (0,)))
-_ANCHOR_BYTES, _WINDOW_BYTES = 5, 8
+_ANCHOR_BYTES, _WINDOW_BYTES = 5, 16
 
 
 def cover_for(window: int) -> tuple[int, tuple[int, ...]]:
@@ -70,16 +71,26 @@ def windows_around(grid: Grid, at: np.ndarray, window: int) -> np.ndarray:
     return np.flatnonzero(np.cumsum(edges[:-1]) > 0)
 
 
-def distinct_windows(grid: Grid, at: np.ndarray, ids: np.ndarray, window: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each window's place among the distinct ones, those hashes as asked for, and the block's smallest id with each."""
-    hashes, own = grid.sequence_hash(at, window), ids[grid.text_of[at]]
-    distinct, which = np.unique(hashes, return_inverse=True)
-    least = np.full(len(distinct), np.iinfo(np.int64).max)
+def _grouped(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each pair among the distinct ones, and the place of the first of each."""
+    order = np.lexsort([two, one])
+    fresh = np.ones(len(order), dtype=bool)
+    fresh[1:] = (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]])
+    which = np.empty(len(order), dtype=np.int64)
+    which[order] = np.cumsum(fresh) - 1
+    return which, order[fresh]
+
+
+def distinct_windows(grid: Grid, at: np.ndarray, ids: np.ndarray, window: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each window's place among the distinct ones, both hashes of those as asked for, and the block's smallest id with each."""
+    one, two, own = grid.sequence_hash(at, window), grid.sequence_hash(at, window, second=True), ids[grid.text_of[at]]
+    which, first = _grouped(one, two)
+    least = np.full(len(first), np.iinfo(np.int64).max)
     np.minimum.at(least, which, own)
-    order = bucket_order(distinct, buckets, least)  # by id within a bucket: ids then pack well
+    order = bucket_order(one[first], buckets, least)  # by id within a bucket: ids then pack well
     place = np.empty(len(order), dtype=np.int64)
     place[order] = np.arange(len(order))
-    return place[which], distinct[order], least[order]
+    return place[which], one[first][order], two[first][order], least[order]
 
 
 def _ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -96,8 +107,8 @@ def _several(keys: np.ndarray, extra: list[bytes]) -> np.ndarray:
 def _earlier(keys: np.ndarray, extra: list[bytes]) -> np.ndarray:
     """1 for a window that another block has in a document with a smaller id."""
     own = np.frombuffer(b"".join(extra), dtype="<i8")
-    distinct, which = np.unique(keys, return_inverse=True)
-    least = np.full(len(distinct), np.iinfo(np.int64).max)
+    which, first = _grouped(keys[:, 0], keys[:, 1])
+    least = np.full(len(first), np.iinfo(np.int64).max)
     np.minimum.at(least, which, own)
     return (least[which] < own).astype(np.uint8)
 
@@ -125,8 +136,8 @@ def remove_repeated_passages(docs: DataFrame, window: int = WINDOW, id_col: str
         for block, column, texts, more in texts_of(batches):
             ids, known = _ids(column)
             grid, at = candidates(ids, known, texts, more["shared"])
-            _, hashes, least = distinct_windows(grid, at, ids, window, buckets)
-            if (question := asked(block, hashes, buckets, _WINDOW_BYTES, least.astype("<i8"))) is not None:
+            _, hashes, second, least = distinct_windows(grid, at, ids, window, buckets)
+            if (question := asked(block, hashes, buckets, 8, least.astype("<i8"), second)) is not None:
                 yield question
 
     earlier = answer(met(blocks, shared).mapInArrow(ask_windows, QUESTION), _WINDOW_BYTES, _earlier, "earlier")
@@ -135,7 +146,7 @@ def remove_repeated_passages(docs: DataFrame, window: int = WINDOW, id_col: str
         for _, column, texts, more in texts_of(batches):
             ids, known = _ids(column)
             grid, at = candidates(ids, known, texts, more["shared"])
-            place, hashes, least = distinct_windows(grid, at, ids, window, buckets)
+            place, hashes, _, least = distinct_windows(grid, at, ids, window, buckets)
             elsewhere = in_order(more["earlier"])
             gone = (elsewhere[place] > 0) | (least[place] < ids[grid.text_of[at]]) if len(hashes) else np.zeros(0, dtype=bool)
             edges = np.zeros(len(grid.starts) + window + 1, dtype=np.int64)
