@@ -32,6 +32,50 @@ def test_encoder_equals_library(name, odd_texts):
         assert [np.frombuffer(g, own.dtype).tolist() for g in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@pytest.mark.parametrize("change", ["cased", "prefix", "plain"])
+def test_other_vocabularies_are_encoded_whole(tmp_path, change, odd_texts):
+    """A cased word vocabulary, one that puts a space first, and one that cuts at nothing: cuts could be wrong there."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    spec = json.loads(open(public_tokenizers.path("byte_bpe_50k.json" if change == "prefix" else "word_bpe_49k.json"), encoding="utf-8").read())
+    if change == "prefix":
+        spec["pre_tokenizer"]["add_prefix_space"] = True
+    elif change == "cased":
+        spec["normalizer"]["normalizers"].pop()
+    else:
+        spec["pre_tokenizer"] = spec["pre_tokenizer"]["pretokenizers"][1]
+    path = str(tmp_path / "other.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(spec, f)
+    library, own = Tokenizer.from_file(path), Encoder(path)
+    assert own.kind is None
+    texts = odd_strings(5, 300) + [t or "" for t in odd_texts]
+    got = own.encode([t.encode() for t in texts])
+    assert [np.frombuffer(g, own.dtype).tolist() for g in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_other_models_are_not_counted(tmp_path):
+    from sentencepiece import sentencepiece_model_pb2
+
+    spec = sentencepiece_model_pb2.ModelProto()
+    spec.ParseFromString(open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read())
+    spec.normalizer_spec.remove_extra_whitespaces = True
+    path = tmp_path / "other.model"
+    path.write_bytes(spec.SerializeToString())
+    with pytest.raises(ValueError, match="byte fallback"):
+        token_counts.MergeCounter(str(path))
+
+
+def test_shards_of_other_identifiers(spark, tmp_path):
+    docs = spark.sql("select cast(id as decimal(10,2)) doc_id, concat('text ', id) text from range(30)")
+    manifest = sstable.write_shards(docs, public_tokenizers.path("word_bpe_49k.json"), 1, f"file://{tmp_path}/decimal")
+    got = sstable.read_shards(manifest, docs.schema["doc_id"].dataType)
+    assert got.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+    assert sorted(int(r["doc_id"]) for r in got.collect()) == list(range(30))
+
+
 def test_counts_equal_library(spark, odd_texts):
     import sentencepiece
 

@@ -3,13 +3,15 @@
 A text is cut where its tokens can't depend on what stands on the other side: before a run of spaces and line
 breaks (byte-level vocabularies) or at white space that the vocabulary drops (word vocabularies). The library encodes
 each chunk once; its ids are remembered as bytes in two generations of bounded size. A text with other white space or
-special strings, where cuts could matter, is encoded whole. Of a chunk of plain Latin letters and punctuation the
+special strings, where cuts could matter, is encoded whole; so is every text of a vocabulary whose file asks for
+another normaliser or pre-tokeniser than these two kinds. Of a chunk of plain Latin letters and punctuation the
 library's model is asked directly, as its normaliser and pre-tokeniser do nothing else there than lower the case,
 part letters from punctuation and spell bytes.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -37,6 +39,29 @@ _KEPT = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _SPELLED = {b: chr(b) for b in _KEPT} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _KEPT)}
 
 
+#: The normalisers and pre-tokenisers of the two kinds of vocabularies whose texts may be cut.
+_BYTE_LEVEL = (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True})
+_WORD_LEVEL = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+)
+
+
+def kind_of(spec: dict) -> str | None:
+    """"bytes" or "words" for a vocabulary's file whose texts may be cut as described above, else nothing."""
+    model, rules = spec["model"], (spec.get("normalizer"), spec.get("pre_tokenizer"))
+    plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    marked = all(t["content"].startswith("<|") and not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) for t in spec.get("added_tokens") or ())
+    if not plain or not marked:
+        return None
+    if rules == _BYTE_LEVEL and not model.get("end_of_word_suffix"):
+        return "bytes"
+    return "words" if rules == _WORD_LEVEL and model.get("end_of_word_suffix") else None
+
+
 class _Known(dict):
     """The ids of chunks; those missing come from the older generation or from the library."""
 
@@ -66,13 +91,17 @@ class Encoder:
         self.model = self.library.model
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.drops_space = not self.library.encode(" \n", add_special_tokens=False).ids
+        with open(path, encoding="utf-8") as f:
+            self.kind = kind_of(json.load(f))
+        self.drops_space = self.kind == "words"
         self.known = _Known(self._look_up, {})
         self.marks: dict[str, bytes] = {}
 
     def chunks(self, text: bytes) -> list[bytes]:
         """The names of a text's chunks: the chunk itself where white space is dropped or a line break leads;
         what follows where one space leads; otherwise the chunk behind a byte that no text has."""
+        if self.kind is None:
+            return [_AS_IS + text]
         if self.drops_space:
             return [_AS_IS + text] if b"<|" in text else text.split()
         for w in _WHOLE:

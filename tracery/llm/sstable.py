@@ -18,6 +18,7 @@ empty table writes no shard; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import struct
 import uuid
 import zlib
@@ -219,6 +220,10 @@ def open_shard(path: str, text_ids: bool = False) -> ShardReader:
     return ShardReader(system.open_input_file(name), text_ids)
 
 
+#: Types of identifiers that shards hold.
+_ID_TYPES = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8()}
+#: Bytes of text in a range of identifiers, which one task encodes.
+RANGE_BYTES = 128 << 20
 _MANIFEST = "shard long, path string, n_docs long, n_tokens long"
 
 
@@ -226,12 +231,16 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str,
     """Tokenises and writes shards below ``folder``; returns the manifest, one row a shard in the order of its documents.
 
     The texts are dealt once, by ranges of (identifier, text hash), so that rows sharing an identifier are divided
-    too. A task writes to a name of its own and renames the finished shard, so a repeated or speculative attempt
+    too; there are as many ranges as the texts need. Identifiers other than whole numbers are ordered as text. A task writes to a name of its own and renames the finished shard, so a repeated or speculative attempt
     leaves whole files; only shards in the manifest count.
     """
     spark = docs.sparkSession
     source = id_and_text(docs, id_col, text_col).withColumn("tie", F.xxhash64("text"))
-    dealt = source.repartitionByRange(shuffle_partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    if source.schema["doc_id"].dataType.simpleString() not in _ID_TYPES:
+        source = source.withColumn("doc_id", F.col("doc_id").cast("string"))
+    n_bytes = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(shuffle_partitions(spark), math.ceil(n_bytes / RANGE_BYTES))
+    dealt = source.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -273,7 +282,8 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str,
 def read_shards(manifest: DataFrame, id_type: T.DataType) -> DataFrame:
     """One row a document, read from the shards: doc_id, start (tokens of all before it), n_tokens, ids_crc32."""
     spark = manifest.sparkSession
-    text_ids = isinstance(id_type, T.StringType)
+    stored_type = id_type if id_type.simpleString() in _ID_TYPES else T.StringType()
+    text_ids = isinstance(stored_type, T.StringType)
     before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # One row a shard; dealt anew so that each task reads a few shards.
     placed = manifest.select("path", "shard", before.alias("base")).repartition(shuffle_partitions(spark), "shard")
@@ -293,14 +303,15 @@ def read_shards(manifest: DataFrame, id_type: T.DataType) -> DataFrame:
                 if rows:
                     yield _batch(rows)
 
-    arrow_id = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8()}[id_type.simpleString()]
+    arrow_id = _ID_TYPES[stored_type.simpleString()]
 
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
         a, b, c, d = zip(*rows, strict=True)
         return pa.RecordBatch.from_pydict({"doc_id": pa.array(a, arrow_id), "start": pa.array(b, pa.int64()), "n_tokens": pa.array(c, pa.int64()), "ids_crc32": pa.array(d, pa.int64())})
 
     counted = [T.StructField(n, T.LongType()) for n in ("start", "n_tokens", "ids_crc32")]
-    return placed.select("path", "base").mapInArrow(scan, T.StructType([T.StructField("doc_id", id_type), *counted]))
+    found = placed.select("path", "base").mapInArrow(scan, T.StructType([T.StructField("doc_id", stored_type), *counted]))
+    return found.withColumn("doc_id", F.col("doc_id").cast(id_type))
 
 
 def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 The lowest-ranked adjacent pair (ties: the leftmost) is popped and merged until none is left; a text has as many
 tokens as initial symbols minus merges, and no identifiers are made. Characters outside the vocabulary count as
-their UTF-8 bytes. As no piece holds a space after another character, a text falls into independent chunks (spaces
+their UTF-8 bytes. A model that asks for more (another normaliser, no byte fallback) is an error. As no piece holds a space after another character, a text falls into independent chunks (spaces
 and what follows); each worker remembers the counts of chunks in two generations of bounded size.
 
 Defined results: a null or empty text has no tokens; repeated rows each get their result; other columns are ignored.
@@ -35,7 +35,15 @@ class MergeCounter:
 
     def __init__(self, path: str):
         import sentencepiece
-
+        from sentencepiece import sentencepiece_model_pb2
+
+        spec = sentencepiece_model_pb2.ModelProto()
+        with open(path, "rb") as f:
+            spec.ParseFromString(f.read())
+        normal = spec.normalizer_spec
+        as_is = not normal.precompiled_charsmap and normal.add_dummy_prefix and not normal.remove_extra_whitespaces and normal.escape_whitespaces
+        if not as_is or not spec.trainer_spec.byte_fallback or spec.trainer_spec.model_type != spec.trainer_spec.BPE or any(p.type == p.USER_DEFINED for p in spec.pieces):
+            raise ValueError("counted are BPE models with byte fallback, a space put before the text, and no other normalisation")
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
         self.rank = {p: -model.get_score(model.piece_to_id(p)) for p in pieces}
