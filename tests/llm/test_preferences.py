@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import found
-from tracery.llm.preferences import format_preferences
+from tracery.llm.preferences import format_preferences, formatted_pairs, with_other_replies
 
 
 def shown(turns):
@@ -68,6 +68,23 @@ def test_equal_and_missing_sides(spark):
     assert formatted(spark, []) == {}
 
 
+def test_replies_of_the_next_conversation(spark):
+    talks = {0: [("user", "a"), ("assistant", "b"), ("user", "c"), ("assistant", "d"), ("user", "e")], 1: [("system", "s"), ("assistant", "other")], 2: [("user", "no reply")], 3: [("assistant", "d")], 5: [("assistant", None)]}
+    rows = [(c, i, r, t) for c, turns in talks.items() for i, (r, t) in enumerate(turns)]
+    turns = spark.createDataFrame([*rows, (None, 0, "user", "lost")], "conv_id long, turn long, role string, text string").withColumn("pair", F.lit("clash"))
+    got = {r["pair"]: (r["n_common"], r["prompt"], r["chosen"], r["rejected"]) for r in formatted_pairs(with_other_replies(turns)).collect()}
+    assert set(got) == set(talks)
+    assert got[0] == (3, shown(talks[0][:3]), shown(talks[0][3:]), shown([("assistant", "other"), ("user", "e")]))
+    assert got[1] == (0, "", shown(talks[1]), None) and got[2] == (0, "", shown(talks[2]), None)
+    assert got[3][0] == 0 and got[3][3] is None
+
+
+def test_long_conversation(spark):
+    rows = [(0, i, "assistant" if i % 2 else "user", f"text {i}") for i in range(3000)]
+    got = formatted(spark, rows + [(1, i, r, t) for _, i, r, t in rows[:1500]])
+    assert got[0] == plain([(r, t) for _, _, r, t in rows], [(r, t) for _, _, r, t in rows[:1500]])
+
+
 def test_hot_first_turn(spark):
     rows = [(c, i, r, t) for c in range(2000) for i, (r, t) in enumerate([("user", "hi"), ("assistant", f"{c}")])]
     got = formatted(spark, rows)

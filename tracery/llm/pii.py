@@ -6,9 +6,11 @@ digits in the same places, check digits are made valid again, dates stay dates o
 permutation under a key, equal values get equal pseudonyms in all documents and different values different ones.
 What doesn't validate stays as it is.
 
-Kinds: e-mail addresses (the part before @), IPv4 addresses, international and North American telephone numbers,
-US social security numbers, card numbers, IBANs, dates (year first, or day and month first with the year last), and
-secrets (access key ids, values assigned to token, password, secret or api key).
+Kinds: e-mail addresses (the part before @, linked whatever its capitals), IPv4 addresses, international and North
+American telephone numbers (the national digits; linked however they are spaced, with the country code or, in North
+America, without), US social security numbers, card numbers, IBANs, dates of 1900 to 2099 (year first; day and month
+first, of one or two digits; English month names), and secrets (access key ids, values assigned to token, password,
+secret or api key). A number written without its country code elsewhere is not recognised.
 
 Defined results: a null text stays null, an empty one empty; other columns pass through untouched, whatever their
 names; repeated rows get equal results; an empty table gives no rows.
@@ -29,13 +31,18 @@ _IP = rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\w|\.\d)"
 _PHONE = r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,4}(?!\w)"
 _LOCAL_PHONE = r"(?<![\w.(-])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?!\w|[.-]\d)"
 _SSN = r"(?<![\w.-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?!\w|[.-]\d)"
-_ISO_DATE = r"(?<![\w./-])(?:19|20)\d\d([-/])\d\d\1\d\d(?![\w/]|[.-]\d)"
-_LATE_DATE = r"(?<![\w./-])\d\d([./-])\d\d\1(?:19|20)\d\d(?![\w/]|[.-]\d)"
+_ISO_DATE = r"(?<![\w./-])(?:19|20)\d\d([-/])\d{1,2}\1\d{1,2}(?![\w/]|[.-]\d)"
+_LATE_DATE = r"(?<![\w./-])\d{1,2}([./-])\d{1,2}\1(?:19|20)\d\d(?![\w/]|[.-]\d)"
+_MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
+_MONTH = f"(?:{_MONTHS}|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
+_NAMED_DATE = rf"(?<![\w.,/-])(?:\d{{1,2}}[.]? {_MONTH} (?:19|20)\d\d|{_MONTH} \d{{1,2}}, (?:19|20)\d\d)(?!\w)"
+#: Country codes of telephone numbers have one digit, or two, or else three.
+_COUNTRY = r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 _CARD = r"(?<![\w.,-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5})(?!\w|[.,-]\d)"
 _IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?!\w)"
 _KEY_ID = r"(?<!\w)AKIA[A-Z0-9]{16}(?!\w)"
 _SECRET = r"(?<!\w)(?i:token|password|passwd|secret|api[_-]?key) ?[=:] ?[\"']?[A-Za-z0-9_/+-]{12,}"
-_KINDS = {"email": _EMAIL, "secret": _SECRET, "key": _KEY_ID, "iban": _IBAN, "ip": _IP, "ssn": _SSN, "iso_date": _ISO_DATE, "late_date": _LATE_DATE, "card": _CARD, "phone": _PHONE, "local_phone": _LOCAL_PHONE}
+_KINDS = {"email": _EMAIL, "secret": _SECRET, "key": _KEY_ID, "iban": _IBAN, "ip": _IP, "ssn": _SSN, "iso_date": _ISO_DATE, "late_date": _LATE_DATE, "named_date": _NAMED_DATE, "card": _CARD, "phone": _PHONE, "local_phone": _LOCAL_PHONE}
 #: A text without any of these characters holds no candidate.
 _HINT = "[0-9@=:]"
 
@@ -186,29 +193,45 @@ def _iban(m: Column, key: Column) -> Column:
     return _let(F.regexp_replace(m, " ", ""), run)
 
 
+def _as_date(year: Column, month: Column, day: Column) -> Column:
+    return F.try_to_date(F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")), "yyyy-MM-dd")
+
+
+def permuted_date(d: Column, key: Column, shown) -> Column:
+    """``shown`` of the day that takes a day's place among all days of 1900 to 2099."""
+    k = F.datediff(d, F.lit("1900-01-01").cast("date"))
+    out = feistel(F.floor(k / _DAYS[1]), k % _DAYS[1], F.lit(_DAYS[0]).cast("bigint"), F.lit(_DAYS[1]).cast("bigint"), key, "date")
+    new = _let(out, lambda s: F.date_add(F.lit("1900-01-01").cast("date"), (s["a"] * _DAYS[1] + s["b"]).cast("int")))
+    return _let(new, shown)
+
+
 def _date(m: Column, key: Column) -> Column:
+    parts, mark = F.split(m, "[./-]"), F.regexp_extract(m, "[./-]", 0)
     iso = m.rlike("^[0-9]{4}")
-    mark = F.when(iso, F.substring(m, 5, 1)).otherwise(F.substring(m, 3, 1))
-    year = F.when(iso, F.substring(m, 1, 4)).otherwise(F.substring(m, 7, 4))
-    one = F.when(iso, F.substring(m, 6, 2)).otherwise(F.substring(m, 1, 2))
-    two = F.when(iso, F.substring(m, 9, 2)).otherwise(F.substring(m, 4, 2))
-    as_date = lambda month, day: F.try_to_date(F.concat_ws("-", year, month, day), "yyyy-MM-dd")
+    year, one, two = F.when(iso, parts[0]).otherwise(parts[2]), F.when(iso, parts[1]).otherwise(parts[0]), F.when(iso, parts[2]).otherwise(parts[1])
     # Year last: with a point or hyphen the day is first; with a slash the month is, if that gives a date.
-    day_first = ~iso & ((mark != "/") | as_date(one, two).isNull())
-    day = F.when(day_first, as_date(two, one)).otherwise(as_date(one, two))
+    day_first = ~iso & ((mark != "/") | _as_date(year, one, two).isNull())
+    day = F.when(day_first, _as_date(year, two, one)).otherwise(_as_date(year, one, two))
+    narrow = (F.length(one) == 1) | (F.length(two) == 1)  # as narrow as it may be, then
 
-    def run(d: Column) -> Column:
-        k = F.datediff(d, F.lit("1900-01-01").cast("date"))
-        out = feistel(F.floor(k / _DAYS[1]), k % _DAYS[1], F.lit(_DAYS[0]).cast("bigint"), F.lit(_DAYS[1]).cast("bigint"), key, "date")
-        new = _let(out, lambda s: F.date_add(F.lit("1900-01-01").cast("date"), (s["a"] * _DAYS[1] + s["b"]).cast("int")))
+    def shown(x: Column) -> Column:
+        y = F.date_format(x, "yyyy")
+        mo, da = (F.when(narrow, F.date_format(x, p)).otherwise(F.date_format(x, p + p)) for p in ("M", "d"))
+        return F.when(iso, F.concat(y, mark, mo, mark, da)).when(day_first, F.concat(da, mark, mo, mark, y)).otherwise(F.concat(mo, mark, da, mark, y))
+
+    return _let(day, lambda d: F.when(d.isNull(), m).otherwise(permuted_date(d, key, shown)))
 
-        def shown(x: Column) -> Column:
-            y, mo, da = F.date_format(x, "yyyy"), F.date_format(x, "MM"), F.date_format(x, "dd")
-            return F.when(iso, F.concat(y, mark, mo, mark, da)).when(day_first, F.concat(da, mark, mo, mark, y)).otherwise(F.concat(mo, mark, da, mark, y))
 
-        return F.when(d.isNull(), m).otherwise(_let(new, shown))
+def _named_date(m: Column, key: Column) -> Column:
+    name, day, year = F.regexp_extract(m, "[A-Za-z]+", 0), F.regexp_extract(m, r"(?<!\d)\d{1,2}(?!\d)", 0), F.substring(m, -4, 4)
+    first, long = m.rlike("^[0-9]"), F.length(name) > 3
+    month = (F.ceil(F.position(F.substring(name, 1, 3), F.lit("JanFebMarAprMayJunJulAugSepOctNovDec")) / 3)).cast("string")
 
-    return _let(day, run)
+    def shown(x: Column) -> Column:
+        mo, da, y = F.when(long, F.date_format(x, "MMMM")).otherwise(F.date_format(x, "MMM")), F.date_format(x, "d"), F.date_format(x, "yyyy")
+        return F.when(first, F.concat(da, F.regexp_extract(m, "^[0-9]+([.]? )", 1), mo, F.lit(" "), y)).otherwise(F.concat(mo, F.lit(" "), da, F.lit(", "), y))
+
+    return _let(_as_date(year, month, day), lambda d: F.when(d.isNull(), m).otherwise(permuted_date(d, key, shown)))
 
 
 def _ip(m: Column, key: Column) -> Column:
@@ -238,9 +261,24 @@ def _ssn(m: Column, key: Column) -> Column:
 
 
 def _phone(m: Column, key: Column) -> Column:
-    head = F.regexp_extract(m, r"^\+\d{1,3}(?=[ .(-])|^\+\d", 0)  # the country code stays
-    rest = F.substring(m, F.length(head) + 1, F.length(m))
-    return F.concat(head, refilled(rest, permuted_digits(_digits(rest), key, "phone")))
+    """The country code stays; the national digits are permuted among those of their number, whatever stands between."""
+
+    def run(d: Column) -> Column:
+        code = F.when(m.contains("+"), F.regexp_extract(d, _COUNTRY, 0)).otherwise("")
+        return refilled(m, F.concat(code, permuted_digits(F.substring(d, F.length(code) + 1, F.length(d)), key, "phone")))
+
+    return _let(_digits(m), run)
+
+
+def _email(local: Column, key: Column) -> Column:
+    """The name of an address, permuted in small letters; capitals stand where they stood."""
+
+    def run(new: Column) -> Column:
+        at = lambda text, i: F.substring(text, i, F.lit(1))
+        one = lambda i: F.when(at(local, i).rlike("^[A-Z]$"), F.upper(at(new, i))).otherwise(at(new, i))
+        return F.when(local.rlike("[A-Z]"), F.array_join(F.transform(F.sequence(F.lit(1), F.length(new)), one), "")).otherwise(new)
+
+    return _let(permuted_letters(F.lower(local), key, "email"), run)
 
 
 def pseudonym(m: Column, key: Column) -> Column:
@@ -249,12 +287,13 @@ def pseudonym(m: Column, key: Column) -> Column:
     local, host = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
     said = F.regexp_extract(m, "^(?:AKIA|.*?[=:] ?[\"']?)", 0)
     return (
-        F.when(m.contains("@"), F.concat(permuted_letters(local, key, "email"), F.lit("@"), host))
+        F.when(m.contains("@"), F.concat(_email(local, key), F.lit("@"), host))
         .when(whole("secret") | whole("key"), F.concat(said, permuted_letters(F.substring(m, F.length(said) + 1, F.length(m)), key, "secret")))
         .when(m.rlike("^[A-Z]{2}"), _iban(m, key))
         .when(whole("ip"), _ip(m, key))
         .when(whole("ssn"), _ssn(m, key))
         .when(whole("iso_date") | whole("late_date"), _date(m, key))
+        .when(whole("named_date"), _named_date(m, key))
         .when(whole("card"), _card(m, key))
         .otherwise(_phone(m, key))
     )

@@ -46,16 +46,44 @@ def learned_spans(turns: Column, start: Column) -> Column:
     return F.aggregate(turns, begin, step, lambda s: s["spans"])
 
 
+def _turn(turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> Column:
+    return F.struct(F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
+
+
+def in_order(turns: Column) -> Column:
+    """Gathered turns (turn, role, text) as (role, text) by their numbers."""
+    return F.transform(F.array_sort(turns), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+
+
 def format_preferences(turns: DataFrame, pair: Column, chosen: Column, turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row a pair: prompt, the two completions, and where each is learned.
 
     ``pair`` names a row's pair and ``chosen`` tells its side. One shuffle on the pair gathers both conversations.
     """
-    turn = F.struct(F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
-    rows = turns.select(pair.alias("pair"), chosen.alias("side"), turn.alias("t")).filter(F.col("pair").isNotNull() & F.col("side").isNotNull())
+    rows = turns.select(pair.alias("pair"), chosen.alias("side"), _turn(turn_col, role_col, text_col).alias("t")).filter(F.col("pair").isNotNull() & F.col("side").isNotNull())
     gathered = rows.groupBy("pair").agg(F.collect_list(F.when(F.col("side"), F.col("t"))).alias("c"), F.collect_list(F.when(~F.col("side"), F.col("t"))).alias("r"))
-    in_order = lambda c: F.transform(F.array_sort(c), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    both = gathered.select("pair", in_order(F.col("c")).alias("c"), in_order(F.col("r")).alias("r"))
+    return formatted_pairs(gathered.select("pair", in_order(F.col("c")).alias("c"), in_order(F.col("r")).alias("r")))
+
+
+def with_other_replies(turns: DataFrame) -> DataFrame:
+    """Pairs (pair, c, r) for ``formatted_pairs``: each conversation, and the same with another's reply as the last one.
+
+    The reply comes from the conversation with the next number; where there is none, or no reply to replace, ``r`` is
+    empty. One shuffle gathers a conversation; of the next only its last reply moves, found before the shuffle.
+    """
+    own = F.col("own")
+    rows = turns.filter("conv_id is not null").select("conv_id", _turn().alias("t"))
+    both = rows.select(F.col("conv_id").alias("pair"), "t", F.lit(True).alias("own")).unionAll(rows.filter(F.col("t.role") == LEARNED_ROLE).select(F.col("conv_id") - 1, "t", F.lit(False)))
+    gathered = both.groupBy("pair").agg(F.collect_list(F.when(own, F.col("t"))).alias("c"), F.max(F.when(~own, F.col("t"))).alias("other"))
+    gathered = gathered.filter(F.size("c") > 0).select("pair", in_order(F.col("c")).alias("c"), "other")
+    last = F.array_max(F.transform(F.col("c"), lambda t, i: F.when(t["role"] == LEARNED_ROLE, i)))
+    replaced = F.transform(F.col("c"), lambda t, i: F.when(i == F.col("last"), F.struct(t["role"].alias("role"), F.col("other.text").alias("text"))).otherwise(t))
+    can = F.col("other").isNotNull() & F.col("last").isNotNull()
+    return gathered.withColumn("last", last).select("pair", "c", F.when(can, replaced).otherwise(F.slice("c", 1, 0)).alias("r"))
+
+
+def formatted_pairs(both: DataFrame) -> DataFrame:
+    """The same for pairs whose sides ``c`` and ``r`` are arrays of turns (role, text) in order."""
     both = both.withColumn("n_common", F.when((F.size("c") > 0) & (F.size("r") > 0), common_turns(F.col("c"), F.col("r"))).otherwise(0))
     text_of = lambda a: F.array_join(F.transform(a, rendered), "")
     rest = lambda name: F.slice(F.col(name), F.col("n_common") + 1, F.size(name) + 1)
@@ -69,20 +97,26 @@ def format_preferences(turns: DataFrame, pair: Column, chosen: Column, turn_col:
 
 
 def op5_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations 2k (chosen) and 2k + 1 (rejected) are pair k; spans as text, so that they compare anywhere."""
+    """Pair k: conversation k, and the same with the last reply of conversation k + 1; spans as text, so that they
+    compare anywhere."""
     from tracery.llm.tables import read
 
-    turns = read(spark, sf_dir, "conversations")
-    pairs = format_preferences(turns, F.floor(F.col("conv_id") / 2), F.pmod(F.col("conv_id"), F.lit(2)) == 0)
+    pairs = formatted_pairs(with_other_replies(read(spark, sf_dir, "conversations")))
     shown = lambda c: F.array_join(F.transform(F.col(c), lambda s: F.concat_ws("-", s["start"].cast("string"), s["stop"].cast("string"))), ",").alias(c)
     return pairs.select("pair", "n_common", "prompt", "chosen", shown("chosen_spans"), "rejected", shown("rejected_spans"))
 
 
 OP5_SQL = r"""
-with t as (
-  select conv_id, conv_id // 2 pair, conv_id % 2 side, role, text, row_number() over (partition by conv_id order by turn, role, text) i,
-         '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) shown
+with b as (
+  select conv_id, role, text, row_number() over (partition by conv_id order by turn, role, text) i
     from conversations where conv_id is not null),
+a as (select conv_id, max(i) filter (role = 'assistant') a from b group by 1),
+o as (select b.conv_id - 1 pair, text other from b join a on a.conv_id = b.conv_id and i = a),
+u as (
+  select conv_id pair, 0 side, role, text, i from b
+  union all
+  select b.conv_id, 1, role, case when i = a then other else text end, i from b join a using (conv_id) join o on pair = b.conv_id where a is not null),
+t as (select *, '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) shown from u),
 n as (select pair, max(i) filter (side = 0) n_c, max(i) filter (side = 1) n_r from t group by 1),
 s as (
   select a.pair, a.i from t a join t b on a.pair = b.pair and a.i = b.i and a.side = 0 and b.side = 1
@@ -93,12 +127,12 @@ q as (select pair, string_agg(shown, '' order by i) prompt from t join p using (
 r as (
   select pair, side, role, shown, i, coalesce(length(prompt), 0) + sum(length(shown)) over (partition by pair, side order by i) stop, length(coalesce(text, '')) + 8 own
     from t join p using (pair) left join q using (pair) where i > n_common),
-o as (
+e as (
   select pair, side, string_agg(shown, '' order by i) shown,
          coalesce(string_agg((stop - own)::bigint::varchar || '-' || stop::bigint::varchar, ',' order by i) filter (role = 'assistant'), '') spans
     from r group by 1, 2)
 select p.pair, n_common, coalesce(prompt, '') prompt,
        case when n_c is not null then coalesce(c.shown, '') end chosen, case when n_c is not null then coalesce(c.spans, '') end chosen_spans,
        case when n_r is not null then coalesce(r.shown, '') end rejected, case when n_r is not null then coalesce(r.spans, '') end rejected_spans
-  from p left join q using (pair) left join o c on c.pair = p.pair and c.side = 0 left join o r on r.pair = p.pair and r.side = 1
+  from p left join q using (pair) left join e c on c.pair = p.pair and c.side = 0 left join e r on r.pair = p.pair and r.side = 1
 """
