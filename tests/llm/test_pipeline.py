@@ -4,10 +4,12 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("public_tokenizers")
 
 import corpus_pipeline  # noqa: E402
+from tests.llm.conftest import docs_of  # noqa: E402
 from tests.llm.test_windows import plain_classes, plain_decontamination  # noqa: E402
 from tracery.llm import toxicity  # noqa: E402
 from tracery.llm.pii import DEMO_KEY, pseudonymise  # noqa: E402
@@ -48,6 +50,35 @@ def test_stages(spark):
     assert sorted(map(tuple, whole.select(columns).collect())) == sorted(map(tuple, docs.select(columns).collect()))
 
 
+def test_odd_rows_and_tables(spark, tmp_path, odd_texts):
+    """Nulls in any column, empty and very long texts, repeated rows, other columns with clashing names, an empty table."""
+    item = " ".join(f"b{i}" for i in range(12))
+    tables = {
+        "benchmark": spark.createDataFrame([(1, item), (None, None)], "item_id long, text string"),
+        "labels": spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(60)] + [(None, None, 1), (5, None, None)], "doc_id long, quality int, toxic int"),
+    }
+    texts = [f"word{i} stands here with river{i} and stone{i} " + ("moron scum" if i % 4 == 0 else "garden") for i in range(60)]
+    texts += [*odd_texts, f"x {item} y", "mail me at ann@example.org now", "mail me at ann@example.org now"]
+    full = docs_of(spark, texts, [*range(len(texts) - 2), 7, None]).withColumn("lang", F.lit(None).cast("string"))
+    for name, docs in (("full", full), ("empty", full.limit(0)), ("bare", full.select("doc_id", "text"))):
+        for table, df in {**tables, "documents": docs}.items():
+            df.write.parquet(f"{tmp_path}/{name}/{table}.parquet")
+        sf_dir = f"{tmp_path}/{name}"
+        kept = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        for stage, f in corpus_pipeline.STAGES[:-1]:
+            before, kept = kept, written(f(spark, kept, sf_dir), stage)
+            assert kept.schema == before.schema
+        packed = corpus_pipeline.run(spark, sf_dir)
+        rows = [tuple(r) for r in packed.select("doc_id", "piece", "sequence_id", "offset", "length").collect()]
+        if name == "empty":
+            assert rows == []
+            continue
+        said = {r["text"] for r in kept.collect()}
+        assert {None, "", "x"} <= said and not any(t and (item in t or "ann@" in t or "moron" in t) for t in said)
+        assert kept.filter("text like 'one two three%'").count() == 1 and kept.filter("text like 'mail me%'").count() == 1
+        assert {r[0] for r in rows} == {r["doc_id"] for r in kept.collect()}
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import pyarrow as pa
 import pytest
@@ -13,6 +14,7 @@ from tests.llm.conftest import docs_of, found
 from tracery.llm import decontamination, grid, near_duplicates, quality, substrings
 from tracery.llm.graphs import components
 from tracery.llm.near_duplicates import Limits
+from tracery.llm.tables import only_kept, written
 
 SPACED, PLAIN = re.compile("[^\x20\x09-\x0d]+"), re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -201,7 +203,7 @@ def plain_classes(docs, k=5, percent=75):
     return [(doc, len(sets[i]), least.get(top(i))) for i, (doc, _) in enumerate(docs)], [top(i) for i in range(len(docs))]
 
 
-@pytest.mark.parametrize(("seed", "limits"), [(4, Limits()), (5, Limits(rounds=0, postings=3)), (6, Limits(rounds=1, pairs=0, postings=2)), (7, Limits(rounds=4, pairs=0))])
+@pytest.mark.parametrize(("seed", "limits"), [(4, Limits()), (5, Limits(rounds=0, postings=3)), (6, Limits(rounds=1, pairs=0, postings=2)), (7, Limits(rounds=4, pairs=0, hot_keys=20)), (8, Limits(hot_keys=0))])
 def test_near_duplicates(spark, odd_texts, seed, limits):
     texts = corpus(seed, 120, most=60) + odd_texts
     ids = list(range(len(texts)))
@@ -263,12 +265,21 @@ def test_only_possible_pairs_are_verified(spark):
     assert judged.filter("not possible").count() > len(cases) // 2
 
 
-def test_no_table_is_left(spark):
-    before = spark.catalog.listTables()
-    texts = corpus(3, 40)
-    near_duplicates.near_duplicate_classes(docs_of(spark, texts)).collect()
-    substrings.remove_repeated_passages(docs_of(spark, texts)).collect()
+def test_no_table_and_no_folder_is_left(spark):
+    before, docs = spark.catalog.listTables(), docs_of(spark, corpus(3, 40))
+    top = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    there = set(top.iterdir()) if top.exists() else set()
+    with only_kept(spark) as keep:
+        found_ = near_duplicates.near_duplicate_classes(docs)
+        result = keep(written(found_, "result"))
+    substrings.remove_repeated_passages(docs).collect()
     assert spark.catalog.listTables() == before
+    with only_kept(spark):
+        near_duplicates.one_of_each(docs).collect()
+        quality.judge(docs).collect()
+    new = {p.name.split("-")[0] for p in set(top.iterdir()) - there}
+    assert new == {"result", "blocks", "shared", "earlier"}  # what was kept, and what an open result reads
+    assert result.count() == 40
 
 
 def test_components(spark):
@@ -313,6 +324,13 @@ def test_quality(spark, odd_texts):
         assert not (r["kept"] and r["base_failed"])
 
 
+@pytest.mark.parametrize("hot_hosts", [0, 4, 1000])
+def test_hosts_by_broadcast_and_by_shuffle(spark, hot_hosts):
+    docs = docs_of(spark, corpus(9, 90) + ["a b"] * 30, [*range(119), None])
+    columns = ("doc_id", "host", "n_words", "base_failed", "host_rate", "kept")
+    assert sorted(map(str, found(quality.judge(docs, hot_hosts=hot_hosts), *columns))) == sorted(map(str, found(quality.judge(docs), *columns)))
+
+
 def test_hosts_shrink_towards_the_mean(spark):
     good, bad = " ".join(f"g{i}" for i in range(60)), "too short"
     rows = [(i, bad if i % 10 else good, "bad.example") for i in range(200)] + [(i, good, "good.example") for i in range(200, 500)]

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from tracery.llm.blocks import QUESTION, answer, asked, block_table, bucket_order, buckets_for, in_order, met, parts_for, rows_at, texts_of
 from tracery.llm.graphs import components
 from tracery.llm.grid import SPACED, U64, Grid, mix
-from tracery.llm.tables import HOT_KEYS, bucketed, join_on_hot_key, written
+from tracery.llm.tables import HOT_KEYS, bucketed, join_on_hot_key, only_kept, written
 
 WIDTH = 5
 PERCENT = 75
@@ -111,6 +111,8 @@ class Limits:
     pairs: int = 64
     #: Postings of a shingle that a task meets with the others; a shingle with more is salted.
     postings: int = 4096
+    #: A key with one in so many of all rows goes by broadcast.
+    hot_keys: int = HOT_KEYS
 
 
 def _possible(n: Column, at: Column, other_n: Column, other_at: Column, percent: int) -> Column:
@@ -123,15 +125,15 @@ def _possible(n: Column, at: Column, other_n: Column, other_at: Column, percent:
     return sizes & ((100 + percent) * F.least(n - at, other_n - other_at) >= percent * (n + other_n))
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _similar(pairs: DataFrame, sets: DataFrame, percent: int, hot_keys: int) -> DataFrame:
     """Of the pairs (x, y, rx, ry) those whose whole sets are similar enough.
 
     The sets lie in buckets by node and don't move to meet x; those of x move once to meet y. A y of very many pairs
-    (there are at most ``HOT_KEYS`` with a thousandth of all) is dealt to several tasks.
+    (there are at most ``hot_keys`` with as large a share) is dealt to several tasks.
     """
     pairs = written(pairs, "pairs")
     total = pairs.count()
-    hot = pairs.groupBy("y").agg(F.count("*").alias("n")).filter(F.col("n") * HOT_KEYS >= total).select("y", F.ceil(F.col("n") * HOT_KEYS / total).cast("int").alias("k")) if total else None
+    hot = pairs.groupBy("y").agg(F.count("*").alias("n")).filter(F.col("n") * hot_keys >= total).select("y", F.ceil(F.col("n") * hot_keys / total).cast("int").alias("k")) if total else None
     if hot is None:
         return pairs
     salted = pairs.join(F.broadcast(hot), "y", "left").withColumn("salt", F.coalesce(F.pmod(F.hash("x"), "k"), F.lit(0))).drop("k")
@@ -201,19 +203,25 @@ def _components_of(sets: DataFrame, percent: int, limits: Limits) -> DataFrame:
     turn, idle = 0, 0
     while True:
         if turn < limits.rounds:
-            links = written(_similar(_star(postings, state, percent, turn), sets, percent), "links")
+            links = written(_similar(_star(postings, state, percent, turn), sets, percent, limits.hot_keys), "links")
             idle = idle + 1 if links.isEmpty() else 0
             state = state if idle else _merged(state, links)
         cells, several, pairs = _open(postings, state)
         turn += 1
         if pairs <= limits.pairs * n_postings or idle > 1 or turn >= limits.rounds:  # the next turn has other classes of sizes
             break
-    links = written(_similar(_remaining(cells, several, state, percent, limits), sets, percent), "links")
+    links = written(_similar(_remaining(cells, several, state, percent, limits), sets, percent, limits.hot_keys), "links")
     return _merged(state, links).select("node", "root")
 
 
 def _linked(blocks: DataFrame, width: int, percent: int, limits: Limits) -> tuple[DataFrame, DataFrame]:
     """All documents (node, block, doc_id, n, one, two); one row a distinct set, with its copies and its component's root."""
+    with only_kept(blocks.sparkSession) as keep:
+        seen, rooted = _joined(blocks, width, percent, limits)
+        return keep(seen), keep(rooted)
+
+
+def _joined(blocks: DataFrame, width: int, percent: int, limits: Limits) -> tuple[DataFrame, DataFrame]:
     seen = written(blocks.mapInArrow(_describe(width), "node long, block long, doc_id long, n long, one long, two long"), "sets")
     filled = seen.filter("n > 0")
     classes = written(filled.groupBy("n", "one", "two").agg(F.min(F.struct("node", "block")).alias("of"), F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node", "block")).alias("keeper")), "classes")
@@ -272,10 +280,10 @@ def near_duplicate_classes(docs: DataFrame, width: int = WIDTH, percent: int = P
     """One row a document: doc_id, n_shingles, component_id (the smallest id reachable by links)."""
     seen, rooted = _linked(block_table(docs, id_col, text_col), width, percent, limits)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("sets"))
-    named = join_on_hot_key(rooted, least, "root", "sets")
+    named = join_on_hot_key(rooted, least, "root", "sets", limits.hot_keys)
     keyed = named.select(F.struct("one", "two", "n").alias("set"), "component_id", "copies")
     filled = seen.filter("n > 0").select("doc_id", "n", F.struct("one", "two", "n").alias("set"))
-    done = join_on_hot_key(filled, keyed, "set", "copies")
+    done = join_on_hot_key(filled, keyed, "set", "copies", limits.hot_keys)
     alone = seen.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return done.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionAll(alone)
 

@@ -86,7 +86,7 @@ def base_failed(min_words: int = MIN_WORDS, max_repeated_percent: int = MAX_REPE
     return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeated_percent * F.col("n_words"))
 
 
-def host_verdicts(measured: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
+def host_verdicts(measured: DataFrame, max_rate: float = MAX_HOST_RATE, hot_hosts: int = HOT_HOSTS) -> DataFrame:
     """One row a host: its documents, failures, shrunk rate and whether it is dropped.
 
     The prior's mean is the failure rate of all documents of hosts; its weight comes from the spread of the hosts'
@@ -108,21 +108,21 @@ def host_verdicts(measured: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataF
     return (
         hosts.join(F.broadcast(prior))  # one row
         .withColumn("host_rate", rate)
-        .select("host", "n_docs", "n_failed", "host_rate", (F.col("host_rate") > max_rate).alias("host_dropped"), (F.col("n_docs") * HOT_HOSTS >= F.col("all_docs")).alias("hot"))
+        .select("host", "n_docs", "n_failed", "host_rate", (F.col("host_rate") > max_rate).alias("host_dropped"), (F.col("n_docs") * hot_hosts >= F.col("all_docs")).alias("hot"))
     )
 
 
-def judge(docs: DataFrame, max_rate: float = MAX_HOST_RATE, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+def judge(docs: DataFrame, max_rate: float = MAX_HOST_RATE, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", hot_hosts: int = HOT_HOSTS) -> DataFrame:
     """One row a document: doc_id, host, the measures, base_failed, host_rate, kept.
 
     The measures are written once, as both the hosts' counts and the verdicts need them. Hosts that hold a
-    thousandth of all documents or more (at most ``HOT_HOSTS``, whatever the input) meet their documents by
+    thousandth of all documents or more (at most ``hot_hosts``, whatever the input) meet their documents by
     broadcast; the others are shuffled, where no host then has many rows.
     """
     from tracery.llm.tables import written
 
     measured = written(measure(docs, id_col, text_col, host_col).withColumn("base_failed", base_failed()), "quality")
-    verdicts = written(host_verdicts(measured, max_rate), "hosts").select("host", "host_rate", "host_dropped", "hot")
+    verdicts = written(host_verdicts(measured, max_rate, hot_hosts), "hosts").select("host", "host_rate", "host_dropped", "hot")
     hot = verdicts.filter("hot").select("host", F.col("host_rate").alias("hot_rate"), F.col("host_dropped").alias("hot_dropped"))
     first = measured.join(F.broadcast(hot), "host", "left")
     settled = first.filter(F.col("host").isNull() | F.col("hot_dropped").isNotNull())

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tracery.llm.grid import LOWERED, PLAIN, SPACED, U64, Grid, column, mix, runs, string_buffers
 from tracery.llm.near_duplicates import near_duplicate_classes
-from tracery.llm.tables import id_and_text, id_field, written
+from tracery.llm.tables import id_and_text, id_field, only_kept, written
 
 #: Labelled rows of each class that the classifier is fitted on.
 FIT_ROWS = 6_000
@@ -664,8 +664,9 @@ def fitted_scorer(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """A broadcast scorer learned from the documents and labels; bounded by the model's symbols and the sample."""
     context = docs.sparkSession.sparkContext
     model = fit_language_model(docs, text_col)
-    picked, all_rows = learning_rows(docs, labels, id_col=id_col, text_col=text_col)
-    learned = Learned() if picked is None else fit(context.broadcast(model), picked, all_rows)
+    with only_kept(docs.sparkSession):
+        picked, all_rows = learning_rows(docs, labels, id_col=id_col, text_col=text_col)
+        learned = Learned() if picked is None else fit(context.broadcast(model), picked, all_rows)
     return context.broadcast(Scorer(model, learned))
 
 
