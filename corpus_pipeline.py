@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; its result is written as Parquet in
 the shared folder and read again as the next one's documents, so a lost executor costs at most one stage's tasks.
+
+Defined results: null and empty texts pass every stage but the join, where documents without words are never copies of
+each other and all stay, and give one piece that holds the end mark; repeated rows are copies (one stays); rows with a
+null identifier pass, and are never learned from; other columns pass to the last stage, whatever their names, and
+``n_chars`` follows the text where there is such a column; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from tracery.llm.decontamination import without_contaminated
 from tracery.llm.near_duplicates import one_of_each
 from tracery.llm.packing import pack
 from tracery.llm.pii import DEMO_KEY, pseudonymise
-from tracery.llm.tables import read, written
+from tracery.llm.tables import only_kept, read, written
 from tracery.llm.toxicity import without_toxic
 
 
@@ -34,7 +39,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data gets pseudonyms; n_chars follows the text."""
-    return pseudonymise(docs, DEMO_KEY).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    done = pseudonymise(docs, DEMO_KEY)
+    return done.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,5 +59,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with only_kept(spark) as keep:  # what a stage wrote on its way goes with its end
+            docs = keep(written(stage(spark, docs, sf_dir), name))
     return docs
