@@ -21,7 +21,7 @@ from tracery.llm.grid import U64, column, drop_kept, give_back, runs
 from tracery.llm.tables import bucketed, id_and_text, shuffle_partitions, written
 
 #: Bytes of text in a block; a longer text is a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Bytes of text that a task reads from the table of blocks.
 PART_BYTES = 64 << 20
 #: About so many entries meet in a bucket.

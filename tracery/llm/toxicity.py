@@ -91,7 +91,7 @@ _APART_COST = 4.0
 #: Letters on both sides that such boundaries are judged with.
 _AROUND = 12
 _REPEATED = re.compile(r"(.)\1{3,}", re.DOTALL)
-_REMEMBERED = 150_000
+_REMEMBERED = 50_000
 
 
 def gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,7 +311,6 @@ class Learned:
 
 
 _BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -418,15 +417,15 @@ class Scorer:
         n, length = len(grid.starts), grid.ends - grid.starts
         if n < 2 or not self.words:
             return
-        size = len(grid.data)
-        up = _powers(_BASE, size)
-        total = np.zeros(size + 1, dtype=U64)
-        np.cumsum(grid.data * up, out=total[1:])
-        own = (total[grid.ends] - total[grid.starts]) * _powers(_BASE_INVERSE, size)[grid.starts]
+        up = _powers(_BASE, self.longest + 2)
+        own = np.zeros(n, dtype=U64)
+        for k in range(self.longest):
+            here = np.flatnonzero(length > k)
+            own[here] += grid.data[grid.starts[here] + k].astype(U64) * up[k]
         near = (grid.starts[1:] - grid.ends[:-1] <= _BETWEEN) & (grid.text_of[1:] == grid.text_of[:-1])
         joined, width, ok, found = own, length, np.ones(n, dtype=bool), []
         for k in range(1, min(_PARTS, n)):
-            joined = joined[: n - k] + own[k:] * up[np.minimum(width[: n - k], self.longest + 1).clip(max=size - 1)]
+            joined = joined[: n - k] + own[k:] * up[np.minimum(width[: n - k], self.longest + 1)]
             width = width[: n - k] + length[k:]
             ok = ok[: n - k] & near[k - 1 :] & (width <= self.longest)
             here = np.flatnonzero(ok)
@@ -529,7 +528,7 @@ def _features_of(model):
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lm = model.value
-        for run in runs(batches):
+        for run in runs(batches, limit=1 << 18):  # many small objects a word
             texts = with_folded(column(run, "text"))
             spaced = Grid(texts, SPACED, lower=True)
             more: dict[int, set[str]] = defaultdict(set)
