@@ -21,8 +21,8 @@ def collection_stats(docs: DataFrame) -> DataFrame:
 def char_histogram(docs: DataFrame) -> DataFrame:
     """(code, n, before): how often each character occurs, and how many characters stand before it in suffix order.
 
-    The range of suffixes that begin with a character is [before, before + n). Characters are counted per text before
-    they are shuffled; there are at most as many rows as code points.
+    The range of suffixes that begin with a character is [before, before + n). Characters are counted within each task
+    before they are shuffled; there are at most as many rows as code points.
     """
     one = docs.select(F.explode(F.filter(F.split("text", ""), lambda c: c != "")).alias("ch")).groupBy("ch").agg(F.count("*").alias("n"))
     coded = one.select(F.ascii("ch").cast("long").alias("code"), "n")

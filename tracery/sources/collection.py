@@ -26,10 +26,10 @@ def pattern_set(df: DataFrame, id_col: str = "pattern_id", pattern_col: str | Co
 
 
 def _numbered(lines: DataFrame, name: str) -> DataFrame:
-    """Lines numbered from 1 in file order, without bringing them to one task."""
-    from tracery.plans.ranks import numbered_in_place
+    """Lines numbered from 1 in the order of files and lines, without bringing them to one task."""
+    from tracery.plans.ranks import numbered_in_files
 
-    return numbered_in_place(lines.select(F.col("value").alias(name)))
+    return numbered_in_files(lines).withColumnRenamed("value", name)
 
 
 def read_delimited(spark: SparkSession, path: str, delimiter: str = "\u0000") -> DataFrame:
