@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracery.llm.grid import PLAIN, U64, Grid, column, mix, runs, same_bytes
-from tracery.llm.tables import bound_batches, id_and_text, id_field
+from tracery.llm.tables import bound_batches, id_and_text, id_field, written
 
 #: Text of the items that one set of pattern tables holds; a larger benchmark is searched in several sets.
 SET_BYTES = 8 << 20
@@ -171,24 +173,27 @@ def find_benchmark_passages(
 
     Documents are scanned where they lie, without a shuffle. Each scan carries the pattern tables of at most
     ``set_bytes`` of item text (a checked bound of what is broadcast); beyond it the documents are scanned once for
-    each set, and only what was hit is shuffled to be put together.
+    each set, one after the other, and only what was hit is shuffled to be put together.
     """
     spark = docs.sparkSession
     items = benchmark.select(benchmark[item_col].cast("string"), benchmark[item_text_col].cast("string"))
     kind = id_field(docs, id_col)
-    sets = [spark.sparkContext.broadcast(s) for s in pattern_sets(items, window, set_bytes)]
+    sets = pattern_sets(items, window, set_bytes)
+    one, another = next(sets), next(sets, None)
     source = id_and_text(docs, id_col, text_col)
-    if len(sets) == 1:
-        found = source.mapInArrow(_scanner(sets[0], False), T.StructType([kind, *_FOUND]))
+    if another is None:
+        found = source.mapInArrow(_scanner(spark.sparkContext.broadcast(one), False), T.StructType([kind, *_FOUND]))
     else:
         # A row's own key: equal ids may be of different rows. The text itself is not carried along.
         source = source.withColumn("row", F.struct(F.col("doc_id"), F.xxhash64("text"), F.length("text")))
         keyed = T.StructType([kind, *_FOUND, T.StructField("row", source.schema["row"].dataType), T.StructField("hit", T.ArrayType(T.LongType()))])
-        parts = None
-        for one in sets:
-            part = source.mapInArrow(_scanner(one, True), keyed)
-            parts = part if parts is None else parts.unionAll(part)
-        copies = F.count("*") / len(sets)
+        parts = []
+        for s in chain((one, another), sets):  # one set at a time is with the executors
+            patterns = spark.sparkContext.broadcast(s)
+            parts.append(written(source.mapInArrow(_scanner(patterns, True), keyed), "passages"))
+            patterns.unpersist()
+        n_sets, parts = len(parts), reduce(DataFrame.unionAll, parts)
+        copies = F.count("*") / n_sets
         found = (
             parts.groupBy("row").agg(
                 F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
@@ -240,7 +245,10 @@ def without_contaminated(
     items = benchmark.select(benchmark[item_col].cast("string"), benchmark[item_text_col].cast("string"))
     bound_batches(docs.sparkSession)
     found = docs.withColumn(_SEEN, F.array().cast("array<string>"))
-    for one in pattern_sets(items, window, set_bytes, whole_windows=True):
+    few = lambda df: df.filter(F.size(F.array_distinct(_SEEN)) < min_items)
+    sets = pattern_sets(items, window, set_bytes, whole_windows=True)
+    one = next(sets)
+    while one is not None:
         patterns = docs.sparkSession.sparkContext.broadcast(one)
 
         def mark(batches: Iterator[pa.RecordBatch], patterns=patterns) -> Iterator[pa.RecordBatch]:
@@ -252,8 +260,11 @@ def without_contaminated(
                     seen[text] = [*seen[text], table.names[item]]
                 yield run.set_column(run.schema.get_field_index(_SEEN), _SEEN, pa.array(seen, pa.list_(pa.string())))
 
-        found = found.mapInArrow(mark, found.schema)
-    return found.filter(F.size(F.array_distinct(_SEEN)) < min_items).drop(_SEEN)
+        found, one = few(found.mapInArrow(mark, found.schema)), next(sets, None)
+        if one is not None:  # one set at a time is with the executors
+            found = written(found, "clean-so-far")
+            patterns.unpersist()
+    return found.drop(_SEEN)
 
 
 _SEEN = "_benchmark_items_seen"
