@@ -2,23 +2,28 @@
 
 A set of patterns becomes an automaton that finds all occurrences, overlapping ones too, in one pass over each text.
 The texts are scanned where they lie; only (pattern, document) rows leave the scan, already counted. Patterns are sent
-to the executors in slices of bounded size, one scan a slice. A handful of patterns needs no automaton: each is a
+to the executors in slices of bounded size, one scan a slice; if there are several, each is scanned for, written and
+let go before the next is sent. A handful of patterns needs no automaton: each is a
 literal ``contains`` in one generated filter.
 """
 
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import chain
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracery.functions.text import occurrences as occurrences_of
+from tracery.sources.workspace import stored
 
 #: Characters of the patterns that one scan carries.
-SLICE_CHARS = 16 << 20
+SLICE_CHARS = 2 << 20
 #: Up to so many patterns are searched as literals by the generated code of one scan.
 LITERALS = 16
 
@@ -32,10 +37,10 @@ def slices(patterns: DataFrame, slice_chars: int) -> Iterator[dict[str, list[int
             held[pattern].append(number)
             size += len(pattern)
         if size >= slice_chars:
-            yield held
+            yield dict(held)
             held, size = defaultdict(list), 0
     if held:
-        yield held
+        yield dict(held)
 
 
 def _automaton(words: dict[str, list[int]]):
@@ -58,19 +63,33 @@ def _machine(words: dict[str, list[int]]):
     return _last[1]
 
 
-def _scan(docs: DataFrame, patterns: DataFrame, slice_chars: int, schema: str, each) -> DataFrame:
-    out = None
-    for part in slices(patterns, slice_chars):
-        words = docs.sparkSession.sparkContext.broadcast(dict(part))
+def each_slice(spark: SparkSession, patterns: DataFrame, slice_chars: int, schema: str, scan: Callable[[Broadcast], DataFrame], streaming: bool = False) -> DataFrame:
+    """What ``scan`` finds with each slice of the patterns, put together; no two slices are with the executors at once."""
+    parts = slices(patterns, slice_chars)
+    first, second = next(parts, None), next(parts, None)
+    if first is None:
+        return spark.createDataFrame([], schema)
+    if second is None or streaming:
+        found = [scan(spark.sparkContext.broadcast(p)) for p in (first, second, *parts) if p]
+        return reduce(DataFrame.unionAll, found)
+    found = []
+    for part in chain((first, second), parts):
+        words = spark.sparkContext.broadcast(part)
+        found.append(stored(scan(words), "slice"))
+        words.unpersist()
+    return reduce(DataFrame.unionAll, found)
+
 
-        def scan(batches: Iterator[pa.RecordBatch], words=words) -> Iterator[pa.RecordBatch]:
+def _scan(docs: DataFrame, patterns: DataFrame, slice_chars: int, schema: str, each) -> DataFrame:
+    def with_words(words: Broadcast) -> DataFrame:
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             machine = _machine(words.value)
             for batch in batches:
                 yield from each(machine, batch)
 
-        found = docs.select("doc_id", "text").mapInArrow(scan, schema)
-        out = found if out is None else out.unionAll(found)
-    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+        return docs.select("doc_id", "text").mapInArrow(scan, schema)
+
+    return each_slice(docs.sparkSession, patterns, slice_chars, schema, with_words, docs.isStreaming)
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, str]]:

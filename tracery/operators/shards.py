@@ -19,10 +19,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracery.operators.search import SLICE_CHARS, slices
+from tracery.operators.search import SLICE_CHARS, each_slice
 
 _HEAD = 7
 _SCHEMA = "shard long, doc_ids array<long>, starts binary, data binary, sa binary, c binary, ilcp binary, node_sp binary, node_ep binary, node_leaf binary, node_all binary, node_first binary, node_docs binary, node_tf binary"
@@ -256,13 +257,11 @@ def _loaded(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
 
 def _asked(index: DataFrame, patterns: DataFrame, columns: list[str], schema: str, each: Callable[[Shard, int, bytes, int, int], dict | None], slice_chars: int) -> DataFrame:
     """Rows that ``each`` (shard, pattern's number, pattern, sp, ep) makes of every range that isn't empty."""
-    out, spark = None, index.sparkSession
     rows = index.select(*dict.fromkeys(["shard", "doc_ids", "starts", "data", *columns]))
     names = [f.split()[0] for f in schema.split(", ")]
-    for part in slices(patterns, slice_chars):
-        words = spark.sparkContext.broadcast(dict(part))
 
-        def ask(batches: Iterator[pa.RecordBatch], words=words) -> Iterator[pa.RecordBatch]:
+    def with_words(words: Broadcast) -> DataFrame:
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for shard in _loaded(batches):
                 for word, numbers in words.value.items():
                     pattern = word.encode()
@@ -274,9 +273,9 @@ def _asked(index: DataFrame, patterns: DataFrame, columns: list[str], schema: st
                             full = {"pattern_id": np.full(n, number, dtype=np.int64)} | found
                             yield pa.RecordBatch.from_pydict({k: pa.array(full[k]) for k in names})
 
-        found = rows.mapInArrow(ask, schema)
-        out = found if out is None else out.unionAll(found)
-    return spark.createDataFrame([], schema) if out is None else out
+        return rows.mapInArrow(ask, schema)
+
+    return each_slice(index.sparkSession, patterns, slice_chars, schema, with_words)
 
 
 def ranges(index: DataFrame, patterns: DataFrame, slice_chars: int = SLICE_CHARS) -> DataFrame:
