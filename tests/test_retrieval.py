@@ -49,6 +49,18 @@ def test_delimited_doc_array(spark, delimiter, da):
     assert [r["da"] for r in found] == da
 
 
+def test_delimited_doc_array_of_odd_texts(spark):
+    texts = [(1, "ab$é$$ab"), (2, ""), (3, None), (4, "a" * 3000 + "$" + "a" * 10), (5, "漢$字$😀")]
+    got = {}
+    for d, sa, da in rows(suffixes.delimited_doc_array(docs_of(spark, texts), "$")):
+        got.setdefault(d, []).append(da)
+    for d, t in texts:
+        if t is not None:
+            order = sorted(range(len(t) + 1), key=lambda i, t=t: t[i:])
+            assert got[d] == [t[:i].count("$") + 1 for i in order]
+    assert set(got) == {1, 2, 4, 5}
+
+
 @pytest.mark.parametrize("strategy", ["literals", "automaton"])
 def test_known_listings(spark, strategy):
     words = ["TA", "A", "LT", "AA", "TATA", ""]

@@ -42,7 +42,7 @@ class Parameters:
     factor: float = 4.0
 
 
-def _padded(data: np.ndarray) -> np.ndarray:
+def padded(data: np.ndarray) -> np.ndarray:
     out = np.zeros(len(data) + 8, dtype=np.uint8)
     out[: len(data)] = data
     return out
@@ -110,7 +110,7 @@ class Shard:
         self.number, self.ids = row["shard"], row["doc_ids"]
         self.starts = np.frombuffer(row["starts"], dtype=np.int64)
         self.bytes = row["data"]
-        self.data = _padded(np.frombuffer(row["data"], dtype=np.uint8))
+        self.data = padded(np.frombuffer(row["data"], dtype=np.uint8))
         self.sa = np.frombuffer(row["sa"], dtype=np.int32).astype(np.int64)
         self.row = row
         self._heads: np.ndarray | None = None
@@ -201,7 +201,7 @@ def _built(number: int, ids: list[int], texts: list[bytes], p: Parameters) -> pa
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes)])
     raw = b"".join(texts)
-    data = _padded(np.frombuffer(raw, dtype=np.uint8))
+    data = padded(np.frombuffer(raw, dtype=np.uint8))
     of = np.repeat(np.arange(len(texts)), sizes)
     ends = starts[of + 1]
     sa = suffix_order(data, ends)

@@ -8,11 +8,16 @@ short strings; long texts are searched by ``search`` or ``postings``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracery.functions.text import common_prefix
+from tracery.operators.shards import padded, suffix_order
 from tracery.plans.ranks import globally_ranked
 
 
@@ -25,14 +30,26 @@ def doc_borders(texts: DataFrame, delimiter: str) -> DataFrame:
 def delimited_doc_array(texts: DataFrame, delimiter: str) -> DataFrame:
     """(doc_id, sa, da) for texts that hold several documents each, the end of the text being a suffix of its own.
 
-    da is the number, from 1, of the delimited document in which the suffix begins.
+    da is the number, from 1, of the delimited document in which the suffix begins. A text's suffixes are ordered where
+    it lies, without writing them out; a null text has none.
     """
-    n = F.length("text")
-    at = texts.select("doc_id", "text", F.explode(F.sequence(F.lit(0), n)).alias("pos"))
-    document = F.length(F.substring("text", F.lit(1), F.col("pos"))) - F.length(F.replace(F.substring("text", F.lit(1), F.col("pos")), F.lit(delimiter), F.lit(""))) + 1
-    suffix = F.col("text").substr(F.col("pos") + 1, n)
-    sa = F.row_number().over(Window.partitionBy("doc_id").orderBy(suffix, "pos")) - 1
-    return at.select("doc_id", sa.cast("long").alias("sa"), document.cast("long").alias("da"))
+    mark = delimiter.encode()
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                data = padded(np.frombuffer(raw, dtype=np.uint8))
+                n = len(raw)
+                order = suffix_order(data, np.full(n, n))
+                order = np.concatenate([[n], order[(data[order] & 0xC0) != 0x80]])  # characters, not their inner bytes
+                marks, at = [], raw.find(mark)
+                while at >= 0:
+                    marks.append(at)
+                    at = raw.find(mark, at + len(mark))
+                da = np.searchsorted(np.array(marks, dtype=np.int64), order, side="left") + 1
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(np.full(len(order), doc)), "sa": pa.array(np.arange(len(order))), "da": pa.array(da)})
+
+    return texts.filter("text is not null").select("doc_id", F.col("text").cast("binary")).mapInArrow(each, "doc_id long, sa long, da long")
 
 
 def suffix_table(docs: DataFrame) -> DataFrame:
@@ -79,6 +96,17 @@ def ranges(suffixes: DataFrame, patterns: DataFrame) -> DataFrame:
     return _matches(suffixes, patterns).groupBy("pattern_id").agg(F.min("sa").alias("sp"), F.max("sa").alias("ep"))
 
 
+def ranges_with_last(suffixes: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(pattern_id, sp, ep, doc_id, pos): the range, and where the last suffix in it begins."""
+    last = F.max_by(F.struct("doc_id", "pos"), "sa")
+    return _matches(suffixes, patterns).groupBy("pattern_id").agg(F.min("sa").alias("sp"), F.max("sa").alias("ep"), last.alias("last")).select("pattern_id", "sp", "ep", "last.*")
+
+
+def bwt(suffixes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(sa, ch): the character before each suffix, empty where a document begins."""
+    return suffixes.select("sa", "doc_id", "pos").join(docs, "doc_id").select("sa", F.when(F.col("pos") > 0, F.col("text").substr(F.col("pos"), F.lit(1))).otherwise("").alias("ch"))
+
+
 def list_by_previous(suffixes: DataFrame, patterns: DataFrame) -> DataFrame:
     """Listing by the document's previous suffix: each document once, where that lies before the range."""
     found = _matches(suffixes, patterns)

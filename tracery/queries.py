@@ -99,7 +99,7 @@ merged as (select doc_id, bit_or(terms) terms, sum(score) score from scored grou
 PARTS = "parts as (select p_partkey doc_id, p_name || ' ' || p_brand || ' ' || p_type text from part)"
 PART_PAT = f"pat as (select * from (values {_words(PART_PATTERNS)}) v(pattern_id, pattern))"
 PART_LISTED = f"with {PARTS}, {PART_PAT} select distinct pattern_id, doc_id from pat, parts where contains(text, pattern)"
-SUFFIXES = f"""{PARTS}, s as (select text[i + 1:i + 64] "key", doc_id, i pos from (select *, unnest(range(0, length(text))) i from parts)),
+SUFFIXES = f"""{PARTS}, s as (select text[i + 1:] "key", doc_id, i pos from (select *, unnest(range(0, length(text))) i from parts)),
 sa as (select row_number() over (order by "key", doc_id, pos) - 1 sa, doc_id, pos, "key" from s)"""
 
 
@@ -300,6 +300,26 @@ def suffix_ranges(spark, sf_dir):
     return suffixes.ranges(_suffixes(spark, sf_dir), _listed(spark, PART_PATTERNS)).select("pattern_id", "sp", "ep", (F.col("ep") - F.col("sp") + 1).alias("n"))
 
 
+@query(f"""with {SUFFIXES}, {PART_PAT}, r as (select pattern_id, min(sa) sp, max(sa) ep from pat join sa on starts_with("key", pattern) group by 1)
+select pattern_id, sp, ep, doc_id, pos::int pos from r join sa on sa.sa = ep""")
+def range_and_last(spark, sf_dir):
+    return suffixes.ranges_with_last(_suffixes(spark, sf_dir), _listed(spark, PART_PATTERNS))
+
+
+BWT = f"""{SUFFIXES}, t as (select sa, case when pos > 0 then text[pos] else '' end ch from sa join parts using (doc_id))"""
+
+
+@query(f"with {BWT} select sa, ch from t")
+def bwt(spark, sf_dir):
+    return suffixes.bwt(suffixes.suffix_table(_parts(spark, sf_dir)), _parts(spark, sf_dir))
+
+
+@query(f"with {BWT}, h as (select sa, ch, lag(ch) over (order by sa) is distinct from ch head from t), g as (select *, sum(head::int) over (order by sa) run from h) select min(sa) first, count(*) size, any_value(ch) \"value\" from g group by run")
+def bwt_runs(spark, sf_dir):
+    last = stored(suffixes.bwt(suffixes.suffix_table(_parts(spark, sf_dir)), _parts(spark, sf_dir)), "bwt")
+    return suffixes.ilcp_runs(last, "ch")
+
+
 @query(f"""with {SUFFIXES}, p as (select "key"[1:n] prefix, doc_id, sa from (select *, unnest(range(1, least(length("key"), 3) + 1)) n from sa)),
 f as (select prefix, doc_id, count(*) tf, min(sa) sp, max(sa) ep from p group by 1, 2)
 select prefix, min(sp) sp, max(ep) ep, count(*) n_docs, count(*) = (select count(*) from part) holds_all,
