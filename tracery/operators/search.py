@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from functools import reduce
-from itertools import chain
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark import Broadcast
@@ -32,7 +32,7 @@ def slices(patterns: DataFrame, slice_chars: int) -> Iterator[dict[str, list[int
     """Patterns by their text, in slices; read one by one."""
     held: dict[str, list[int]] = defaultdict(list)
     size = 0
-    for number, pattern in patterns.select("pattern_id", "pattern").toLocalIterator():
+    for number, pattern in patterns.select("pattern_id", "pattern").coalesce(1).toLocalIterator():  # one job
         if pattern:
             held[pattern].append(number)
             size += len(pattern)
@@ -63,9 +63,8 @@ def _machine(words: dict[str, list[int]]):
     return _last[1]
 
 
-def each_slice(spark: SparkSession, patterns: DataFrame, slice_chars: int, schema: str, scan: Callable[[Broadcast], DataFrame], streaming: bool = False) -> DataFrame:
-    """What ``scan`` finds with each slice of the patterns, put together; no two slices are with the executors at once."""
-    parts = slices(patterns, slice_chars)
+def each_slice(spark: SparkSession, parts: Iterator[dict[str, list[int]]], schema: str, scan: Callable[[Broadcast], DataFrame], streaming: bool = False) -> DataFrame:
+    """What ``scan`` finds with each slice of patterns, put together; no two slices are with the executors at once."""
     first, second = next(parts, None), next(parts, None)
     if first is None:
         return spark.createDataFrame([], schema)
@@ -80,7 +79,7 @@ def each_slice(spark: SparkSession, patterns: DataFrame, slice_chars: int, schem
     return reduce(DataFrame.unionAll, found)
 
 
-def _scan(docs: DataFrame, patterns: DataFrame, slice_chars: int, schema: str, each) -> DataFrame:
+def _scan(docs: DataFrame, parts: Iterator[dict[str, list[int]]], schema: str, each) -> DataFrame:
     def with_words(words: Broadcast) -> DataFrame:
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             machine = _machine(words.value)
@@ -89,7 +88,7 @@ def _scan(docs: DataFrame, patterns: DataFrame, slice_chars: int, schema: str, e
 
         return docs.select("doc_id", "text").mapInArrow(scan, schema)
 
-    return each_slice(docs.sparkSession, patterns, slice_chars, schema, with_words, docs.isStreaming)
+    return each_slice(docs.sparkSession, parts, schema, with_words, docs.isStreaming)
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, str]]:
@@ -128,12 +127,12 @@ def frequencies(docs: DataFrame, patterns: DataFrame, slice_chars: int = SLICE_C
 
     strategy: "literals" (generated code, few patterns), "automaton", or "auto".
     """
-    if strategy != "automaton":
-        few = patterns.filter("length(pattern) > 0").limit(LITERALS + 1).collect()
-        if strategy == "literals" or len(few) <= LITERALS:
-            few = few if strategy == "auto" else patterns.filter("length(pattern) > 0").collect()
-            return _by_literals(docs, [(r["pattern_id"], r["pattern"]) for r in few])
-    return _scan(docs, patterns, slice_chars, "pattern_id long, doc_id long, tf long", _counted)
+    parts = slices(patterns, slice_chars)
+    head = list(islice(parts, 2))
+    few = len(head) < 2 and sum(len(numbers) for part in head for numbers in part.values()) <= LITERALS
+    if strategy == "literals" or (strategy == "auto" and few):
+        return _by_literals(docs, [(n, word) for part in chain(head, parts) for word, numbers in part.items() for n in numbers])
+    return _scan(docs, chain(head, parts), "pattern_id long, doc_id long, tf long", _counted)
 
 
 def _by_literals(docs: DataFrame, patterns: list[tuple[int, str]]) -> DataFrame:
@@ -148,7 +147,7 @@ def _by_literals(docs: DataFrame, patterns: list[tuple[int, str]]) -> DataFrame:
 
 def locate(docs: DataFrame, patterns: DataFrame, slice_chars: int = SLICE_CHARS) -> DataFrame:
     """(pattern_id, doc_id, pos): every occurrence, positions in characters from 0."""
-    return _scan(docs, patterns, slice_chars, "pattern_id long, doc_id long, pos long", _located)
+    return _scan(docs, slices(patterns, slice_chars), "pattern_id long, doc_id long, pos long", _located)
 
 
 def list_docs(docs: DataFrame, patterns: DataFrame, **options) -> DataFrame:

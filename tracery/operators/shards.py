@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracery.operators.search import SLICE_CHARS, each_slice
+from tracery.operators.search import SLICE_CHARS, each_slice, slices
 
 _HEAD = 7
 _SCHEMA = "shard long, doc_ids array<long>, starts binary, data binary, sa binary, c binary, ilcp binary, node_sp binary, node_ep binary, node_leaf binary, node_all binary, node_first binary, node_docs binary, node_tf binary"
@@ -275,7 +275,7 @@ def _asked(index: DataFrame, patterns: DataFrame, columns: list[str], schema: st
 
         return rows.mapInArrow(ask, schema)
 
-    return each_slice(index.sparkSession, patterns, slice_chars, schema, with_words)
+    return each_slice(index.sparkSession, slices(patterns, slice_chars), schema, with_words)
 
 
 def ranges(index: DataFrame, patterns: DataFrame, slice_chars: int = SLICE_CHARS) -> DataFrame:
