@@ -92,6 +92,8 @@ _APART_COST = 4.0
 _AROUND = 12
 _REPEATED = re.compile(r"(.)\1{3,}", re.DOTALL)
 _REMEMBERED = 50_000
+#: Bytes of text that are scored at once.
+_RUN = 1 << 19
 
 
 def gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -649,7 +651,7 @@ def fit(model, picked: DataFrame, all_rows: dict[int, int]) -> Learned:
     scorer = picked.sparkSession.sparkContext.broadcast(Scorer(model.value, learned))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in runs(batches):
+        for run in runs(batches, limit=_RUN):
             x = scorer.value.evidence(scorer.value._restored(column(run, "text"))[1])
             yield pa.RecordBatch.from_pydict({"toxic": column(run, "toxic")} | {f"x{k}": pa.array(x[:, k]) for k in range(x.shape[1])})
 
@@ -674,7 +676,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     scorer = fitted_scorer(docs, labels, id_col, text_col)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in runs(batches):
+        for run in runs(batches, limit=_RUN):
             scores, restored = scorer.value.judged(column(run, "text"))
             yield pa.RecordBatch.from_pydict({"doc_id": column(run, "doc_id"), "score": pa.array(scores, pa.float64()), "restored": restored})
 
@@ -688,7 +690,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     scorer = fitted_scorer(docs, labels, id_col, text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in runs(batches, text_col):
+        for run in runs(batches, text_col, limit=_RUN):
             yield run.filter(pa.array(scorer.value.scores(column(run, text_col)) < threshold))
 
     return docs.mapInArrow(keep, docs.schema)
