@@ -1,8 +1,9 @@
 """Listing with an index of byte grams.
 
-The index has one row for each gram (``q`` bytes of UTF-8, at most 7, as a whole number) and document. A pattern asks
-for up to ``GRAMS`` of its grams; a document that has them all is a candidate, and its text is compared. Grams are
-made in one linear, vectorised pass over the texts. Patterns shorter than a gram go to the scan instead.
+The index has one row for each gram (up to ``q`` bytes of UTF-8, at most 5, with its length as a whole number) and
+document. A pattern of at most q bytes is a gram itself, and its list is the answer. A longer one asks for up to
+``GRAMS`` of its grams of q bytes; a document that has them all is a candidate, and its text is compared. Grams are made
+in one linear, vectorised pass over the texts.
 """
 
 from __future__ import annotations
@@ -14,32 +15,27 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracery.operators import search
 from tracery.sources.workspace import stored
 
 Q, GRAMS = 5, 4
-#: Up to so many grams are pushed down to the scan of the index.
-PUSHED = 4096
+#: Bits of a gram's bytes; its length stands above.
+BITS = 40
 _RUN_BYTES = 1 << 22
 
 
 def _distinct_grams(texts: list[bytes], q: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text, gram) pairs; grams as big-endian numbers."""
+    """Distinct (text, gram) pairs; grams of 1 to q bytes as big-endian numbers below their length."""
     size = np.array([len(t) for t in texts])
     data = np.frombuffer(b"".join(texts), dtype=np.uint8).astype(np.int64)
-    if len(data) < q:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     owner, ends = np.repeat(np.arange(len(texts)), size), np.cumsum(size)
-    gram = np.zeros(len(data) - q + 1, dtype=np.int64)
-    for j in range(q):
-        gram = (gram << 8) | data[j : len(data) - q + 1 + j]
-    at = np.flatnonzero(np.arange(len(gram)) + q <= ends[owner[: len(gram)]])
-    gram, owner = gram[at], owner[at]
-    order = np.lexsort([gram, owner])
-    gram, owner = gram[order], owner[order]
-    fresh = np.ones(len(gram), dtype=bool)
-    fresh[1:] = (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1])
-    return owner[fresh], gram[fresh]
+    owners, grams, gram = [], [], np.zeros(len(data), dtype=np.int64)
+    for k in range(1, min(q, len(data)) + 1):
+        gram = (gram[: len(data) - k + 1] << 8) | data[k - 1 :]
+        inside = np.arange(len(gram)) + k <= ends[owner[: len(gram)]]
+        pair = np.unique(owner[: len(gram)][inside] << BITS | gram[inside])
+        owners.append(pair >> BITS)
+        grams.append((pair & ((1 << BITS) - 1)) | k << BITS)
+    return (np.concatenate(owners), np.concatenate(grams)) if owners else (np.zeros(0, dtype=np.int64),) * 2
 
 
 def gram_index(docs: DataFrame, q: int = Q) -> DataFrame:
@@ -76,23 +72,23 @@ def posting_lists(index: DataFrame, most: int = 1000) -> DataFrame:
     return lists.select("gram", "part", "docs")
 
 
-def gram_of(text: Column, place: Column, q: int = Q) -> Column:
-    """The gram at a byte of a text, from 0."""
-    return F.conv(F.hex(F.substring(text.cast("binary"), place + 1, F.lit(q))), 16, 10).cast("long")
+def gram_of(text: Column, place: Column, q: Column | int = Q) -> Column:
+    """The gram of q bytes at a byte of a text, from 0."""
+    q = F.lit(q) if isinstance(q, int) else q
+    value = F.conv(F.hex(F.substring(text.cast("binary"), place + 1, q)), 16, 10).cast("long")
+    return value.bitwiseOR(F.shiftleft(q.cast("long"), BITS))
 
 
 def list_docs_indexed(docs: DataFrame, index: DataFrame, patterns: DataFrame, q: int = Q, grams: int = GRAMS) -> DataFrame:
     """(pattern_id, doc_id) by grams and comparison; the grams asked for are spread evenly over the pattern."""
     size = F.octet_length("pattern")
-    long = patterns.filter(size >= q)
-    places = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(grams - 1)), lambda i: F.floor((size - q) * i / (grams - 1)).cast("int")))
-    asked = long.withColumn("grams", F.array_distinct(F.transform(places, lambda p: gram_of(F.col("pattern"), p, q))))
-    wanted = asked.select("pattern_id", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-    few = wanted.select("gram").distinct().limit(PUSHED + 1).collect()
-    if len(few) <= PUSHED:  # the scan then reads only those row groups
-        index = index.filter(F.col("gram").isin([r["gram"] for r in few]))
-    held = index.join(wanted, "gram").groupBy("pattern_id", "doc_id").agg(F.count("*").alias("held"), F.first("n").alias("n")).filter("held = n")
+    width = F.least(size, F.lit(q))
+    places = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(grams - 1)), lambda i: F.floor((size - width) * i / (grams - 1)).cast("int")))
+    asked = patterns.withColumn("grams", F.array_distinct(F.transform(places, lambda p: gram_of(F.col("pattern"), p, width))))
+    wanted = asked.select("pattern_id", (size <= q).alias("whole"), F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    met = index.join(wanted, "gram")
+    held = met.filter(~F.col("whole")).groupBy("pattern_id", "doc_id").agg(F.count("*").alias("held"), F.first("n").alias("n")).filter("held = n")
     # Written, their size is known: few candidates are sent to the texts, which then stay where they lie.
     held = stored(held.select("pattern_id", "doc_id"), "candidates")
-    found = docs.join(held, "doc_id").join(long, "pattern_id").filter(F.col("text").contains(F.col("pattern"))).select("pattern_id", "doc_id")
-    return found.unionAll(search.list_docs(docs, patterns.filter(size < q)))
+    found = docs.join(held, "doc_id").join(patterns, "pattern_id").filter(F.col("text").contains(F.col("pattern"))).select("pattern_id", "doc_id")
+    return met.filter("whole").select("pattern_id", "doc_id").unionAll(found)
