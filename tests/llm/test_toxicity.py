@@ -168,7 +168,7 @@ def test_decoding_finds_the_best_of_all_readings(fitted, seen, gaps, spaces):
     assert min(c for c, s in all_readings(model, seen, gaps, spaces) if s == said) == pytest.approx(best[0], abs=1e-4)
 
 
-@pytest.mark.parametrize("seen", ["what a i d i o t", "i d i o t i am", "m o r o n i d i o t", "id iot", "idi ot", "m-o r-o n", "\u0456diot", "mor\u043en", "\uff49\uff44\uff49\uff4f\uff54", "id\u200biot", "ID IOT", "\u0406DIOT", "pa thetic"])
+@pytest.mark.parametrize("seen", ["what a i d i o t", "i d i o t i am", "m o r o n i d i o t", "id iot", "idi ot", "m-o r-o n", "\u0456diot", "mor\u043en", "\uff49\uff44\uff49\uff4f\uff54", "id\u200biot", "ID IOT", "\u0406DIOT", "pa thetic", "w0rth13$$", "wort hless", "iiddiioott", "i*iot", "mmoorroonn", "w o r t h 1 3 s 5"])
 def test_split_and_foreign_letters_are_restored(fitted, seen):
     text = f"the river {seen} and paper"
     score, restored = fitted[2].judged(pa.array([text]))
@@ -181,6 +181,13 @@ def test_clean_neighbours_stay(fitted, text):
     assert fitted[2].scores(pa.array([text]))[0] < 0.5
 
 
+def test_forced_readings_cost_what_enumeration_says(fitted):
+    model = fitted[2].model
+    for seen, word in (("1d10t", "idiot"), ("m0rr0n", "moron"), ("id iot", "idiot"), ("x", "moron"), ("p*th", "path")):
+        own = [c for c, said in all_readings(model, seen, False, " " in seen) if said == word]
+        assert model.cost_as(seen, word, " " in seen) == (pytest.approx(min(own), abs=1e-4) if own else float("inf"))
+
+
 def plain_score(scorer, text):
     """The score of a text that needs no restoring, word by word."""
     learned, words = scorer.learned, {w.encode() for w in re.findall("[a-z0-9\u0080-\U0010ffff]+", text.lower())}

@@ -61,7 +61,7 @@ _CODE[128:] = 27
 #: What a character may stand for in disguised words.
 LOOKS_LIKE = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
-    "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "{": "c", "#": "h", "*": "aeiou",
+    "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "{": "c", "#": "h", "*": "abcdefghijklmnopqrstuvwxyz",
 }
 #: Letters of other scripts that look like ASCII letters.
 SCRIPTS = {
@@ -85,9 +85,13 @@ _ODD[[ord(c) for c in "._-~"]] = True
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[97:123] = True
 _END, _START = "!*#%&?.,;:|\"')", "\"'(["
-_STRANGE = re.compile(r"[a-z][^a-z]+[a-z]|^[^a-z]+[a-z]|[a-z][0-9@$|+]+$|([a-z])\1\1")
+_STRANGE = re.compile(r"[a-z][^a-z]+[a-z]|^[^a-z]+[a-z]|[a-z][0-9@$|+!]*[0-9@$|+]$|([a-z])\1\1|(?:([a-z])\2.*?){3}")
 #: A word within letters without known boundaries counts if boundaries around it cost no more than this.
 _APART_COST = 4.0
+#: A word of the lexicon counts as read if it costs no more than this a letter above the best reading.
+_LETTER_COST = 1.0
+#: What is more than so many times as long as any word of the lexicon isn't read as one.
+_OFTEN = 8
 #: Letters on both sides that such boundaries are judged with.
 _AROUND = 12
 _REPEATED = re.compile(r"(.)\1{3,}", re.DOTALL)
@@ -170,7 +174,32 @@ class CharModel:
         self.log = np.log(p).reshape(-1).astype(np.float32)
 
     def decode(self, seen: str, gaps: bool = False, spaces: bool = False) -> str:
-        """The likeliest letters behind what is seen, by Viterbi over its lattice; words apart by spaces.
+        return self.best(seen, gaps, spaces)[1]
+
+    def cost(self, word: str) -> float:
+        """What the model asks for a word between boundaries."""
+        state, total = 0, 0.0
+        for c in f"{word} ":
+            state = state * _SIZE + code_of(c)
+            total -= float(self.log[state])
+            state %= _SIZE**3
+        return total
+
+    def cost_as(self, seen: str, word: str, spaces: bool = False) -> float:
+        """What it costs to read as a word what is seen; infinite if the lattice has no such reading."""
+        reached = {0: 0.0}  # letters of the word so far
+        for arcs in lattice(seen, spaces=spaces):
+            new: dict[int, float] = {}
+            for n, so_far in reached.items():
+                for symbol, cost in arcs:
+                    to = n if symbol is None else n + 1 if word[n : n + 1] == symbol else -1
+                    if to >= 0 and so_far + cost < new.get(to, math.inf):
+                        new[to] = so_far + cost
+            reached = new
+        return reached.get(len(word), math.inf) + self.cost(word)
+
+    def best(self, seen: str, gaps: bool = False, spaces: bool = False) -> tuple[float, str]:
+        """The likeliest letters behind what is seen, by Viterbi over its lattice, with their cost; words apart by spaces.
 
         Time is in proportion to the length.
         """
@@ -190,12 +219,12 @@ class CharModel:
                         new[to] = found
             beams = new
         # A boundary at the very end has been paid for.
-        _, node = min(((cost if text and text[1] == " " else cost - float(log[state * _SIZE]), text) for state, (cost, text) in beams.items()), key=lambda x: x[0])
+        total, node = min(((cost if text and text[1] == " " else cost - float(log[state * _SIZE]), text) for state, (cost, text) in beams.items()), key=lambda x: x[0])
         said = []
         while node:
             node, letter = node
             said.append(letter)
-        return "".join(reversed(said)).strip(" ")
+        return total, "".join(reversed(said)).strip(" ")
 
     def words(self, seen: str) -> list[str]:
         """What a token or a run of spread letters says: as one word first, then as several."""
@@ -225,7 +254,7 @@ class CharModel:
 
 
 def odd_tokens(grid: Grid) -> np.ndarray:
-    """Words (by white space, lowered) that hold a letter and an odd character or a letter three times."""
+    """Words (by white space, lowered) that hold a letter and an odd character, a letter three times or three doubled."""
     data, size = grid.data[:-8], len(grid.data) - 8
     count = lambda flags: np.concatenate([[0], np.cumsum(flags, dtype=np.int32)])
     odd, letter = count(_ODD[data]), count(_LETTER[data])
@@ -233,11 +262,16 @@ def odd_tokens(grid: Grid) -> np.ndarray:
     if size > 2:
         thrice[2:] = (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & _LETTER[data[2:]]
     triple = count(thrice)
+    twice = np.zeros(size, dtype=bool)
+    if size > 1:
+        twice[1:] = (data[1:] == data[:-1]) & _LETTER[data[1:]]
+    doubled = count(twice)
     s, e = grid.starts, grid.ends
     length = e - s
     # One odd mark at the end of a word is mere punctuation.
     odd_here = odd[e] - odd[s] - (_ODD[data[e - 1]] & ~((data[e - 1] >= 48) & (data[e - 1] <= 57)) if size else 0)
-    return np.flatnonzero((length > 2) & (letter[e] > letter[s]) & ((odd_here > 0) | (triple[e] - triple[np.minimum(s + 2, e)] > 0)))
+    repeated = (triple[e] - triple[np.minimum(s + 2, e)] > 0) | (doubled[e] - doubled[np.minimum(s + 1, e)] > 2)
+    return np.flatnonzero((length > 2) & (letter[e] > letter[s]) & ((odd_here > 0) | repeated))
 
 
 def spread_words(grid: Grid) -> Iterator[tuple[int, int]]:
@@ -331,6 +365,10 @@ class Scorer:
         self.clean = np.log1p(-np.array([lexicon[w] if w[-1:] != b"-" else 0.0 for w in self.lexicon]))
         self.rank = {w: i for i, w in enumerate(self.lexicon)}
         self.words = [w for w in self.lexicon if w[-1:] != b"-"]
+        self.words_said = [w.decode(errors="replace") for w in self.words]
+        self.by_first = defaultdict(list)
+        for w in self.words_said:
+            self.by_first[w[0]].append(w)
         # A restored word may have lost or kept a double letter.
         self.by_once = {once(w.decode(errors="replace")): w.decode(errors="replace") for w in self.words}
         self.tables = _tables(self.lexicon, self.rank)
@@ -359,8 +397,8 @@ class Scorer:
         if seen not in self.known:
             if len(self.known) > _REMEMBERED:
                 self.known = {}
-            one = self.model.decode(seen)
-            self.known[seen] = self._word(one) or self._set_apart(self.model.decode(seen, gaps=True))
+            cost, one = self.model.best(seen)
+            self.known[seen] = self._word(one) or self._nearly(seen, cost) or self._set_apart(self.model.decode(seen, gaps=True))
         return self.known[seen]
 
     def _word(self, said: str) -> str:
@@ -368,6 +406,15 @@ class Scorer:
             return said
         return self.by_once.get(once(said), "")
 
+    def _nearly(self, seen: str, cost: float) -> str:
+        """A word of the lexicon that is a reading of what is seen too, nearly as likely as the best."""
+        if len(seen) > _OFTEN * self.longest:
+            return ""
+        of_first = self.by_first.get(seen[0], self.words_said) if "a" <= seen[0] <= "z" else self.words_said
+        near = ((self.model.cost_as(seen, w), w) for w in of_first if len(w) <= len(seen))
+        found, word = min(near, default=(math.inf, ""))
+        return word if found - cost <= len(word) * _LETTER_COST else ""
+
     def _set_apart(self, said: str) -> str:
         """Words of the lexicon set apart, within letters too wherever boundaries are about as likely as not."""
         said = " ".join(self._word(w) or w for w in said.split(" "))
@@ -412,7 +459,7 @@ class Scorer:
         return texts, grid
 
     def _split(self, grid: Grid) -> Iterator[tuple[int, int, str]]:
-        """Neighbouring words that are a word of the lexicon together, if the language model reads them so too.
+        """Neighbouring words that are a word of the lexicon together, if the language model finds that about as likely.
 
         Candidates are found by a hash that joins: that of two words follows from theirs.
         """
@@ -438,8 +485,11 @@ class Scorer:
         after = 0
         for b, e, word in sorted(found):
             parts = [bytes(grid.data[grid.starts[i] : grid.ends[i]]) for i in range(b, e)]
-            if b >= after and b"".join(parts) == word and self.model.decode(b" ".join(parts).decode(errors="replace"), spaces=True) == word.decode(errors="replace"):
-                yield b, e, word.decode(errors="replace")
+            if b < after or b"".join(parts) != word:
+                continue
+            seen, said = b" ".join(parts).decode(errors="replace"), word.decode(errors="replace")
+            if self.model.cost_as(seen, said, spaces=True) - self.model.best(seen, spaces=True)[0] <= len(said) * _LETTER_COST:
+                yield b, e, said
                 after = e
 
     def evidence(self, grid: Grid) -> np.ndarray:
