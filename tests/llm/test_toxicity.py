@@ -138,10 +138,10 @@ def test_without_labels_or_documents(spark, fitted):
     assert {r["score"] for r in none.collect()} == {0.0}
 
 
-def all_readings(model, seen, gaps, spaces):
+def all_readings(model, seen, gaps, spaces, **more):
     """Every path through the lattice, with its cost: what decode must find the best of."""
     paths = [(0.0, "")]
-    for arcs in toxicity.lattice(seen, gaps, spaces):
+    for arcs in toxicity.lattice(seen, gaps, spaces, **more):
         new = []
         for cost, said in paths:
             for symbol, price in arcs:
@@ -184,7 +184,7 @@ def test_clean_neighbours_stay(fitted, text):
 def test_forced_readings_cost_what_enumeration_says(fitted):
     model = fitted[2].model
     for seen, word in (("1d10t", "idiot"), ("m0rr0n", "moron"), ("id iot", "idiot"), ("x", "moron"), ("p*th", "path")):
-        own = [c for c, said in all_readings(model, seen, False, " " in seen) if said == word]
+        own = [c for c, said in all_readings(model, seen, False, " " in seen, hidden="abcdefghijklmnopqrstuvwxyz") if said == word]
         assert model.cost_as(seen, word, " " in seen) == (pytest.approx(min(own), abs=1e-4) if own else float("inf"))
 
 

@@ -61,7 +61,7 @@ _CODE[128:] = 27
 #: What a character may stand for in disguised words.
 LOOKS_LIKE = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
-    "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "{": "c", "#": "h", "*": "abcdefghijklmnopqrstuvwxyz",
+    "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "{": "c", "#": "h", "*": "aeiou",
 }
 #: Letters of other scripts that look like ASCII letters.
 SCRIPTS = {
@@ -95,7 +95,7 @@ _OFTEN = 8
 #: Letters on both sides that such boundaries are judged with.
 _AROUND = 12
 _REPEATED = re.compile(r"(.)\1{3,}", re.DOTALL)
-_REMEMBERED = 50_000
+_REMEMBERED = 100_000
 #: Bytes of text that are scored at once.
 _RUN = 1 << 19
 
@@ -119,8 +119,11 @@ def code_of(symbol: str) -> int:
     return ord(symbol) - 96 if "a" <= symbol <= "z" else 27 if symbol > "\x7f" else 0
 
 
-def lattice(seen: str, gaps: bool = False, spaces: bool = False) -> list[list[tuple[str | None, float]]]:
-    """What each character may stand for, as (symbol or nothing, cost of the channel).
+_ANY = "abcdefghijklmnopqrstuvwxyz"
+
+
+def lattice(seen: str, gaps: bool = False, spaces: bool = False, hidden: str = LOOKS_LIKE["*"]) -> list[list[tuple[str | None, float]]]:
+    """What each character may stand for, as (symbol or nothing, cost of the channel); a star for any of ``hidden``.
 
     A letter is itself, or nothing after the same letter; a look-alike one of its letters; a mark nothing. Long
     repetitions count as three. With ``gaps`` words may be run together: a boundary may follow any character. With
@@ -129,7 +132,7 @@ def lattice(seen: str, gaps: bool = False, spaces: bool = False) -> list[list[tu
     seen, last, arcs = _REPEATED.sub(r"\1\1\1", seen), "", []
     for i, c in enumerate(seen):
         run = (i > 1 and seen[i - 2] == last == c) or (i + 1 < len(seen) and seen[i + 1] == last == c)
-        letters = c if "a" <= c <= "z" else LOOKS_LIKE.get(c, "")
+        letters = c if "a" <= c <= "z" else hidden if c == "*" else LOOKS_LIKE.get(c, "")
         cost = 0.0 if c == letters else _WILD_COST if len(letters) > 2 else _LOOK_COST
         skip = _MARK_COST if c in _MARKS else _DROP_COST if c != letters else None
         if c == last:
@@ -186,9 +189,9 @@ class CharModel:
         return total
 
     def cost_as(self, seen: str, word: str, spaces: bool = False) -> float:
-        """What it costs to read as a word what is seen; infinite if the lattice has no such reading."""
+        """What it costs to read as a word what is seen, a star as any letter; infinite if there is no such reading."""
         reached = {0: 0.0}  # letters of the word so far
-        for arcs in lattice(seen, spaces=spaces):
+        for arcs in lattice(seen, spaces=spaces, hidden=_ANY):
             new: dict[int, float] = {}
             for n, so_far in reached.items():
                 for symbol, cost in arcs:
@@ -410,8 +413,9 @@ class Scorer:
         """A word of the lexicon that is a reading of what is seen too, nearly as likely as the best."""
         if len(seen) > _OFTEN * self.longest:
             return ""
-        of_first = self.by_first.get(seen[0], self.words_said) if "a" <= seen[0] <= "z" else self.words_said
-        near = ((self.model.cost_as(seen, w), w) for w in of_first if len(w) <= len(seen))
+        of_first = self.by_first.get(seen[0], ()) if "a" <= seen[0] <= "z" else self.words_said
+        letters = set(seen).union(*(LOOKS_LIKE.get(c, "") if c != "*" else _ANY for c in set(seen)))
+        near = ((self.model.cost_as(seen, w), w) for w in of_first if len(w) <= len(seen) and letters.issuperset(w))
         found, word = min(near, default=(math.inf, ""))
         return word if found - cost <= len(word) * _LETTER_COST else ""
 
