@@ -1,6 +1,7 @@
 """Known results for small collections, and random collections against brute force."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -207,6 +208,50 @@ def test_shards_keep_the_order_of_suffixes(spark):
     assert np.frombuffer(row["ilcp"], np.int32).tolist() == shared
 
 
+def test_shards_cost_little_more_than_their_texts_and_come_one_by_one(spark):
+    words = ["the", "quick", "brown", "fox", "jumps", "over", "lazy", "dogs", "and", "cats"]
+    rng = random.Random(3)
+    texts = [(i, " ".join(rng.choice(words) for _ in range(300))) for i in range(60)]
+    session = spark.newSession()
+    index = shards.build(docs_of(session, texts).coalesce(1), shards.Parameters(20_000), arrays=False).cache()
+    assert session.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "4m"  # not all shards of a task at once
+    n = len(shards._SCHEMA.split(", "))
+    assert index.count() > 3 and len(index.columns) == n
+    held = sum(len(r[c]) for r in index.collect() for c in index.columns if c not in ("shard", "doc_ids"))
+    assert held < 3 * sum(len(t) for _, t in texts)
+    plain = sorted((t[i:], d, i) for d, t in texts[:20] for i in range(len(t)))
+    whole = shards.build(docs_of(session, texts[:20]).coalesce(1), arrays=False)
+    assert rows(shards.suffixes_of(whole), "sa", "doc_id", "pos") == [(k, d, i) for k, (_, d, i) in enumerate(plain)]
+
+
+def test_many_patterns_are_looked_up_as_few_are(spark, monkeypatch):
+    texts, words = odd_collection()
+    index = shards.build(docs_of(spark, texts), shards.Parameters(2000), arrays=False).cache()
+    few = rows(shards.list_docs(index, patterns_of(spark, words), "ilcp"))
+    held = next(shards._loaded(iter([shards._built(0, *zip(*((d, (t or "").encode()) for d, t in texts), strict=True), shards.Parameters())])))
+    for w in filter(None, words):
+        held._asks = 0
+        one = held.range(w.encode())
+        held._asks = shards._FEW
+        assert held.range(w.encode()) == one
+    assert few == sorted(brute(texts, words))
+
+
+def test_shared_bytes_of_two_suffixes():
+    rng = random.Random(9)
+    for _ in range(3000):
+        raw = b"ab" * rng.randint(0, 200) + bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 40))) + b"ab" * rng.randint(0, 99)
+        a, b = rng.randint(0, len(raw)), rng.randint(0, len(raw))
+        room = rng.randint(0, len(raw) - max(a, b))
+        assert shards.common(raw, a, b, room) == next((i for i in range(room) if raw[a + i] != raw[b + i]), room)
+
+
+def test_a_text_of_one_repeated_line_is_no_slower_to_build(spark):
+    line, began = "the same line of some words again\n" * 6000, time.perf_counter()
+    shards._built(0, [1], [line.encode()], shards.Parameters(block_size=8))
+    assert time.perf_counter() - began < 20
+
+
 def plain_nodes(texts, block_size, factor):
     """Stored nodes by a tree of prefixes, made and pruned recursively."""
     raw = {d: (t or "").encode() for d, t in texts}

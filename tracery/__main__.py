@@ -57,7 +57,7 @@ def sweep(spark: SparkSession, docs: DataFrame, patterns: DataFrame, block_sizes
     timed("scan", search.list_docs(docs, patterns), 0)
     for block_size in block_sizes:
         for factor in factors:
-            index = stored(shards.build(docs, shards.Parameters(block_size=block_size, factor=factor)), "sweep")
+            index = stored(shards.build(docs, shards.Parameters(block_size=block_size, factor=factor), arrays=False), "sweep")
             size = table_bytes(index)
             for way in shards.WAYS:
                 timed(f"{way} bs={block_size} sf={factor:g}", shards.list_docs(index, patterns, way), size)
@@ -74,9 +74,9 @@ def main(argv: list[str] | None = None) -> None:
         patterns = read_patterns(spark, wanted.patterns)
         write_lists(search.lists_by_pattern(search.list_docs(docs, patterns), patterns), wanted.out)
     elif wanted.command == "doc-array":
-        shards.suffixes_of(shards.build(docs, parameters)).select("shard", "sa", "doc_id").write.parquet(wanted.out)
+        shards.suffixes_of(shards.build(docs, parameters, arrays=False)).select("shard", "sa", "doc_id").write.parquet(wanted.out)
     elif wanted.command == "index":
-        shards.build(docs, parameters).write.parquet(wanted.out)
+        shards.build(docs, parameters, arrays=False).write.parquet(wanted.out)
     else:
         for line in sweep(spark, docs, read_patterns(spark, wanted.patterns), block_sizes, factors, wanted.print_size):
             print(line)

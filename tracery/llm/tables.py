@@ -10,18 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracery.sources.workspace import shared_path
-
-
-#: Bytes of a batch that Spark hands to Python: texts may be long, and a batch is held whole on both sides.
-BATCH_BYTES = "4m"
-_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
-
-
-def bound_batches(spark: SparkSession) -> None:
-    """Lowers Spark's default of 64 MB a batch for the session; a value that someone set, whichever, stays."""
-    if _BATCH_SETTING not in spark.conf.getAll:
-        spark.conf.set(_BATCH_SETTING, BATCH_BYTES)
+from tracery.sources.workspace import bound_batches, shared_path
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,10 +1,13 @@
 """A suffix index in shards, written once and asked many times.
 
-A shard holds some megabytes of whole documents in UTF-8 and all their suffixes in order, as packed columns: where each
-suffix starts (``sa``), one more than the place of the same document's suffix before it or 0 (``c``), the bytes that
-those two share (``ilcp``), and the stored nodes of the shard's prefix tree with their document sets. A document lies
-in one shard, so answers of shards are simply put together: nothing is shuffled to build the index or to ask it, and
-both grow in proportion with the collection. Patterns are sent to the shards in slices of bounded size.
+A shard holds some megabytes of whole documents in UTF-8 and all their suffixes in order, as compressed columns: the
+byte before each suffix (``bwt``), the places of every 64th position's suffix (``samples``), and the stored nodes of the
+shard's prefix tree with their document sets. What takes several bytes a suffix is made from these by whoever asks: where
+each suffix starts (``sa``, by walking from sample to sample, all walks side by side), one more than the place of the
+same document's suffix before it or 0 (``c``), and the bytes that those two share (``ilcp``, of the ranges asked for). A document lies in one
+shard, so answers of shards are simply put together: nothing is shuffled to build the index or to ask it, and both grow
+in proportion with the collection. A task holds one shard at a time. Patterns are sent to the shards in slices of bounded
+size.
 
 Ranges of suffixes belong to a shard: (shard, sp, ep), both ends included. Order is by bytes, which is by code points;
 equal suffixes are ordered by document and position. Identifiers are unique in a collection; a null or empty text has
@@ -13,7 +16,7 @@ no suffix. A document longer than ``shard_bytes`` is a shard of its own.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -24,12 +27,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracery.operators.search import SLICE_CHARS, each_slice, slices
+from tracery.sources.workspace import bound_batches
 
 _HEAD = 7
-_SCHEMA = "shard long, doc_ids array<long>, starts binary, data binary, sa binary, c binary, ilcp binary, node_sp binary, node_ep binary, node_leaf binary, node_all binary, node_first binary, node_docs binary, node_tf binary"
-_SA, _NODES = ["sa"], ["sa", "node_sp", "node_ep", "node_leaf", "node_all", "node_first", "node_docs", "node_tf"]
+#: Suffixes whose shared bytes are counted together: their intermediate arrays stay in the processor's cache.
+_TOGETHER = 1 << 15
+#: So many patterns are looked up in a shard's texts; only for more the first bytes of all suffixes are laid out.
+_FEW = 2000
+#: Every so many positions of a document, from its first, the place of the suffix is kept.
+_SAMPLE = 64
+_SCHEMA = "shard long, doc_ids array<long>, starts binary, data binary, bwt binary, firsts binary, samples binary, node_sp binary, node_ep binary, node_leaf binary, node_all binary, node_first binary, node_docs binary, node_tf binary"
+#: The arrays that are made from the others, laid out with 4 bytes a suffix each.
+_ARRAYS = ", c binary, ilcp binary"
+_SA = ["bwt", "firsts", "samples"]
+_NODES = [*_SA, "node_sp", "node_ep", "node_leaf", "node_all", "node_first", "node_docs", "node_tf"]
 #: The columns that each way of listing reads.
-WAYS = {"c": [*_SA, "c"], "ilcp": [*_SA, "ilcp"], "slice": _SA, "nodes": _NODES}
+WAYS = {"c": _SA, "ilcp": _SA, "slice": _SA, "nodes": _NODES}
 
 
 @dataclass(frozen=True)
@@ -64,21 +77,22 @@ def suffix_order(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """
     n = len(ends)
     key = heads(data, np.arange(n), ends - np.arange(n))
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key = key[order]
     fresh = np.ones(n + 1, dtype=bool)
     fresh[1:-1] = key[1:] != key[:-1]
+    del key
     rank = np.empty(n, dtype=np.int64)
     rank[order] = np.maximum.accumulate(np.where(fresh[:-1], np.arange(n), 0))
     reach = _HEAD
-    slots = np.flatnonzero(~(fresh[:-1] & fresh[1:]))
+    tied = slots = np.flatnonzero(~(fresh[:-1] & fresh[1:]))
     while slots.size:
         at = order[slots]
         further = at + reach
         inside = further < ends[at]
         after = np.where(inside, rank[np.where(inside, further, 0)] + 1, 0)
         key = rank[at] * (n + 1) + after
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         at, key, after = at[by], key[by], after[by]
         order[slots] = at
         first = np.ones(len(at) + 1, dtype=bool)
@@ -87,20 +101,103 @@ def suffix_order(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
         # What stands alone is placed; what has ended is equal for good.
         slots = slots[~(first[:-1] & first[1:]) & (after > 0)]
         reach *= 2
+    # Equal suffixes have one rank, and stand in the order of their positions.
+    order[tied] = np.sort(rank[order[tied]] * n + order[tied]) % max(n, 1)
     return order
 
 
 def shared_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, room: np.ndarray) -> np.ndarray:
     """How many bytes the suffixes at a and b share, ``room`` at most."""
     eight = np.ndarray((len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
-    out, rest = np.zeros(len(a), dtype=np.int64), np.flatnonzero(room > 0)
+    out = np.zeros(len(a), dtype=np.int64)
+    for i in range(0, len(a), _TOGETHER):
+        part = slice(i, i + _TOGETHER)
+        _share(eight, a[part], b[part], room[part], out[part])
+    return np.minimum(out, room, out=out)
+
+
+def _share(eight: np.ndarray, a: np.ndarray, b: np.ndarray, room: np.ndarray, out: np.ndarray) -> None:
+    rest = np.flatnonzero(room > 0)
     while rest.size:
         differ = eight[a[rest] + out[rest]] ^ eight[b[rest] + out[rest]]
         low = differ & (~differ + np.uint64(1))
         same = np.where(differ == 0, 8, np.log2(np.maximum(low, np.uint64(1)).astype(np.float64)).astype(np.int64) // 8)
         out[rest] += same
         rest = rest[(same == 8) & (out[rest] < room[rest])]
-    return np.minimum(out, room)
+
+
+def common(raw: bytes, a: int, b: int, room: int) -> int:
+    """How many bytes two suffixes share, ``room`` at most: ever longer pieces are compared whole, and the first unequal
+    one is halved, so that a text of one repeated line costs no step for every few bytes."""
+    n, piece = 0, 16
+    while n < room:
+        to = min(n + piece, room)
+        if raw[a + n : a + to] != raw[b + n : b + to]:
+            while to - n > 1:
+                half = (n + to) // 2
+                n, to = (half, to) if raw[a + n : a + half] == raw[b + n : b + half] else (n, half)
+            return n
+        n, piece = to, 2 * piece
+    return n
+
+
+def packed(values, kind=np.int32) -> bytes:
+    """Numbers compressed, equal bytes of them side by side."""
+    x = np.ascontiguousarray(values, dtype=kind)
+    raw = x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes() if x.itemsize > 1 else x.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
+
+
+def unpacked(blob: bytes, kind=np.int32) -> np.ndarray:
+    size = int.from_bytes(blob[:8], "little")
+    raw = np.frombuffer(pa.Codec("zstd").decompress(blob[8:], size, asbytes=True) if size else b"", dtype=np.uint8)
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(raw.reshape(width, -1).T).view(kind).reshape(-1) if width > 1 else raw.view(kind)
+
+
+def _sampled(starts: np.ndarray) -> np.ndarray:
+    """The positions whose places are kept: each document's first and every so many after it."""
+    sizes = np.diff(starts)
+    n = -(-sizes // _SAMPLE)
+    nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(starts[:-1], n) + nth * _SAMPLE
+
+
+def _followed(data: np.ndarray, starts: np.ndarray, bwt: np.ndarray, firsts: np.ndarray, samples: np.ndarray) -> np.ndarray:
+    """Where each suffix starts, from the bytes before the suffixes and the places of sampled positions.
+
+    Suffixes in the order of the bytes before them are the remainders, in order, of the suffixes that have one; among
+    those of one first byte the ones that end with it stand before. So each place tells the place of the position after.
+    """
+    n = len(bwt)
+    has = np.ones(n, dtype=bool)
+    has[firsts] = False
+    places = np.flatnonzero(has).astype(np.int32)
+    after = places[np.argsort(bwt[places], kind="stable")]
+    del places, has
+    total = np.bincount(data[:n], minlength=256)
+    whole = np.flatnonzero(np.diff(starts) > 0)
+    ending = np.bincount(data[starts[whole + 1] - 1], minlength=256)
+    begins = np.cumsum(total) - total + ending
+    follow = np.full(n, -1, dtype=np.int32)
+    at = 0
+    for byte in np.flatnonzero(total):
+        size = int(total[byte] - ending[byte])
+        follow[begins[byte] : begins[byte] + size] = after[at : at + size]
+        at += size
+    del after
+    sa = np.empty(n, dtype=np.int32)
+    position, place = _sampled(starts), samples.astype(np.int64)
+    length = np.diff(np.append(position, n))
+    for _ in range(_SAMPLE):
+        sa[place] = position
+        going = length > 1
+        if not going.all():
+            position, place, length = position[going], place[going], length[going]
+        if not len(place):
+            break
+        position, place, length = position + 1, follow[place], length - 1
+    return sa
 
 
 class Shard:
@@ -108,18 +205,52 @@ class Shard:
 
     def __init__(self, row: dict):
         self.number, self.ids = row["shard"], row["doc_ids"]
-        self.starts = np.frombuffer(row["starts"], dtype=np.int64)
-        self.bytes = row["data"]
-        self.data = padded(np.frombuffer(row["data"], dtype=np.uint8))
-        self.sa = np.frombuffer(row["sa"], dtype=np.int32).astype(np.int64)
+        self.starts = unpacked(row["starts"], np.int64)
+        held = unpacked(row["data"], np.uint8)
+        self.bytes = held.tobytes()
+        self.data = padded(held)
         self.row = row
-        self._heads: np.ndarray | None = None
+        self._kept: dict[str, np.ndarray] = {}
+        self._asks = 0
+
+    def _once(self, name: str, make: Callable[[], np.ndarray]) -> np.ndarray:
+        if name not in self._kept:
+            self._kept[name] = make()
+        return self._kept[name]
+
+    @property
+    def sa(self) -> np.ndarray:
+        """Where each suffix starts."""
+        return self._once("sa", lambda: _followed(self.data, self.starts, unpacked(self.row["bwt"], np.uint8), unpacked(self.row["firsts"]), unpacked(self.row["samples"])))
+
+    @property
+    def owner(self) -> np.ndarray:
+        """The document of each position."""
+        return self._once("owner", lambda: np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.starts)))
+
+    @property
+    def c(self) -> np.ndarray:
+        """One more than the place of the same document's suffix before, or 0."""
+        return self._once("c", lambda: _before(self.owner[self.sa], len(self.ids)) + 1)
+
+    def ilcp(self, sp: int, ep: int, most: int) -> np.ndarray:
+        """The bytes, ``most`` at most, that the suffixes of a range share with the same document's suffix before."""
+        before, at = self.c[sp : ep + 1], self.sa[sp : ep + 1]
+        out, has = np.zeros(len(at), dtype=np.int64), np.flatnonzero(before)
+        a, b = at[has], self.sa[before[has] - 1]
+        out[has] = shared_bytes(self.data, a, b, np.minimum(self.ends_of(a) - np.maximum(a, b), most))
+        return out
 
     def column(self, name: str, kind=np.int32) -> np.ndarray:
-        return np.frombuffer(self.row[name], dtype=kind)
+        return self._once(name, lambda: unpacked(self.row[name], kind))
+
+    @property
+    def node_docs(self) -> np.ndarray:
+        """The documents of all stored sets, one after the other."""
+        return self._once("docs", lambda: np.cumsum(self.column("node_docs"), dtype=np.int64))
 
     def doc_of(self, at: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.starts, at, side="right") - 1
+        return self.owner[at]
 
     def ends_of(self, at: np.ndarray) -> np.ndarray:
         return self.starts[self.doc_of(at) + 1]
@@ -129,12 +260,16 @@ class Shard:
 
     def range(self, pattern: bytes) -> tuple[int, int]:
         """First and last place of the suffixes that begin with the pattern; the last before the first if none do."""
-        if self._heads is None:
-            self._heads = heads(self.data, self.sa, self.ends_of(self.sa) - self.sa)
+        self._asks += 1
+        if self._asks <= _FEW:
+            at = lambda i: self._beginning(i, len(pattern))
+            sp = bisect_left(range(len(self.sa)), pattern, key=at)
+            return sp, bisect_right(range(len(self.sa)), pattern, lo=sp, key=at) - 1
+        known = self._once("heads", lambda: heads(self.data, self.sa, self.ends_of(self.sa) - self.sa))
         start = pattern[:_HEAD]
         low = int.from_bytes(start.ljust(_HEAD, b"\0") + bytes([len(start)]), "big")
         high = int.from_bytes(start.ljust(8, b"\xff"), "big")
-        sp, ep = (int(np.searchsorted(self._heads, np.uint64(v), side=s)) for v, s in ((low, "left"), (high, "right")))
+        sp, ep = (int(np.searchsorted(known, np.uint64(v), side=s)) for v, s in ((low, "left"), (high, "right")))
         if len(pattern) > _HEAD and sp < ep:
             at = lambda i: self._beginning(i, len(pattern))
             sp, ep = sp + bisect_left(range(sp, ep), pattern, key=at), sp + bisect_left(range(sp, ep), True, key=lambda i: at(i) > pattern)
@@ -145,7 +280,7 @@ class Shard:
         return self.bytes[at : min(at + n, int(self.starts[np.searchsorted(self.starts, at, side="right")]))]
 
 
-def _tree(data: np.ndarray, sa: np.ndarray, ends: np.ndarray, block_size: int) -> list[tuple[int, int, int, bool]]:
+def _tree(raw: bytes, data: np.ndarray, sa: np.ndarray, starts: np.ndarray, da: np.ndarray, block_size: int) -> list[tuple[int, int, int, bool]]:
     """The nodes (sp, after ep, parent, leaf) of the tree of shared prefixes, parents first.
 
     A node of more than ``block_size`` suffixes is split by the first character that they don't share; suffixes that
@@ -156,10 +291,10 @@ def _tree(data: np.ndarray, sa: np.ndarray, ends: np.ndarray, block_size: int) -
         number = open_.pop()
         a, b, parent, _ = nodes[number]
         first, last = sa[a], sa[b - 1]
-        room = min(ends[a] - first, ends[b - 1] - last)
-        depth = int(shared_bytes(data, np.array([first]), np.array([last]), np.array([room]))[0])
+        room = min(starts[da[a] + 1] - first, starts[da[b - 1] + 1] - last)
+        depth = common(raw, int(first), int(last), int(room))
         at = sa[a:b] + depth
-        symbol = np.where(at < ends[a:b], data[np.minimum(at, len(data) - 1)].astype(np.int16), -1)
+        symbol = np.where(at < starts[da[a:b] + 1], data[np.minimum(at, len(data) - 1)].astype(np.int16), -1)
         cuts = [a, *(np.flatnonzero(symbol[1:] != symbol[:-1]) + a + 1).tolist(), b]
         if len(cuts) == 2:
             nodes[number] = (a, b, parent, True)
@@ -172,63 +307,96 @@ def _tree(data: np.ndarray, sa: np.ndarray, ends: np.ndarray, block_size: int) -
     return nodes
 
 
+def _before(da: np.ndarray, n_docs: int) -> np.ndarray:
+    """The place of the same document's suffix before, or -1."""
+    by_doc = np.argsort(da.astype(np.uint16) if n_docs <= 1 << 16 else da, kind="stable")
+    before = np.full(len(da), -1, dtype=np.int32)
+    same = da[by_doc[1:]] == da[by_doc[:-1]]
+    before[by_doc[1:][same]] = by_doc[:-1][same]
+    return before
+
+
+def _leaf_sets(leaves: list[tuple[int, int]], da: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The documents and frequencies of leaves, which lie side by side and in order: where each begins, and both."""
+    sizes = np.array([b - a for a, b in leaves], dtype=np.int64)
+    pair = np.repeat(np.arange(len(leaves)), sizes) * n_docs + da
+    pair.sort()
+    head = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else np.zeros(0, dtype=np.int64)
+    leaf, docs = np.divmod(pair[head], max(n_docs, 1))
+    return np.searchsorted(leaf, np.arange(len(leaves) + 1)), docs, np.diff(np.append(head, len(pair)))
+
+
 def stored_nodes(nodes: list[tuple[int, int, int, bool]], da: np.ndarray, n_docs: int, factor: float) -> list[tuple[int, int, bool, np.ndarray | None, np.ndarray | None]]:
     """The nodes that are stored: (sp, ep, leaf, documents, frequencies), no sets where all documents are in one.
 
     From the bottom: a leaf is stored, and so is a node that holds all documents, or whose set is so much smaller than
     all that is stored right below it together; what isn't stored passes on what is stored below it.
     """
-    below, out, everywhere = [0] * len(nodes), [], [False] * len(nodes)
+    below, out = [0] * len(nodes), []
+    leaves = sorted((a, b, i) for i, (a, b, _, leaf) in enumerate(nodes) if leaf)
+    number = {i: k for k, (_, _, i) in enumerate(leaves)}
+    first, leaf_docs, leaf_tf = _leaf_sets([(a, b) for a, b, _ in leaves], da, n_docs)
     for i in range(len(nodes) - 1, -1, -1):
         a, b, parent, leaf = nodes[i]
-        part = da[a:b]
-        if b - a < n_docs:
-            docs, tf = np.unique(part, return_counts=True)
+        if leaf:
+            x, y = first[number[i]], first[number[i] + 1]
+            docs, tf = leaf_docs[x:y], leaf_tf[x:y]
+        elif b - a < n_docs:
+            docs, tf = np.unique(da[a:b], return_counts=True)
         else:
-            count = np.bincount(part, minlength=n_docs)
+            count = np.bincount(da[a:b], minlength=n_docs)
             docs = np.flatnonzero(count)
             tf = count[docs]
-        everywhere[i] = everywhere[i] or len(docs) == n_docs
-        if leaf or everywhere[i] or below[i] > factor * len(docs):
-            out.append((a, b - 1, leaf, *((None, None) if everywhere[i] else (docs, tf))))
+        everywhere = len(docs) == n_docs
+        if leaf or everywhere or below[i] > factor * len(docs):
+            out.append((a, b - 1, leaf, *((None, None) if everywhere else (docs, tf))))
             below[i] = len(docs)
         if parent >= 0:
             below[parent] += below[i]
     return sorted(out, key=lambda n: (n[0], -n[1]))
 
 
-def _built(number: int, ids: list[int], texts: list[bytes], p: Parameters) -> pa.RecordBatch:
+def _built(number: int, ids: list[int], texts: list[bytes], p: Parameters, arrays: bool = False) -> pa.RecordBatch:
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes)])
     raw = b"".join(texts)
     data = padded(np.frombuffer(raw, dtype=np.uint8))
-    of = np.repeat(np.arange(len(texts)), sizes)
-    ends = starts[of + 1]
-    sa = suffix_order(data, ends)
-    da, ends = of[sa], ends[sa]
-    by_doc = np.argsort(da, kind="stable")
-    before = np.full(len(sa), -1, dtype=np.int64)
-    same = da[by_doc[1:]] == da[by_doc[:-1]]
-    before[by_doc[1:][same]] = by_doc[:-1][same]
-    has = np.flatnonzero(before >= 0)
-    ilcp = np.zeros(len(sa), dtype=np.int64)
-    ilcp[has] = shared_bytes(data, sa[has], sa[before[has]], np.minimum(ends[has] - sa[has], ends[has] - sa[before[has]]))
-    stored = stored_nodes(_tree(data, sa, ends, p.block_size), da, len(texts), p.factor)
-    sets = [n[3] if n[3] is not None else np.zeros(0, dtype=np.int64) for n in stored]
-    tf = [n[4] if n[4] is not None else np.zeros(0, dtype=np.int64) for n in stored]
-    packed = lambda x, kind=np.int32: np.asarray(x).astype(kind).tobytes()
+    of = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
+    sa = suffix_order(data, starts[of + 1])
+    place = np.empty(len(sa), dtype=np.int32)
+    place[sa] = np.arange(len(sa), dtype=np.int32)
+    firsts = np.sort(place[starts[:-1][sizes > 0]])
+    samples = place[_sampled(starts)]
+    del place
+    bwt = data[np.maximum(sa - 1, 0)]
+    bwt[firsts] = 0
+    da = of[sa]
+    stored = stored_nodes(_tree(raw, data, sa, starts, da, p.block_size), da, len(texts), p.factor)
+    none = np.zeros(0, dtype=np.int64)
+    sets, tf = ([n[k] if n[k] is not None else none for n in stored] for k in (3, 4))
     row = {
-        "shard": number, "doc_ids": ids, "starts": packed(starts, np.int64), "data": raw, "sa": packed(sa), "c": packed(before + 1), "ilcp": packed(ilcp),
+        "shard": number, "doc_ids": ids, "starts": packed(starts, np.int64), "data": packed(data[: len(raw)], np.uint8), "bwt": packed(bwt, np.uint8), "firsts": packed(firsts), "samples": packed(samples),
         "node_sp": packed([n[0] for n in stored]), "node_ep": packed([n[1] for n in stored]), "node_leaf": packed([n[2] for n in stored], np.uint8), "node_all": packed([n[3] is None for n in stored], np.uint8),
-        "node_first": packed(np.concatenate([[0], np.cumsum([len(s) for s in sets])]), np.int64), "node_docs": packed(np.concatenate([*sets, []])), "node_tf": packed(np.concatenate([*tf, []])),
+        "node_first": packed(np.concatenate([[0], np.cumsum([len(s) for s in sets])]), np.int64), "node_docs": packed(np.diff(np.concatenate([none, *sets]), prepend=0)), "node_tf": packed(np.concatenate([none, *tf])),
     }
+    if arrays:
+        before = _before(da, len(texts))
+        has = np.flatnonzero(before >= 0)
+        a, b = sa[has], sa[before[has]]
+        ilcp = np.zeros(len(sa), dtype=np.int32)
+        ilcp[has] = shared_bytes(data, a, b, starts[da[has] + 1] - np.maximum(a, b))
+        row |= {"c": (before + 1).tobytes(), "ilcp": ilcp.tobytes()}
     kinds = {"shard": pa.int64(), "doc_ids": pa.list_(pa.int64())}
     return pa.RecordBatch.from_pydict({k: pa.array([v], kinds.get(k, pa.binary())) for k, v in row.items()})
 
 
-def build(docs: DataFrame, parameters: Parameters | None = None) -> DataFrame:
-    """The index, one row a shard, made where the documents lie; write it (``load_or_build``) before asking it."""
+def build(docs: DataFrame, parameters: Parameters | None = None, arrays: bool = True) -> DataFrame:
+    """The index, one row a shard, made where the documents lie; write it (``load_or_build``) before asking it.
+
+    ``arrays``: c and ilcp of all suffixes are laid out as well, 8 bytes for each byte of text; no query reads them.
+    """
     p = parameters or Parameters()
+    bound_batches(docs.sparkSession)
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -237,15 +405,15 @@ def build(docs: DataFrame, parameters: Parameters | None = None) -> DataFrame:
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if texts and held + len(text or b"") > p.shard_bytes:
-                    yield _built(number, ids, texts, p)
+                    yield _built(number, ids, texts, p, arrays)
                     number, ids, texts, held = number + 1, [], [], 0
                 ids.append(doc)
                 texts.append(text or b"")
                 held += len(texts[-1])
         if ids:
-            yield _built(number, ids, texts, p)
+            yield _built(number, ids, texts, p, arrays)
 
-    return docs.filter("doc_id is not null").select("doc_id", F.col("text").cast("binary")).mapInArrow(shards, _SCHEMA)
+    return docs.filter("doc_id is not null").select("doc_id", F.col("text").cast("binary")).mapInArrow(shards, _SCHEMA + _ARRAYS if arrays else _SCHEMA)
 
 
 def _loaded(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
@@ -255,9 +423,15 @@ def _loaded(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
             yield Shard({n: v.values.to_numpy(zero_copy_only=False) if n == "doc_ids" else v.as_py() for n, v in row.items()})
 
 
+def _rows(index: DataFrame, columns: list[str]) -> DataFrame:
+    """What a way reads; a shard comes to Python by itself, whatever number of them a task has."""
+    bound_batches(index.sparkSession)
+    return index.select("shard", "doc_ids", "starts", "data", *columns)
+
+
 def _asked(index: DataFrame, patterns: DataFrame, columns: list[str], schema: str, each: Callable[[Shard, int, bytes, int, int], dict | None], slice_chars: int) -> DataFrame:
     """Rows that ``each`` (shard, pattern's number, pattern, sp, ep) makes of every range that isn't empty."""
-    rows = index.select(*dict.fromkeys(["shard", "doc_ids", "starts", "data", *columns]))
+    rows = _rows(index, columns)
     names = [f.split()[0] for f in schema.split(", ")]
 
     def with_words(words: Broadcast) -> DataFrame:
@@ -310,7 +484,7 @@ def counted(shard: Shard, sp: int, ep: int) -> tuple[np.ndarray, np.ndarray]:
     """The documents of a range and how often each occurs, from the stored sets and the ends of the range."""
     nodes, parts = cover(shard, sp, ep)
     total = np.zeros(len(shard.ids), dtype=np.int64)
-    first, docs, tf, everywhere = shard.column("node_first", np.int64), shard.column("node_docs"), shard.column("node_tf"), shard.column("node_all", np.uint8)
+    first, docs, tf, everywhere = shard.column("node_first", np.int64), shard.node_docs, shard.column("node_tf"), shard.column("node_all", np.uint8)
     starts, ends = shard.column("node_sp"), shard.column("node_ep")
     for i in nodes:
         if everywhere[i]:  # the set is known without a list; frequencies are counted in the range
@@ -326,7 +500,7 @@ def counted(shard: Shard, sp: int, ep: int) -> tuple[np.ndarray, np.ndarray]:
 def _union(shard: Shard, sp: int, ep: int) -> np.ndarray:
     """The documents of a range by stored sets; a node that holds all documents ends the search."""
     nodes, parts = cover(shard, sp, ep)
-    first, docs, everywhere = shard.column("node_first", np.int64), shard.column("node_docs"), shard.column("node_all", np.uint8)
+    first, docs, everywhere = shard.column("node_first", np.int64), shard.node_docs, shard.column("node_all", np.uint8)
     if any(everywhere[i] for i in nodes):
         return np.arange(len(shard.ids))
     sets = [docs[first[i] : first[i + 1]] for i in nodes] + [shard.doc_of(shard.sa[a : b + 1]) for a, b in parts]
@@ -335,9 +509,9 @@ def _union(shard: Shard, sp: int, ep: int) -> np.ndarray:
 
 def _by_way(by: str) -> Callable[[Shard, bytes, int, int], np.ndarray]:
     if by == "c":
-        return lambda s, p, sp, ep: s.doc_of(s.sa[sp : ep + 1][s.column("c")[sp : ep + 1] <= sp])
+        return lambda s, p, sp, ep: s.doc_of(s.sa[sp : ep + 1][s.c[sp : ep + 1] <= sp])
     if by == "ilcp":
-        return lambda s, p, sp, ep: s.doc_of(s.sa[sp : ep + 1][s.column("ilcp")[sp : ep + 1] < len(p)])
+        return lambda s, p, sp, ep: s.doc_of(s.sa[sp : ep + 1][s.ilcp(sp, ep, len(p)) < len(p)])
     return lambda s, p, sp, ep: _union(s, sp, ep) if by == "nodes" else np.unique(s.doc_of(s.sa[sp : ep + 1]))
 
 
@@ -370,7 +544,7 @@ def suffixes_of(index: DataFrame, sp: int = 0, ep: int | None = None) -> DataFra
             doc = s.doc_of(at)
             yield pa.RecordBatch.from_pydict({"shard": pa.array(np.full(len(at), s.number)), "sa": pa.array(np.arange(sp, sp + len(at))), "doc_id": pa.array(s.documents(doc)), "pos": pa.array(at - s.starts[doc])})
 
-    return index.select("shard", "doc_ids", "starts", "data", "sa").mapInArrow(each, "shard long, sa long, doc_id long, pos long")
+    return _rows(index, _SA).mapInArrow(each, "shard long, sa long, doc_id long, pos long")
 
 
 def nodes_of(index: DataFrame, mode: str = "set") -> DataFrame:
@@ -382,7 +556,7 @@ def nodes_of(index: DataFrame, mode: str = "set") -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in _loaded(batches):
-            first, docs, tf, everywhere = s.column("node_first", np.int64), s.column("node_docs"), s.column("node_tf"), s.column("node_all", np.uint8)
+            first, docs, tf, everywhere = s.column("node_first", np.int64), s.node_docs, s.column("node_tf"), s.column("node_all", np.uint8)
             lists = []
             for i in range(len(everywhere)):
                 d, t = docs[first[i] : first[i + 1]], tf[first[i] : first[i + 1]]
@@ -395,7 +569,7 @@ def nodes_of(index: DataFrame, mode: str = "set") -> DataFrame:
                 "leaf": pa.array(s.column("node_leaf", np.uint8) > 0), "holds_all": pa.array(everywhere > 0), "n_docs": pa.array(n), "docs": pa.array(lists, kind),
             })
 
-    return index.select("shard", "doc_ids", "starts", "data", *_NODES).mapInArrow(each, "shard long, node long, sp long, ep long, leaf boolean, holds_all boolean, n_docs long, docs array<struct<doc_id:long,tf:long>>")
+    return _rows(index, _NODES).mapInArrow(each, "shard long, node long, sp long, ep long, leaf boolean, holds_all boolean, n_docs long, docs array<struct<doc_id:long,tf:long>>")
 
 
 def covers(index: DataFrame, patterns: DataFrame, slice_chars: int = SLICE_CHARS) -> DataFrame:

@@ -55,12 +55,12 @@ def write_lists(lists: DataFrame, path: str) -> None:
     lists.select(F.concat_ws("\t", "pattern", F.concat_ws(" ", F.transform("docs", lambda d: d.cast("string"))))).write.text(path)
 
 
-def load_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
+def load_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame], **options) -> DataFrame:
     """The table at the path; built and written first if there is none yet."""
     file = spark._jvm.org.apache.hadoop.fs.Path(path)
     done = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
     if not file.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
-        build().write.mode("overwrite").parquet(path)
+        build().write.mode("overwrite").options(**options).parquet(path)
     return spark.read.parquet(path)
 
 
