@@ -316,6 +316,31 @@ def test_posting_lists_come_in_parts(spark):
     assert len(lists) == 3 * (7 + 6 + 5 + 4 + 3) and lists[0][1:] == (0, list(range(10))) and lists[2][1:] == (2, list(range(20, 25)))
 
 
+def test_gram_blocks_list_as_brute_force_and_shuffle_no_pairs(spark, monkeypatch):
+    texts, words = odd_collection()
+    docs, patterns = docs_of(spark, texts), patterns_of(spark, words)
+    plan = postings.block_index(docs)._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "Repartition" not in plan
+    index = postings.block_index(docs).cache()
+    assert index.count() > 3
+    assert rows(postings.list_docs_in_blocks(index, patterns)) == sorted(brute(texts, words))
+    assert rows(postings.list_docs_in_blocks(index, patterns, slice_chars=10)) == sorted(brute(texts, words))
+    raw = {d: (t or "").encode() for d, t in texts}
+    held = {}
+    for d in sorted(raw):
+        for g in {raw[d][i : i + 5] for i in range(len(raw[d]) - 4)}:
+            held.setdefault((int.from_bytes(g, "big"), d // 40), []).append(str(d))
+    counts = {}
+    for (g, _), found in held.items():
+        counts[g] = counts.get(g, 0) + len(found)
+    assert rows(postings.document_counts(index), "gram", "n_docs") == sorted(counts.items())
+    whole = list(postings._lists(0, list(raw), list(raw.values())))
+    monkeypatch.setattr(postings, "_RUN_BYTES", 500)  # several passes over a part, by runs of documents
+    in_passes = list(postings._lists(0, list(raw), list(raw.values())))
+    assert sorted(r for b in in_passes for r in map(repr, b.to_pylist())) == sorted(r for b in whole for r in map(repr, b.to_pylist())) and len(in_passes) > 2
+    assert rows(postings.dumped_lists(docs, 40)) == sorted((g, p, ",".join(found)) for (g, p), found in held.items())
+
+
 def test_nodes_hold_all_or_list(spark):
     table = suffixes.suffix_table(docs_of(spark, THREE))
     nodes = {r["prefix"]: r for r in suffixes.prefix_nodes(table, 2, 3).collect()}
