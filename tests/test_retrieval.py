@@ -2,6 +2,7 @@
 
 import random
 import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -237,6 +238,50 @@ def test_many_patterns_are_looked_up_as_few_are(spark, monkeypatch):
     assert few == sorted(brute(texts, words))
 
 
+@pytest.mark.parametrize("piece", [1, 7, 200])
+def test_shards_made_by_pieces_are_the_same(monkeypatch, piece):
+    texts, words = odd_collection()
+    raw = [(t or "").encode()[:700] for _, t in texts]
+    p = shards.Parameters(10**6, 16, 2.0)
+    whole = shards._built(0, list(range(len(raw))), raw, p, True)
+    plain = sorted((raw[d][i:], d, i) for d in range(len(raw)) for i in range(len(raw[d])))
+    monkeypatch.setattr(shards, "_PIECE", piece)
+    assert shards._built(0, list(range(len(raw))), raw, p, True).equals(whole)
+    held = next(shards._loaded(iter([whole])))
+    starts = np.cumsum([0, *map(len, raw)])
+    assert held.sa.tolist() == [int(starts[d]) + i for _, d, i in plain]
+    assert held.c.tolist() == np.frombuffer(whole.column(whole.schema.get_field_index("c"))[0].as_py(), np.int32).tolist()
+    monkeypatch.setattr(shards, "_FEW", 0)
+    for w in filter(None, words):
+        sp, ep = held.range(w.encode())
+        assert ep - sp + 1 == sum(s.startswith(w.encode()) for s, _, _ in plain)
+
+
+def test_a_shard_is_built_and_asked_in_little_memory():
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(2000)]
+    texts = [" ".join(rng.choice(words) for _ in range(2500)).encode() for _ in range(200)]
+    n = sum(map(len, texts))
+
+    def most(what):
+        tracemalloc.start()
+        try:
+            out = what()
+            return tracemalloc.get_traced_memory()[1] / n, out
+        finally:
+            tracemalloc.stop()
+
+    held, built = most(lambda: shards._built(0, list(range(200)), texts, shards.Parameters()))
+    assert held < 45
+
+    def ask():
+        shard = next(shards._loaded(iter([built])))
+        return len(shard.c) + len(shard.sa)
+
+    held, found = most(ask)
+    assert found == 2 * n and held < 32
+
+
 def test_shared_bytes_of_two_suffixes():
     rng = random.Random(9)
     for _ in range(3000):

@@ -32,6 +32,8 @@ from tracery.sources.workspace import bound_batches
 _HEAD = 7
 #: Suffixes whose shared bytes are counted together: their intermediate arrays stay in the processor's cache.
 _TOGETHER = 1 << 15
+#: Suffixes that a step takes at once: what it holds on its way is so much, whatever the shard's size.
+_PIECE = 1 << 18
 #: So many patterns are looked up in a shard's texts; only for more the first bytes of all suffixes are laid out.
 _FEW = 2000
 #: Every so many positions of a document, from its first, the place of the suffix is kept.
@@ -41,6 +43,8 @@ _SCHEMA = "shard long, doc_ids array<long>, starts binary, data binary, bwt bina
 _ARRAYS = ", c binary, ilcp binary"
 _SA = ["bwt", "firsts", "samples"]
 _NODES = [*_SA, "node_sp", "node_ep", "node_leaf", "node_all", "node_first", "node_docs", "node_tf"]
+#: The columns are compressed and differ from row to row: the file's writer and readers need no room to try that again.
+FILES = {"compression": "uncompressed", "parquet.enable.dictionary": "false"}
 #: The columns that each way of listing reads.
 WAYS = {"c": _SA, "ilcp": _SA, "slice": _SA, "nodes": _NODES}
 
@@ -70,39 +74,119 @@ def heads(data: np.ndarray, at: np.ndarray, room: np.ndarray) -> np.ndarray:
     return (eight >> unused << unused) | n
 
 
+def taken(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """``values[at]`` by pieces: numpy lays out all numbers that it is asked with in 8 bytes each."""
+    out = np.empty(len(at), dtype=values.dtype)
+    for i in range(0, len(at), _PIECE):
+        out[i : i + _PIECE] = values[at[i : i + _PIECE]]
+    return out
+
+
+def counts(keys: np.ndarray, n_keys: int) -> np.ndarray:
+    """How often each number below ``n_keys`` occurs."""
+    if len(keys) <= _PIECE:
+        return np.bincount(keys, minlength=n_keys)
+    out = np.zeros(n_keys, dtype=np.int64)
+    for i in range(0, len(keys), _PIECE):
+        out += np.bincount(keys[i : i + _PIECE], minlength=n_keys)
+    return out
+
+
+def deal(keys: np.ndarray, begins: np.ndarray, out: np.ndarray, without: np.ndarray | None = None) -> None:
+    """Puts the places of each key, in their order, into ``out`` from where the key begins; ``without``: places left out."""
+    begins = begins.copy()
+    for i in range(0, len(keys), _PIECE):
+        part = keys[i : i + _PIECE]
+        if without is None:
+            by = np.argsort(part, kind="stable")
+        else:
+            has = np.ones(len(part), dtype=bool)
+            has[without[np.searchsorted(without, i) : np.searchsorted(without, i + _PIECE)] - i] = False
+            by = np.flatnonzero(has)
+            by = by[np.argsort(part[by], kind="stable")]
+        found = part[by]
+        head = np.flatnonzero(np.append(True, found[1:] != found[:-1])[: len(found)])
+        size = np.diff(np.append(head, len(found)))
+        out[np.repeat(begins[found[head]] - head, size) + np.arange(len(found))] = by + i
+        begins[found[head]] += size
+
+
+def _first_two(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The first two bytes of each suffix, the second 0 where there is none."""
+    n = len(ends)
+    two = data[:n].astype(np.uint16)
+    two <<= 8
+    for i in range(0, n, _PIECE):
+        part = slice(i, min(i + _PIECE, n))
+        two[part] |= np.where(ends[part] - np.arange(part.start, part.stop) > 1, data[part.start + 1 : part.stop + 1], 0).astype(np.uint16)
+    return two
+
+
+def _whole_groups(slots: np.ndarray, rank: np.ndarray, order: np.ndarray) -> Iterator[np.ndarray]:
+    """The slots by pieces, suffixes of one rank together."""
+    i = 0
+    while i < len(slots):
+        j = min(i + _PIECE, len(slots))
+        last = rank[order[slots[j - 1]]]
+        while j < len(slots):
+            others = np.flatnonzero(rank[order[slots[j : j + _PIECE]]] != last)
+            j += int(others[0]) if others.size else len(slots[j : j + _PIECE])
+            if others.size:
+                break
+        yield slots[i:j]
+        i = j
+
+
 def suffix_order(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The positions in the order of their suffixes, which go on to the end of their document.
 
     Ranks by the first bytes are doubled in reach for those that are still equal, until nothing more is told apart.
+    Suffixes are taken by pieces, those that are still equal together: besides 14 bytes a suffix, a piece is held. Ranks
+    told apart by one piece serve the next; they only come closer to the order.
     """
     n = len(ends)
-    key = heads(data, np.arange(n), ends - np.arange(n))
-    order = np.argsort(key)
-    key = key[order]
-    fresh = np.ones(n + 1, dtype=bool)
-    fresh[1:-1] = key[1:] != key[:-1]
-    del key
-    rank = np.empty(n, dtype=np.int64)
-    rank[order] = np.maximum.accumulate(np.where(fresh[:-1], np.arange(n), 0))
-    reach = _HEAD
-    tied = slots = np.flatnonzero(~(fresh[:-1] & fresh[1:]))
-    while slots.size:
-        at = order[slots]
-        further = at + reach
-        inside = further < ends[at]
-        after = np.where(inside, rank[np.where(inside, further, 0)] + 1, 0)
-        key = rank[at] * (n + 1) + after
+    kind = np.int32 if n < 1 << 31 else np.int64
+    order, rank = np.empty(n, dtype=kind), np.empty(n, dtype=kind)
+    two = _first_two(data, ends)
+    cuts = np.cumsum(counts(two, 1 << 16))
+    deal(two, np.concatenate([[0], cuts[:-1]]), order)
+    del two
+    left, a = [], 0
+    while a < n:  # as many beginnings of two bytes as make a piece, one at least
+        b = int(cuts[max(np.searchsorted(cuts, a + _PIECE, side="right") - 1, np.searchsorted(cuts, a, side="right"))])
+        at = order[a:b]
+        key = heads(data, at, ends[at] - at)
         by = np.argsort(key)
-        at, key, after = at[by], key[by], after[by]
-        order[slots] = at
-        first = np.ones(len(at) + 1, dtype=bool)
-        first[1:-1] = key[1:] != key[:-1]
-        rank[at] = np.maximum.accumulate(np.where(first[:-1], slots, 0))
-        # What stands alone is placed; what has ended is equal for good.
-        slots = slots[~(first[:-1] & first[1:]) & (after > 0)]
+        at, key = at[by], key[by]
+        fresh = np.ones(b - a + 1, dtype=bool)
+        fresh[1:-1] = key[1:] != key[:-1]
+        order[a:b] = at
+        slots = np.arange(a, b)
+        rank[at] = np.maximum.accumulate(np.where(fresh[:-1], slots, 0))
+        left.append(slots[~(fresh[:-1] & fresh[1:])].astype(kind))
+        a = b
+    reach = _HEAD
+    while left:
+        slots, left = np.concatenate(left), []
+        for part in _whole_groups(slots, rank, order):
+            at = order[part].astype(np.int64)
+            further = at + reach
+            inside = further < ends[at]
+            after = np.where(inside, rank[np.where(inside, further, 0)].astype(np.int64) + 1, 0)
+            key = rank[at].astype(np.int64) * (n + 1) + after
+            by = np.argsort(key)
+            at, key, after = at[by], key[by], after[by]
+            first = np.ones(len(at) + 1, dtype=bool)
+            first[1:-1] = key[1:] != key[:-1]
+            ranks = np.maximum.accumulate(np.where(first[:-1], part, 0))
+            # What stands alone is placed; what has ended is equal for good, and stands in the order of its positions.
+            alone, ended = first[:-1] & first[1:], after == 0
+            at[ended] = np.sort(ranks[ended].astype(np.int64) * n + at[ended]) % max(n, 1)
+            order[part], rank[at] = at, ranks
+            still = part[~(alone | ended)]
+            if still.size:
+                left.append(still)
         reach *= 2
-    # Equal suffixes have one rank, and stand in the order of their positions.
-    order[tied] = np.sort(rank[order[tied]] * n + order[tied]) % max(n, 1)
     return order
 
 
@@ -170,22 +254,11 @@ def _followed(data: np.ndarray, starts: np.ndarray, bwt: np.ndarray, firsts: np.
     those of one first byte the ones that end with it stand before. So each place tells the place of the position after.
     """
     n = len(bwt)
-    has = np.ones(n, dtype=bool)
-    has[firsts] = False
-    places = np.flatnonzero(has).astype(np.int32)
-    after = places[np.argsort(bwt[places], kind="stable")]
-    del places, has
-    total = np.bincount(data[:n], minlength=256)
+    total = counts(data[:n], 256)
     whole = np.flatnonzero(np.diff(starts) > 0)
     ending = np.bincount(data[starts[whole + 1] - 1], minlength=256)
-    begins = np.cumsum(total) - total + ending
     follow = np.full(n, -1, dtype=np.int32)
-    at = 0
-    for byte in np.flatnonzero(total):
-        size = int(total[byte] - ending[byte])
-        follow[begins[byte] : begins[byte] + size] = after[at : at + size]
-        at += size
-    del after
+    deal(bwt, np.cumsum(total) - total + ending, follow, firsts)
     sa = np.empty(n, dtype=np.int32)
     position, place = _sampled(starts), samples.astype(np.int64)
     length = np.diff(np.append(position, n))
@@ -231,7 +304,7 @@ class Shard:
     @property
     def c(self) -> np.ndarray:
         """One more than the place of the same document's suffix before, or 0."""
-        return self._once("c", lambda: _before(self.owner[self.sa], len(self.ids)) + 1)
+        return self._once("c", lambda: _before(taken(self.owner, self.sa), len(self.ids), 1))
 
     def ilcp(self, sp: int, ep: int, most: int) -> np.ndarray:
         """The bytes, ``most`` at most, that the suffixes of a range share with the same document's suffix before."""
@@ -265,7 +338,7 @@ class Shard:
             at = lambda i: self._beginning(i, len(pattern))
             sp = bisect_left(range(len(self.sa)), pattern, key=at)
             return sp, bisect_right(range(len(self.sa)), pattern, lo=sp, key=at) - 1
-        known = self._once("heads", lambda: heads(self.data, self.sa, self.ends_of(self.sa) - self.sa))
+        known = self._once("heads", self._heads)
         start = pattern[:_HEAD]
         low = int.from_bytes(start.ljust(_HEAD, b"\0") + bytes([len(start)]), "big")
         high = int.from_bytes(start.ljust(8, b"\xff"), "big")
@@ -275,6 +348,13 @@ class Shard:
             sp, ep = sp + bisect_left(range(sp, ep), pattern, key=at), sp + bisect_left(range(sp, ep), True, key=lambda i: at(i) > pattern)
         return sp, ep - 1
 
+    def _heads(self) -> np.ndarray:
+        out = np.empty(len(self.sa), dtype=np.uint64)
+        for i in range(0, len(out), _PIECE):
+            at = self.sa[i : i + _PIECE]
+            out[i : i + _PIECE] = heads(self.data, at, self.ends_of(at) - at)
+        return out
+
     def _beginning(self, i: int, n: int) -> bytes:
         at = int(self.sa[i])
         return self.bytes[at : min(at + n, int(self.starts[np.searchsorted(self.starts, at, side="right")]))]
@@ -293,8 +373,12 @@ def _tree(raw: bytes, data: np.ndarray, sa: np.ndarray, starts: np.ndarray, da:
         first, last = sa[a], sa[b - 1]
         room = min(starts[da[a] + 1] - first, starts[da[b - 1] + 1] - last)
         depth = common(raw, int(first), int(last), int(room))
-        at = sa[a:b] + depth
-        symbol = np.where(at < starts[da[a:b] + 1], data[np.minimum(at, len(data) - 1)].astype(np.int16), -1)
+        symbols = []
+        for i in range(a, b, _PIECE):
+            j = min(i + _PIECE, b)
+            at = sa[i:j] + depth
+            symbols.append(np.where(at < starts[da[i:j] + 1], data[np.minimum(at, len(data) - 1)].astype(np.int16), -1))
+        symbol = np.concatenate(symbols) if len(symbols) > 1 else symbols[0]
         cuts = [a, *(np.flatnonzero(symbol[1:] != symbol[:-1]) + a + 1).tolist(), b]
         if len(cuts) == 2:
             nodes[number] = (a, b, parent, True)
@@ -307,23 +391,41 @@ def _tree(raw: bytes, data: np.ndarray, sa: np.ndarray, starts: np.ndarray, da:
     return nodes
 
 
-def _before(da: np.ndarray, n_docs: int) -> np.ndarray:
-    """The place of the same document's suffix before, or -1."""
-    by_doc = np.argsort(da.astype(np.uint16) if n_docs <= 1 << 16 else da, kind="stable")
-    before = np.full(len(da), -1, dtype=np.int32)
-    same = da[by_doc[1:]] == da[by_doc[:-1]]
-    before[by_doc[1:][same]] = by_doc[:-1][same]
-    return before
+def _before(da: np.ndarray, n_docs: int, more: int = 0) -> np.ndarray:
+    """The place of the same document's suffix before, or -1; ``more`` is added."""
+    out, last = np.empty(len(da), dtype=np.int32), np.full(n_docs, -1, dtype=np.int32)
+    for i in range(0, len(da), _PIECE):
+        part = da[i : i + _PIECE]
+        by = np.argsort(part.astype(np.uint16) if n_docs <= 1 << 16 else part, kind="stable")
+        doc = part[by]
+        edge = np.ones(len(doc) + 1, dtype=bool)
+        edge[1:-1] = doc[1:] != doc[:-1]
+        by += i
+        before = np.roll(by, 1)
+        before[edge[:-1]] = last[doc[edge[:-1]]]
+        out[by] = before + more
+        last[doc[edge[1:]]] = by[edge[1:]]
+    return out
 
 
 def _leaf_sets(leaves: list[tuple[int, int]], da: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The documents and frequencies of leaves, which lie side by side and in order: where each begins, and both."""
-    sizes = np.array([b - a for a, b in leaves], dtype=np.int64)
-    pair = np.repeat(np.arange(len(leaves)), sizes) * n_docs + da
-    pair.sort()
-    head = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else np.zeros(0, dtype=np.int64)
-    leaf, docs = np.divmod(pair[head], max(n_docs, 1))
-    return np.searchsorted(leaf, np.arange(len(leaves) + 1)), docs, np.diff(np.append(head, len(pair)))
+    docs, tf, n, first = [], [], 0, np.zeros(len(leaves) + 1, dtype=np.int64)
+    ends = np.array([b for _, b in leaves], dtype=np.int64)
+    i, at = 0, 0
+    while i < len(leaves):  # as many leaves as make a piece, one at least
+        j = max(int(np.searchsorted(ends, at + _PIECE, side="right")), i + 1)
+        part = da[at : ends[j - 1]]
+        pair = np.repeat(np.arange(j - i), np.diff(ends[i:j], prepend=at)) * n_docs + part
+        pair.sort()
+        head = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])[: len(pair)])
+        leaf, doc = np.divmod(pair[head], max(n_docs, 1))
+        docs.append(doc.astype(np.int32))
+        tf.append(np.diff(np.append(head, len(pair))).astype(np.int32))
+        first[i : j + 1] = n + np.searchsorted(leaf, np.arange(j - i + 1))
+        n, i, at = n + len(head), j, int(ends[j - 1])
+    none = np.zeros(0, dtype=np.int32)
+    return first, np.concatenate([none, *docs]), np.concatenate([none, *tf])
 
 
 def stored_nodes(nodes: list[tuple[int, int, int, bool]], da: np.ndarray, n_docs: int, factor: float) -> list[tuple[int, int, bool, np.ndarray | None, np.ndarray | None]]:
@@ -344,9 +446,9 @@ def stored_nodes(nodes: list[tuple[int, int, int, bool]], da: np.ndarray, n_docs
         elif b - a < n_docs:
             docs, tf = np.unique(da[a:b], return_counts=True)
         else:
-            count = np.bincount(da[a:b], minlength=n_docs)
-            docs = np.flatnonzero(count)
-            tf = count[docs]
+            count = counts(da[a:b], n_docs)
+            docs = np.flatnonzero(count).astype(np.int32)
+            tf = count[docs].astype(np.int32)
         everywhere = len(docs) == n_docs
         if leaf or everywhere or below[i] > factor * len(docs):
             out.append((a, b - 1, leaf, *((None, None) if everywhere else (docs, tf))))
@@ -361,31 +463,37 @@ def _built(number: int, ids: list[int], texts: list[bytes], p: Parameters, array
     starts = np.concatenate([[0], np.cumsum(sizes)])
     raw = b"".join(texts)
     data = padded(np.frombuffer(raw, dtype=np.uint8))
-    of = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
-    sa = suffix_order(data, starts[of + 1])
+    sa = suffix_order(data, np.repeat(starts[1:].astype(np.int32 if len(raw) < 1 << 31 else np.int64), sizes))
     place = np.empty(len(sa), dtype=np.int32)
-    place[sa] = np.arange(len(sa), dtype=np.int32)
+    for i in range(0, len(sa), _PIECE):
+        place[sa[i : i + _PIECE]] = np.arange(i, min(i + _PIECE, len(sa)))
     firsts = np.sort(place[starts[:-1][sizes > 0]])
     samples = place[_sampled(starts)]
     del place
-    bwt = data[np.maximum(sa - 1, 0)]
+    bwt = np.empty(len(sa), dtype=np.uint8)
+    for i in range(0, len(sa), _PIECE):
+        bwt[i : i + _PIECE] = data[np.maximum(sa[i : i + _PIECE] - 1, 0)]
     bwt[firsts] = 0
-    da = of[sa]
+    da = taken(np.repeat(np.arange(len(texts), dtype=np.int32), sizes), sa)
     stored = stored_nodes(_tree(raw, data, sa, starts, da, p.block_size), da, len(texts), p.factor)
-    none = np.zeros(0, dtype=np.int64)
+    none = np.zeros(0, dtype=np.int32)
+    node_sp, node_ep, leaf = ([n[k] for n in stored] for k in range(3))
+    everywhere = [n[3] is None for n in stored]
     sets, tf = ([n[k] if n[k] is not None else none for n in stored] for k in (3, 4))
-    row = {
-        "shard": number, "doc_ids": ids, "starts": packed(starts, np.int64), "data": packed(data[: len(raw)], np.uint8), "bwt": packed(bwt, np.uint8), "firsts": packed(firsts), "samples": packed(samples),
-        "node_sp": packed([n[0] for n in stored]), "node_ep": packed([n[1] for n in stored]), "node_leaf": packed([n[2] for n in stored], np.uint8), "node_all": packed([n[3] is None for n in stored], np.uint8),
-        "node_first": packed(np.concatenate([[0], np.cumsum([len(s) for s in sets])]), np.int64), "node_docs": packed(np.diff(np.concatenate([none, *sets]), prepend=0)), "node_tf": packed(np.concatenate([none, *tf])),
-    }
+    laid = {}
     if arrays:
         before = _before(da, len(texts))
         has = np.flatnonzero(before >= 0)
         a, b = sa[has], sa[before[has]]
         ilcp = np.zeros(len(sa), dtype=np.int32)
         ilcp[has] = shared_bytes(data, a, b, starts[da[has] + 1] - np.maximum(a, b))
-        row |= {"c": (before + 1).tobytes(), "ilcp": ilcp.tobytes()}
+        laid = {"c": (before + 1).tobytes(), "ilcp": ilcp.tobytes()}
+    del sa, da, stored
+    row = {
+        "shard": number, "doc_ids": ids, "starts": packed(starts, np.int64), "data": packed(data[: len(raw)], np.uint8), "bwt": packed(bwt, np.uint8), "firsts": packed(firsts), "samples": packed(samples),
+        "node_sp": packed(node_sp), "node_ep": packed(node_ep), "node_leaf": packed(leaf, np.uint8), "node_all": packed(everywhere, np.uint8),
+        "node_first": packed(np.concatenate([[0], np.cumsum([len(s) for s in sets])]), np.int64), "node_docs": packed(np.diff(np.concatenate([none, *sets]), prepend=0)), "node_tf": packed(np.concatenate([none, *tf])), **laid,
+    }
     kinds = {"shard": pa.int64(), "doc_ids": pa.list_(pa.int64())}
     return pa.RecordBatch.from_pydict({k: pa.array([v], kinds.get(k, pa.binary())) for k, v in row.items()})
 
