@@ -32,6 +32,19 @@ def test_encoder_equals_library(name, odd_texts):
         assert [np.frombuffer(g, own.dtype).tolist() for g in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_words_with_any_marks_ask_the_model_directly(name):
+    from tokenizers import Tokenizer
+
+    rng, marks = random.Random(6), [chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "'<"]
+    words = [w + "".join(rng.choice(marks) for _ in range(n)) for w in ("haedon", "Théranble", "É", "s") for n in (1, 1, 2, 3, 5, 9)] + ["haedon" + m for m in marks]
+    own, library = Encoder(public_tokenizers.path(name)), Tokenizer.from_file(public_tokenizers.path(name))
+    text = "x " + " ".join(words)
+    own.encode([b"x"])
+    own.library = None
+    assert np.frombuffer(own.encode([text.encode()])[0], own.dtype).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("change", ["cased", "prefix", "plain"])
 def test_other_vocabularies_are_encoded_whole(tmp_path, change, odd_texts):
     """A cased word vocabulary, one that puts a space first, and one that cuts at nothing: cuts could be wrong there."""

@@ -33,7 +33,8 @@ _OTHER_SPACE = (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x20
 _WHOLE = [bytes([b]) for b in (9, *range(11, 14), *range(28, 32))] + [chr(c).encode() for c in _OTHER_SPACE] + [b"<|"]
 #: A byte that no text in UTF-8 has.
 _AS_IS = b"\xff"
-_PLAIN = re.compile("([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]*)")
+#: Letters and then any marks of ASCII but an apostrophe, which may begin a contraction, and <, which begins special strings.
+_PLAIN = re.compile(r"""([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~]*)""")
 #: How byte-level vocabularies spell bytes: printable ones as themselves, the others from U+0100 on.
 _KEPT = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _SPELLED = {b: chr(b) for b in _KEPT} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _KEPT)}
